@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, mixing, quality, url_filter, warc
+from . import audio, bpe, chat, mixing, quality, simhash, url_filter, warc
 from .shared import load, shared_path
 
 
@@ -16,6 +16,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_calls(calls, results, chat.QUERY_SCHEMAS, depends)
 
 
+def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.group(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     written, resolved = shared_path(spark, "warc"), shared_path(spark, "warc-resolved")
     warc.write_archive(warc.records(load(spark, sf_dir, "pages")), written)
