@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,8 +131,6 @@ def decode_media(df: DataFrame, media_col: str = "media", out_col: str = "pcm")
         for media in batches:
             yield media.map(_to_pcm)
 
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def to_pcm(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from convert(batches)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -142,8 +143,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     Null and empty texts give empty arrays. Every row is encoded by itself, so repeated rows give repeated results.
     ``ranks_path`` must be readable at the same place on every worker. Columns with the new names are replaced.
     """
-    import pandas as pd
-
     kind = "array<int>" if offsets_col is None else "struct<ids array<int>, offsets array<struct<start int, end int>>>"
 
     @F.pandas_udf(kind)
@@ -168,8 +167,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add ``out_col``: the bytes of ``ids_col``. Null ids give null. Bytes, as ids may end inside a character."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(ranks_path, pattern)
@@ -179,12 +176,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", o
     return df.withColumn(out_col, run(ids_col))
 
 
-def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and SHA-256 of the decimal ids joined by commas and of the bytes they decode to.
-
-    Row-wise, in one pass: ids never leave the worker. Null and empty texts have no ids; other columns are dropped.
-    """
-
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_path, pattern)
         say, sha = own.decimal, hashlib.sha256
@@ -192,12 +184,27 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 ids = own.encode([t.decode() for t in texts[a:b]])
+                first = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else [pa.array([sha(",".join([say[k] for k in i]).encode()).hexdigest() for i in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(a, b - a),
                     pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([sha(",".join([say[k] for k in i]).encode()).hexdigest() for i in ids], pa.string()),
+                    *first,
                     pa.array([sha(own.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
-                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ], names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id long, n_tokens long, {'ids array<int>' if with_ids else 'ids_sha256 string'}, decoded_sha256 string"
+    names = [f.split()[0] for f in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, schema)
+
+
+def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Per row: doc_id, n_tokens, and SHA-256 of the decimal ids joined by commas and of the bytes they decode to.
+
+    Row-wise, in one pass: ids never leave the worker. Null and empty texts have no ids; other columns are dropped.
+    """
+    return _encoded(docs, ranks_path, pattern, with_ids=False)
+
+
+def encode_rows(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Like :func:`encode_digests`, with the ids themselves in place of their digest."""
+    return _encoded(docs, ranks_path, pattern, with_ids=True)

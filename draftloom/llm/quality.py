@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,9 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkag
     return model
 
 
-def density(gaussian: Gaussian) -> Column:
+def density(gaussian: Gaussian, prefix: str = "") -> Column:
     """Log density plus log prior, up to a constant: the offset minus half the squared Mahalanobis distance."""
-    centred = [F.col(f) - F.lit(m) for f, m in zip(FEATURES, gaussian.mean, strict=True)]
+    centred = [F.col(prefix + f) - F.lit(m) for f, m in zip(FEATURES, gaussian.mean, strict=True)]
     square = F.lit(0.0)
     for i, row in enumerate(gaussian.whiten):
         z = sum((c * F.lit(w) for c, w in zip(centred[: i + 1], row[: i + 1], strict=True)), F.lit(0.0))
@@ -120,10 +121,10 @@ def density(gaussian: Gaussian) -> Column:
     return F.lit(gaussian.offset) - square / 2
 
 
-def score_column(model: dict[int, Gaussian]) -> Column:
+def score_column(model: dict[int, Gaussian], prefix: str = "") -> Column:
     """Probability of label 1. With one class in the labels its own label is certain; with none, 0.5."""
     if 0 in model and 1 in model:
-        gap = F.least(F.greatest(density(model[0]) - density(model[1]), F.lit(-700.0)), F.lit(700.0))
+        gap = F.least(F.greatest(density(model[0], prefix) - density(model[1], prefix), F.lit(-700.0)), F.lit(700.0))
         return 1 / (1 + F.exp(gap))
     return F.lit(1.0 if 1 in model else 0.0 if 0 in model else 0.5)
 
@@ -136,3 +137,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """
     model = fit(docs, labels)
     return features(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` predicts as 1, all columns as they are. No shuffle: rows are scored where
+    they stand."""
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
+    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([statistics((t or "").encode()) for t in texts], columns=FEATURES, dtype=float)
+
+    model = fit(docs, labels)
+    name = "measured"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, measure("text")).where(score_column(model, f"{name}.") >= threshold).drop(name)

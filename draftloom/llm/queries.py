@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, mixing, quality, simhash, suffix, url_filter, warc
+from . import audio, binary_search, bpe, chat, mixing, quality, simhash, suffix, url_filter, warc
 from .shared import load, shared_path
 
 
@@ -38,6 +38,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), binary_search.sign_code(F.col("embedding")).alias("code"))
+    return binary_search.search(codes, codes.where("id % 100 = 0"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(load(spark, sf_dir, "documents"))
 
@@ -108,6 +113,18 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS
 FROM h
 """
 
+OP6_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, array_to_string(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 AND NOT isnan(embedding[i + 1]) THEN '1' ELSE '0' END), '') AS code
+  FROM embeddings WHERE embedding IS NOT NULL
+), d AS (
+  SELECT q.id AS query_id, e.id, CAST(hamming(q.code, e.code) AS INTEGER) AS distance FROM e AS q CROSS JOIN e WHERE q.id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, distance FROM d
+)
+SELECT query_id, rank, id, distance FROM r WHERE rank <= 10
+"""
+
 OP9_SQL = r"""
 WITH u AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -125,4 +142,4 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}

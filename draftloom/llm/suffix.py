@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -419,8 +420,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with all its columns, the repeated bytes gone from ``text`` and ``n_chars``, if there, counted anew. A
     character of which a byte stays, stays whole. Null texts stay null; emptied texts stay as empty rows."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
