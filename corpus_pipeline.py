@@ -1,8 +1,52 @@
-"""Corpus pipeline: quality, near copies, repeated passages, mix, tokens."""
+"""Corpus pipeline: quality classifier, SimHash near-dedup, suffix-array dedup, source mixing, byte-level BPE.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from draftloom.llm import bpe, mixing, quality, simhash, suffix
+from draftloom.llm.shared import as_table, load
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that repeat."""
+    return suffix.cut_repeats(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix has them, by training position."""
+    plan = as_table(mixing.mix(docs), "mix")
+    return mixing.materialize(docs, plan)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digest of what they decode to."""
+    import public_tokenizers
+
+    return bpe.encode_rows(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", good), ("near_copies", one_of_each), ("repeats", without_repeats), ("mix", mixed), ("tokens", tokens)]
+
+#: SQL has neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = as_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
