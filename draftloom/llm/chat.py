@@ -10,13 +10,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table
+from .shared import as_table, drop_table
 
 #: A schema: argument name -> (Spark type of the variant's value, required).
 Schema = Mapping[str, tuple[str, bool]]
 QUERY_SCHEMAS: dict[str, Schema] = {"reply": {"text": ("STRING", True), "turn": ("BIGINT", True)}}
-#: Longest chain of dependencies that is followed before the rest counts as cyclic.
-MAX_DEPTH = 1_000
 
 
 def canonical_json(text: Column) -> Column:
@@ -46,29 +44,65 @@ def argument_errors(name: Column, arguments: Column, schemas: Mapping[str, Schem
     return F.coalesce(out, F.array(F.lit("unknown tool")))
 
 
+def chains(edges: DataFrame) -> DataFrame:
+    """node, head, dist of every identifier with exactly one dependency: the first identifier up its chain that has none or
+    several, and the steps to it; head is null on or behind a cycle of such identifiers.
+
+    Pointer jumping: each round doubles the steps taken, so the rounds grow with the logarithm of the longest chain.
+    """
+    single = edges.groupBy(F.col("call_id").alias("node")).agg(F.count("*").alias("n"), F.min("needs").alias("head")).where("n = 1")
+    now = as_table(single.select("node", "head", F.lit(1).cast("long").alias("dist"), F.lit(True).alias("open")), "chain")
+    most, steps = now.count(), 1
+    while not now.where("open").isEmpty():
+        if steps > most:  # more steps than identifiers: what still jumps goes round
+            return now.select("node", F.when(~F.col("open"), F.col("head")).alias("head"), "dist")
+        ahead = now.select(F.col("node").alias("a_node"), F.col("head").alias("a_head"), F.col("dist").alias("a_dist"), F.col("open").alias("a_open"))
+        jumped = now.join(ahead, F.col("head") == F.col("a_node"), "left")
+        after = as_table(jumped.select(
+            "node", F.coalesce("a_head", "head").alias("head"), (F.col("dist") + F.coalesce("a_dist", F.lit(0))).alias("dist"), F.coalesce("a_open", F.lit(False)).alias("open"),
+        ), "chain")
+        drop_table(now)
+        now, steps = after, steps * 2
+    return now.select("node", "head", "dist")
+
+
 def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
     """Topological level of each identifier: 0 without dependencies, else one more than its deepest; null on or behind a
-    cycle and below an unknown identifier's level 0.
+    cycle. Dependencies on unknown identifiers do not count. ``calls`` has call_id, ``depends`` has call_id and needs.
 
-    Kahn's rounds as joins: a round settles the identifiers whose dependencies are all settled. ``calls`` has call_id,
-    ``depends`` has call_id and needs. Only what is not settled meets the next round; the count of it ends the loop.
+    Chains of single dependencies are jumped over. What is left, identifiers with several dependencies, is settled in
+    Kahn's rounds as joins: a round settles those whose dependencies are all settled.
     """
     ids = calls.select("call_id").where("call_id is not null").distinct()
     edges = depends.where("call_id is not null and needs is not null").select("call_id", "needs").distinct()
     edges = edges.join(ids.select(F.col("call_id").alias("needs")), "needs", "left_semi").join(ids, "call_id", "left_semi")
     edges = as_table(edges, "chat-edges")
-    if edges.isEmpty():
-        return ids.withColumn("level", F.lit(0))
-    settled = as_table(ids.join(edges, "call_id", "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    layers, open_edges = settled, edges
-    for depth in range(1, MAX_DEPTH):
-        # edges from what the last round settled go; what has none left is settled now
-        left = as_table(open_edges.join(settled.select(F.col("call_id").alias("needs")), "needs", "left_anti"), "chat-edges")
-        ready = as_table(open_edges.select("call_id").distinct().join(left, "call_id", "left_anti").withColumn("level", F.lit(depth)), "chat-levels")
-        if ready.isEmpty():
+    jumps = as_table(chains(edges), "chat-chains")
+    free = ids.join(edges, "call_id", "left_anti").select(F.col("call_id").alias("head"), F.lit(0).cast("long").alias("level"))
+    several = edges.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id")
+    of_head = edges.join(several, "call_id", "left_semi").join(jumps.withColumnRenamed("head", "j_head"), F.col("needs") == F.col("node"), "left")
+    # where a dependency stands on a chain, its level is that of the chain's head and the steps between
+    waiting = of_head.select("call_id", F.when(F.col("node").isNull(), F.col("needs")).otherwise(F.col("j_head")).alias("up"), F.coalesce("dist", F.lit(0)).alias("dist"), F.lit(None).cast("long").alias("level"))
+    waiting = as_table(waiting, "chat-open")
+    settled = fresh = as_table(free, "chat-levels")
+    while not waiting.isEmpty():
+        known = fresh.select(F.col("head").alias("up"), F.col("level").alias("up_level"))
+        waiting = as_table(waiting.join(known, "up", "left").select("call_id", "up", "dist", F.coalesce("level", F.col("up_level") + F.col("dist")).alias("level")), "chat-open")
+        ready = waiting.groupBy("call_id").agg(F.max("level").alias("deep"), F.count_if(F.col("level").isNull()).alias("missing")).where("missing = 0")
+        fresh = as_table(ready.select(F.col("call_id").alias("head"), (F.col("deep") + 1).alias("level")), "chat-levels")
+        if fresh.isEmpty():
             break
-        layers, open_edges, settled = layers.unionByName(ready), left, ready
-    return ids.join(layers, "call_id", "left")
+        settled = as_table(settled.unionByName(fresh), "chat-levels")
+        waiting = as_table(waiting.join(fresh.select(F.col("head").alias("call_id")), "call_id", "left_anti"), "chat-open")
+    at = ids.join(jumps, F.col("call_id") == F.col("node"), "left").select("call_id", F.when(F.col("node").isNull(), F.col("call_id")).otherwise(F.col("head")).alias("up"), F.coalesce("dist", F.lit(0)).alias("dist"))
+    found = settled.select(F.col("head").alias("up"), "level")
+    return at.join(found, "up", "left").select("call_id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
+
+
+def _join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on call_id; rows without one do not enter the join, where they would all meet in one task."""
+    without = rows.where("call_id is null").select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in other.dtypes])
+    return rows.where("call_id is not null").join(other, F.col("call_id") == F.col(key), "left").unionByName(without)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema], depends: DataFrame | None = None) -> DataFrame:
@@ -87,10 +121,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schem
     answered = r.where("call_id is not null").groupBy(F.col("call_id").alias("a_id")).agg(F.count("*").alias("n_results"))
     owners = c.where("call_id is not null").groupBy(F.col("call_id").alias("o_id")).agg(F.min(F.struct("seq", "arguments")).alias("first"))
     order = levels(c, depends).select(F.col("call_id").alias("l_id"), "level") if depends is not None else None
-    own = c.join(answered, c.call_id == answered.a_id, "left")
-    their = r.join(owners, r.call_id == owners.o_id, "left")
+    own = _join_known(c, answered, "a_id")
+    their = _join_known(r, owners, "o_id")
     if order is not None:
-        own, their = own.join(order, own.call_id == order.l_id, "left"), their.join(order, their.call_id == order.l_id, "left")
+        own, their = _join_known(own, order, "l_id"), _join_known(their, order, "l_id")
     else:
         own, their = own.withColumn("level", F.lit(0)), their.withColumn("level", F.lit(0))
     errors = argument_errors(F.col("name"), F.col("arguments"), schemas)
