@@ -1,10 +1,16 @@
-"""All named queries of the engine and the SQL that must give the same rows."""
+"""All named queries of the engine."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import browse, extraction, geometry, ingest, relations, reports, search, text  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLES", "QUERIES", "queries", "oracle_sql"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)
