@@ -80,7 +80,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE)
     ring = prints.select("fp").distinct().withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(SEGMENTS)])))
     ring = ring.withColumn("turned", _turned(F.col("fp"), F.col("start"))).withColumn("key", F.col("turned").bitwiseAND(F.lit(low)))
     ring = as_table(ring, "ring")
-    crowded = ring.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select(F.col("start").alias("c_start"), F.col("key").alias("c_key"))
+    # a table of its own, so that Spark can split a hot key of the joins with it
+    crowded = as_table(ring.groupBy("start", "key").agg(F.count("*").alias("n")).where(F.col("n") > pairwise).select(F.col("start").alias("c_start"), F.col("key").alias("c_key")), "crowded")
     on = (F.col("start") == F.col("c_start")) & (F.col("key") == F.col("c_key"))
     plain = ring.join(crowded, on, "left_anti").withColumn("mask", F.lit(-1))
     bits = F.array(*[F.lit(b) for b in range(8 * exact, 8 * single)])

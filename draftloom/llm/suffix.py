@@ -25,7 +25,9 @@ from .shared import as_table, drop_table, release_shuffles, text_bytes
 LENGTH = 200
 GRAM = 32  # bytes of an anchor, a power of two; LENGTH must be twice that or more
 #: Different contexts of one anchor in one piece, and bytes of text under one suffix array.
-PIECE, SHARD_BYTES = 256, 2_000_000
+PIECE, SHARD_BYTES = 1024, 2_000_000
+#: Windows of a split anchor that are compared between pieces only if another context has the bytes that all of them share.
+CHUNK = 8
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = 20  # low bits of a sort key that hold a place, so that of equal hashes the leftmost is smallest
@@ -204,17 +206,27 @@ def repeated_windows(contexts: list[bytes], counts: np.ndarray, length: int) ->
     return again[window], speaks[window], firsts
 
 
-def window_digests(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every window of a context: its first and its last grams of the largest power of two below."""
+def window_chunks(data: bytes, tell: np.ndarray, length: int, gram: int = GRAM) -> list[dict]:
+    """The windows ``tell`` of a context in chunks by their distance to the anchor: a hash of the bytes that all windows of
+    the chunk share (core), and of each window its place and two 64-bit hashes of all its bytes."""
     raw = np.frombuffer(data, np.uint8)
-    gram = 1 << (length.bit_length() - 1)
+    n = len(raw) - length + 1
+    half = 1 << (length.bit_length() - 1)
+    with np.errstate(over="ignore"):
+        keys = (_mix(grams(raw[:length], gram)) & ~np.uint64(_BLOCK))[n - 1 : length - gram + 1]
+        anchor = n - 1 + int(np.argmin(keys))
+        digests, cores = [], None
+        for base, other in ((_P, _Q), (_Q, _P)):
+            g = grams(raw, half, base)
+            digests.append(_mix(_mix(g[tell]) * other + g[tell + length - half]).view(np.int64))
+            if cores is None:
+                chunk = (anchor - tell) // CHUNK
+                first = anchor - chunk * CHUNK
+                cores = _mix(_mix(g[first]) * _Q + g[first + length - CHUNK + 1 - half] + chunk.astype(np.uint64)).view(np.int64)
     out = []
-    for base, other in ((_P, _Q), (_Q, _P)):
-        g = grams(raw, gram, base)
-        n = len(raw) - length + 1
-        with np.errstate(over="ignore"):
-            out.append(_mix(_mix(g[:n]) * other + g[length - gram : length - gram + n]).view(np.int64))
-    return out[0], out[1]
+    for a, m in zip(*_runs(chunk), strict=True):
+        out.append({"core": int(cores[a]), "one": digests[0][a : a + m].tolist(), "two": digests[1][a : a + m].tolist(), "at": tell[a : a + m].tolist()})
+    return out
 
 
 def flag_runs(flags: np.ndarray) -> list[int]:
@@ -271,19 +283,17 @@ def _shard_windows(contexts: DataFrame, length: int, shard_bytes: int) -> DataFr
         rows.sort(key=lambda r: (r[0], r[3], r[1]))
         again, speaks, firsts = repeated_windows([r[5] for r in rows], np.array([r[2] for r in rows]), length)
         ends = np.append(firsts[1:], len(again))
-        runs, one, two, at = [], [], [], []
+        runs, chunks = [], []
         for r, a, b in zip(rows, firsts, ends, strict=True):
             runs.append(flag_runs(again[a:b]))
-            tell = np.flatnonzero(speaks[a:b]) if r[4] else np.empty(0, np.int64)
-            x, y = window_digests(r[5], length) if r[4] else (tell, tell)
-            one.append(x[tell])
-            two.append(y[tell])
-            at.append(tell.astype(np.int32))
-        ints = pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())
+            tell = np.flatnonzero(speaks[a:b]) if r[4] else ()
+            chunks.append(window_chunks(r[5], tell, length) if len(tell) else [])
         return pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-            *[pa.array(c, t) for c, t in zip((runs, one, two, at), ints, strict=True)],
-        ], ["anchor", "digest", "runs", "one", "two", "at"])
+            pa.array(runs, pa.list_(pa.int32())), pa.array(chunks, kind),
+        ], ["anchor", "digest", "runs", "chunks"])
+
+    kind = pa.list_(pa.struct([("core", pa.int64()), ("one", pa.list_(pa.int64())), ("two", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -298,13 +308,13 @@ def _shard_windows(contexts: DataFrame, length: int, shard_bytes: int) -> DataFr
             yield solve(rows)
 
     spread = contexts.repartition(F.col("anchor"), F.col("piece")).sortWithinPartitions("anchor", "piece")
-    return spread.mapInArrow(run, "anchor long, digest long, runs array<int>, one array<long>, two array<long>, at array<int>")
+    return spread.mapInArrow(run, "anchor long, digest long, runs array<int>, chunks array<struct<core long, one array<long>, two array<long>, at array<int>>>")
 
 
 def _merge_pieces(shards: DataFrame) -> DataFrame:
     """anchor, digest, runs of the windows of split anchors that stand in several pieces.
 
-    The pieces' windows are range-partitioned by digest and sorted, so each task holds one range of all pieces' windows;
+    Only windows go on whose chunk's core another context has. They are range-partitioned by digest and sorted, so each task holds one range of all pieces' windows;
     binary search finds how often a window's digest is there. A piece names a window once, so a digest that is there
     twice is in two pieces."""
 
@@ -330,7 +340,10 @@ def _merge_pieces(shards: DataFrame) -> DataFrame:
         hits = table.select(["anchor", "digest", "at"]).filter(pa.array(many & (like[:-1] | like[1:])))
         yield from hits.to_batches()
 
-    split = shards.where(F.size("at") > 0).select("anchor", "digest", F.explode(F.arrays_zip("one", "two", "at")).alias("w")).select("anchor", "digest", "w.one", "w.two", "w.at")
+    chunks = shards.where(F.size("chunks") > 0).select("anchor", "digest", F.explode("chunks").alias("c")).select("anchor", "digest", "c.core", "c.one", "c.two", "c.at")
+    cores = as_table(chunks.groupBy(F.col("core").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), "cores")
+    shared = chunks.join(cores, F.col("core") == F.col("k"), "left_semi")
+    split = shared.select("anchor", "digest", F.explode(F.arrays_zip("one", "two", "at")).alias("w")).select("anchor", "digest", "w.one", "w.two", "w.at")
     ranged = split.repartitionByRange("one", "two").sortWithinPartitions("one", "two")
     hits = ranged.mapInArrow(run, "anchor long, digest long, at int")
     return hits.groupBy("anchor", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda a: F.array(a, a + 1))).alias("runs"))
@@ -341,13 +354,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, sh
     an array of (first window, runs relative to it)."""
     spark = docs.sparkSession
     every = as_table(_all_contexts(docs, length), "contexts")
-    anchors = every.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n")).where("n > 1")
-    again = as_table(every.join(anchors.select("a"), F.col("anchor") == F.col("a"), "left_semi"), "anchored")
+    # as tables of their own, so that joins with them are between two plain exchanges, of which Spark can split hot keys
+    anchors = as_table(every.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
+    again = as_table(every.join(anchors, F.col("anchor") == F.col("a"), "left_semi"), "anchored")
     drop_table(every)
     release_shuffles(spark)
     distinct = again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "tie", "first", "windows")).alias("at"))
     distinct = as_table(distinct, "distinct")
-    crowded = distinct.groupBy(F.col("anchor").alias("c")).agg(F.count("*").alias("m")).where(F.col("m") > piece)
+    crowded = as_table(distinct.groupBy(F.col("anchor").alias("c")).agg(F.count("*").alias("m")).where(F.col("m") > piece), "crowded")
     pieces = F.ceil(F.col("m") / piece)
     wanted = distinct.join(crowded, F.col("anchor") == F.col("c"), "left").select("anchor", "digest", "n", "at", F.coalesce(F.pmod(F.col("digest"), pieces), F.lit(0)).cast("long").alias("piece"), F.col("m").isNotNull().alias("split"))
     shards = as_table(_shard_windows(_cut_contexts(docs, wanted, length), length, shard_bytes), "windows")
