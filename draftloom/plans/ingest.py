@@ -85,9 +85,9 @@ def _jobs(spark, sf_dir):
     )
 
 
-@query(f"WITH {_JOBS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT path FROM jobs WHERE state IN ('queued', 'running') AND id % 10 = 0)")
+@query(f"WITH {_JOBS} SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT path FROM jobs WHERE state IN ('queued', 'running'))")
 def busy_anti_join(spark, sf_dir):
-    jobs = _jobs(spark, sf_dir).where("id % 10 = 0").withColumnRenamed("path", "c_custkey")
+    jobs = _jobs(spark, sf_dir).withColumnRenamed("path", "c_custkey")
     return op.without_busy(table(spark, sf_dir, "customer").select("c_custkey"), jobs, "c_custkey")
 
 
@@ -120,12 +120,12 @@ def replace_upsert(spark, sf_dir):
 
 @query(f"""
 WITH {_JOBS} SELECT c_name AS path, 'queued' AS state, 200 AS priority FROM customer WHERE c_acctbal > 0 AND c_mktsegment = 'BUILDING'
-  AND c_custkey NOT IN (SELECT path FROM jobs WHERE state IN ('queued', 'running') AND id % 10 = 0) ORDER BY c_name LIMIT 40
+  AND c_custkey NOT IN (SELECT path FROM jobs WHERE state IN ('queued', 'running')) ORDER BY c_name LIMIT 40
 """)
 def requeue_plan(spark, sf_dir):
     customers = table(spark, sf_dir, "customer")
     files = customers.select(F.col("c_name").alias("path"), F.when(F.col("c_acctbal") > 0, "done").otherwise("missing").alias("status"), "c_mktsegment")
-    jobs = _jobs(spark, sf_dir).where("id % 10 = 0").join(customers.select(F.col("c_custkey").alias("path"), "c_name"), "path").select(F.col("c_name").alias("path"), "state")
+    jobs = _jobs(spark, sf_dir).join(customers.select(F.col("c_custkey").alias("path"), "c_name"), "path").select(F.col("c_name").alias("path"), "state")
     return op.requeue(files, jobs, F.col("c_mktsegment") == "BUILDING", 40)
 
 

@@ -10,7 +10,7 @@ from .registry import query, table
 
 def _drawings(spark, sf_dir):
     """Orders as drawings: the code is ``P<customer>``; notes name the previous customer's code, assemblies the code of a tenth."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 4000")
+    o = table(spark, sf_dir, "orders")
     code = lambda x: F.concat(F.lit("P"), x.cast("string"))
     key = F.col("o_custkey")
     return o.select(
@@ -21,16 +21,16 @@ def _drawings(spark, sf_dir):
 
 
 def _bom(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey <= 4000")
+    l = table(spark, sf_dir, "lineitem")
     code = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
     return l.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_returnflag") == "R", code).otherwise("").alias("ref_drawing_no"), F.when(F.col("l_returnflag") == "A", code).otherwise("").alias("part_no"))
 
 
 _BASE = """
 d AS (SELECT o_orderkey AS id, 'P' || o_custkey AS drawing_no, 'P' || (o_custkey - 1) AS note, CASE WHEN o_orderkey % 3 = 0 THEN 'P' || (o_custkey // 10) END AS asm, o_orderstatus AS status
-  FROM orders WHERE o_orderkey <= 4000),
+  FROM orders),
 v AS (SELECT * FROM d WHERE status <> 'P'),
-b AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'P' || l_partkey ELSE '' END AS ref, CASE WHEN l_returnflag = 'A' THEN 'P' || l_partkey ELSE '' END AS part FROM lineitem WHERE l_orderkey <= 4000)
+b AS (SELECT l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'P' || l_partkey ELSE '' END AS ref, CASE WHEN l_returnflag = 'A' THEN 'P' || l_partkey ELSE '' END AS part FROM lineitem)
 """
 
 
@@ -49,7 +49,7 @@ def uses_edges(spark, sf_dir):
 
 @query(f"""
 WITH {_BASE}, e AS (
-  SELECT d.id, b.id AS user_id, 0 AS rank FROM b JOIN d ON (b.ref = d.drawing_no OR b.part = d.drawing_no)
+  SELECT d.id, b.id AS user_id, 0 AS rank FROM b JOIN d ON b.ref = d.drawing_no UNION ALL SELECT d.id, b.id, 0 FROM b JOIN d ON b.part = d.drawing_no
   UNION ALL SELECT d.id, v.id, 1 FROM v JOIN d ON v.note = d.drawing_no
   UNION ALL SELECT d.id, v.id, 2 FROM d JOIN v ON d.asm = v.drawing_no),
 m AS (SELECT e.id, user_id, min(rank) AS rank FROM e WHERE e.id <> user_id GROUP BY 1, 2),

@@ -1,0 +1,54 @@
+"""Ruling lines and lone ones in page bitmaps, with numpy over whole columns."""
+
+from __future__ import annotations
+
+import numpy as np
+
+MM_PER_INCH = 25.4
+
+
+def column_runs(dark: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(column, first row, end row) of vertical runs of at least ``least`` dark pixels, from the edges of the bitmap."""
+    padded = np.zeros((dark.shape[0] + 2, dark.shape[1]), np.int8)
+    padded[1:-1] = dark
+    step = np.diff(padded, axis=0)
+    columns, first = np.nonzero(step.T == 1)
+    _, end = np.nonzero(step.T == -1)
+    long = end - first >= least
+    return list(zip(columns[long].tolist(), first[long].tolist(), end[long].tolist(), strict=True))
+
+
+def vertical_rules(dark: np.ndarray, dpi: int, least_mm: float = 3.0, near: int = 2) -> list[tuple[float, int, int]]:
+    """(x, first row, end row) of rules: long runs whose columns touch (at most ``near`` apart) and whose rows overlap are one,
+    which is how a tilted rule looks."""
+    open_rules: list[list] = []
+    done: list[list] = []
+    for column, first, end in column_runs(dark, max(1, int(least_mm * dpi / MM_PER_INCH))):
+        still = []
+        for rule in open_rules:
+            (still if column - rule[0] <= near else done).append(rule)
+        open_rules = still
+        match = next((r for r in open_rules if first <= r[3] and end >= r[2]), None)
+        if match:
+            match[0], match[2], match[3] = column, min(match[2], first), max(match[3], end)
+            match[1].append(column)
+        else:
+            open_rules.append([column, [column], first, end])
+    return sorted((float(np.median(r[1])), r[2], r[3]) for r in done + open_rules)
+
+
+def lone_one(dark: np.ndarray, height: tuple[float, float] = (0.25, 0.95), width: float = 0.2) -> float | None:
+    """x of the only mark of a cell if it is tall and thin, like a handwritten one; rules (columns dark almost all the way)
+    do not count. None if there is no mark, or another one."""
+    rows, _ = dark.shape
+    marks = dark & ~(dark.mean(axis=0) > height[1])[None, :]
+    filled = np.flatnonzero(marks.any(axis=0))
+    if not len(filled):
+        return None
+    groups = np.split(filled, np.flatnonzero(np.diff(filled) > 2) + 1)
+    shapes = [(g, np.flatnonzero(marks[:, g].any(axis=1))) for g in groups]
+    tall = [(g, r) for g, r in shapes if r[-1] - r[0] + 1 >= height[0] * rows]
+    if len(tall) != 1:
+        return None
+    g, r = tall[0]
+    return float(g.mean()) if g[-1] - g[0] + 1 <= width * (r[-1] - r[0] + 1) + 2 else None
