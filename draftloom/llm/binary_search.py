@@ -50,7 +50,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     differ from the query's in exactly r bits. After it every code at a distance below m * (r + 1) has been met, since it
     differs in r bits or fewer in some segment. A query is closed once it has k rows within that distance. Equal codes
     are one index entry with its k smallest ids, so a code that very many rows share is met once. A code is counted at
-    the first segment and round that meet it. Queries with equal codes are searched once.
+    the first segment and round that meet it, and only if it is no further than the k-th row so far. Queries with equal codes are searched once.
 
     Null codes are neither found nor searched. Rows with equal ids are separate rows; with fewer than k rows all are
     returned. An empty side gives an empty result.
@@ -65,19 +65,20 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     keys = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s, width) for s in range(m)])).alias("segment", "key"))
     keys = as_table(keys, "index")
     asked = queries.where("code is not null").select(F.col("id").cast("long").alias("query_id"), F.col("code").alias("q_code"))
-    open_codes = as_table(asked.select("q_code").distinct(), "open")
+    open_codes = as_table(asked.select("q_code").distinct().withColumn("bound", F.lit(BITS)), "open")
     best: DataFrame | None = None
     closed: list[DataFrame] = []
     order = Window.partitionBy("q_code").orderBy("distance", F.col("id").asc_nulls_last())
     for r in range(width + 1):
         masks = flip_masks(spark, width, r)
-        near = open_codes.select("q_code", F.posexplode(F.array(*[_segment(F.col("q_code"), s, width) for s in range(m)])).alias("q_segment", "q_key"))
+        near = open_codes.select("q_code", "bound", F.posexplode(F.array(*[_segment(F.col("q_code"), s, width) for s in range(m)])).alias("q_segment", "q_key"))
         # the masks are at most C(width, r) rows, whatever the input: they are broadcast where Spark finds them small
-        probes = near.join(masks, F.lit(True)).select("q_code", "q_segment", F.col("q_key").bitwiseXOR(F.col("mask")).alias("probe"))
+        probes = near.join(masks, F.lit(True)).select("q_code", "bound", "q_segment", F.col("q_key").bitwiseXOR(F.col("mask")).alias("probe"))
         met = probes.join(keys, (F.col("q_segment") == F.col("segment")) & (F.col("probe") == F.col("key")))
         differ = F.col("q_code").bitwiseXOR(F.col("code"))
         parts = [F.bit_count(_segment(differ, s, width)) for s in range(m)]
-        first = F.lit(True)
+        # nothing beyond the k-th distance so far can be among the k; both conditions are part of the join
+        first = F.bit_count(differ) <= F.col("bound")
         for s in range(m):
             # no segment within fewer bits, and no earlier one within r: else the code was met there
             first &= F.when(F.lit(s) < F.col("segment"), parts[s] > r).otherwise(parts[s] >= r)
@@ -87,7 +88,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
         covered = m * (r + 1) - 1
         done = now.where(F.col("distance") <= covered).groupBy(F.col("q_code").alias("d_code")).agg(F.count("*").alias("c")).where(F.col("c") >= k)
         closed.append(now.join(done, F.col("q_code") == F.col("d_code"), "left_semi"))
-        left = as_table(open_codes.join(done, F.col("q_code") == F.col("d_code"), "left_anti"), "open")
+        kth = now.groupBy(F.col("q_code").alias("b_code")).agg(F.count("*").alias("c"), F.max("distance").alias("kth")).where(F.col("c") >= k).select("b_code", "kth")
+        still = open_codes.select("q_code").join(done, F.col("q_code") == F.col("d_code"), "left_anti")
+        left = as_table(still.join(kth, F.col("q_code") == F.col("b_code"), "left").select("q_code", F.coalesce("kth", F.lit(BITS)).alias("bound")), "open")
         best = now.join(left.select(F.col("q_code").alias("l_code")), F.col("q_code") == F.col("l_code"), "left_semi")
         drop_table(open_codes)
         open_codes = left
