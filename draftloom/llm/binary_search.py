@@ -62,7 +62,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     index = as_table(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))).alias("ids")), "codes")
     m = segments or segments_for(index.count())
     width = BITS // m
-    keys = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s, width) for s in range(m)])).alias("segment", "key"))
+    # segment and value in one long: joins by one long are the leanest that Spark has
+    joint = lambda segment, value: F.call_function("shiftleft", segment.cast("long"), F.lit(width)).bitwiseOR(value) if m > 2 else value * 2 + segment
+    keys = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s, width) for s in range(m)])).alias("segment", "value"))
+    keys = keys.select("code", "ids", "segment", joint(F.col("segment"), F.col("value")).alias("key"))
     keys = as_table(keys, "index")
     asked = queries.where("code is not null").select(F.col("id").cast("long").alias("query_id"), F.col("code").alias("q_code"))
     open_codes = as_table(asked.select("q_code").distinct().withColumn("bound", F.lit(BITS)), "open")
@@ -73,8 +76,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
         masks = flip_masks(spark, width, r)
         near = open_codes.select("q_code", "bound", F.posexplode(F.array(*[_segment(F.col("q_code"), s, width) for s in range(m)])).alias("q_segment", "q_key"))
         # the masks are at most C(width, r) rows, whatever the input: they are broadcast where Spark finds them small
-        probes = near.join(masks, F.lit(True)).select("q_code", "bound", "q_segment", F.col("q_key").bitwiseXOR(F.col("mask")).alias("probe"))
-        met = probes.join(keys, (F.col("q_segment") == F.col("segment")) & (F.col("probe") == F.col("key")))
+        probes = near.join(masks, F.lit(True)).select("q_code", "bound", joint(F.col("q_segment"), F.col("q_key").bitwiseXOR(F.col("mask"))).alias("probe"))
+        met = probes.join(keys, F.col("probe") == F.col("key"))
         differ = F.col("q_code").bitwiseXOR(F.col("code"))
         parts = [F.bit_count(_segment(differ, s, width)) for s in range(m)]
         # nothing beyond the k-th distance so far can be among the k; both conditions are part of the join

@@ -358,6 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, sh
     anchors = as_table(every.groupBy(F.col("anchor").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     again = as_table(every.join(anchors, F.col("anchor") == F.col("a"), "left_semi"), "anchored")
     drop_table(every)
+    drop_table(anchors)
     release_shuffles(spark)
     distinct = again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "tie", "first", "windows")).alias("at"))
     distinct = as_table(distinct, "distinct")
@@ -365,6 +366,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, sh
     pieces = F.ceil(F.col("m") / piece)
     wanted = distinct.join(crowded, F.col("anchor") == F.col("c"), "left").select("anchor", "digest", "n", "at", F.coalesce(F.pmod(F.col("digest"), pieces), F.lit(0)).cast("long").alias("piece"), F.col("m").isNotNull().alias("split"))
     shards = as_table(_shard_windows(_cut_contexts(docs, wanted, length), length, shard_bytes), "windows")
+    drop_table(distinct)
+    drop_table(crowded)
     release_shuffles(spark)
     found = shards.where(F.size("runs") > 0).select("anchor", "digest", "runs").unionByName(_merge_pieces(shards)).select(F.col("anchor").alias("f_anchor"), F.col("digest").alias("f_digest"), "runs")
     hits = again.join(found, (F.col("anchor") == F.col("f_anchor")) & (F.col("digest") == F.col("f_digest"))).select("k_id", "tie", "first", "runs")
