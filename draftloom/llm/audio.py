@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import small_batches, text_bytes
 
 BLOCK = 64  # bytes of an ADPCM block: predictor (2), step index (1), reserved (1), then two samples a byte
 MU_LAW, A_LAW, IMA_ADPCM = 7, 6, 17  # WAVE format tags
@@ -163,7 +163,7 @@ def text_audio_features(docs: DataFrame) -> DataFrame:
     null. feature: root mean square of the samples as mu-law and as A-law, and CRC-32 of the resampled PCM as mu-law
     and as ADPCM. Other columns of ``docs`` are dropped.
     """
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(_features, FEATURES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(_features, FEATURES)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import small_batches, text_bytes
 
 CHUNK_BYTES = 1_000_000
 CACHED_PIECES = 500_000  # some 100 MB in a worker
@@ -194,7 +194,7 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool) ->
 
     schema = f"doc_id long, n_tokens long, {'ids array<int>' if with_ids else 'ids_sha256 string'}, decoded_sha256 string"
     names = [f.split()[0] for f in schema.split(", ")]
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

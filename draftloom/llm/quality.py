@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_bytes
+from .shared import small_batches, text_bytes
 
 FEATURES = ("size", "word_length", "symbols", "capitals", "digits", "breaks", "repeats", "runs", "variety")
 #: Shrinkage of a class covariance towards its scaled identity, and a floor of the variances.
@@ -61,7 +61,7 @@ def features(docs: DataFrame) -> DataFrame:
             rows = np.array([statistics(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in rows.T]], ["doc_id", *FEATURES])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 @dataclass(frozen=True)
@@ -152,4 +152,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     name = "measured"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, measure("text")).where(score_column(model, f"{name}.") >= threshold).drop(name)
+    return small_batches(docs).withColumn(name, measure("text")).where(score_column(model, f"{name}.") >= threshold).drop(name)

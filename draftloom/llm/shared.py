@@ -57,6 +57,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a batch that a Python worker gets: with texts of some kilobytes a few MB. Spark's own default is ten times that.
+BATCH_ROWS = 1_000
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches for Python workers are small; a setting other than Spark's default stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def text_bytes(col: str = "text") -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(col), F.lit("")).cast("binary")

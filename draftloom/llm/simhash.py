@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import as_table, text_bytes
+from .shared import as_table, small_batches, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = 8  # of 8 bits each, on a ring
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), text_bytes().alias("data")).mapInArrow(run, "doc_id long, tie long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), text_bytes().alias("data")).mapInArrow(run, "doc_id long, tie long, fp long")
 
 
 def _turned(fp: Column, start: Column) -> Column:

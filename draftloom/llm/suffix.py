@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table, drop_table, release_shuffles, text_bytes
+from .shared import as_table, drop_table, release_shuffles, small_batches, text_bytes
 
 LENGTH = 200
 GRAM = 32  # bytes of an anchor, a power of two; LENGTH must be twice that or more
 #: Different contexts of one anchor in one piece, and bytes of text under one suffix array.
-PIECE, SHARD_BYTES = 1024, 2_000_000
+PIECE, SHARD_BYTES = 512, 1_000_000
 #: Windows of a split anchor that are compared between pieces only if another context has the bytes that all of them share.
 CHUNK = 8
 
@@ -241,7 +241,7 @@ def flag_runs(flags: np.ndarray) -> list[int]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k_id and tie, which together tell rows apart (identical rows share them), and the bytes."""
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.hash(doc_id, F.col("text")).alias("tie"), text_bytes().alias("data"))
+    return small_batches(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.hash(doc_id, F.col("text")).alias("tie"), text_bytes().alias("data"))
 
 
 def _all_contexts(docs: DataFrame, length: int) -> DataFrame:
