@@ -77,7 +77,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
         near = open_codes.select("q_code", "bound", F.posexplode(F.array(*[_segment(F.col("q_code"), s, width) for s in range(m)])).alias("q_segment", "q_key"))
         # the masks are at most C(width, r) rows, whatever the input: they are broadcast where Spark finds them small
         probes = near.join(masks, F.lit(True)).select("q_code", "bound", joint(F.col("q_segment"), F.col("q_key").bitwiseXOR(F.col("mask"))).alias("probe"))
-        met = probes.join(keys, F.col("probe") == F.col("key"))
+        # Spark takes the exploded probes for small and would broadcast them; both sides grow with the input, so both are shuffled
+        met = probes.hint("merge").join(keys, F.col("probe") == F.col("key"))
         differ = F.col("q_code").bitwiseXOR(F.col("code"))
         parts = [F.bit_count(_segment(differ, s, width)) for s in range(m)]
         # nothing beyond the k-th distance so far can be among the k; both conditions are part of the join
