@@ -173,3 +173,60 @@ def is_page_set(pages: DataFrame, key: str, has_code: Column) -> DataFrame:
     """Files of which at least two pages and half of all have a code: each page is a drawing of its own."""
     counts = pages.groupBy(key).agg(F.count("*").alias("n_pages"), F.count_if(has_code).alias("n_coded"))
     return counts.withColumn("page_set", (F.col("n_coded") >= 2) & (2 * F.col("n_coded") >= F.col("n_pages")))
+
+
+def sheet_of(drawings: DataFrame, key: str, rects: DataFrame, scale: Column) -> DataFrame:
+    """(key, paper, portrait, factor, exact): the fitting frame's paper; without one the smallest paper that holds the whole
+    drawing (w, h), first at factor 1, then at its scale; else A3 with the factor that shrinks it to fit.
+
+    drawings: key, w, h; rects: key, w, h. Papers are a constant few, so no join grows with the input.
+    """
+    whole = drawings.withColumn("f_scale", F.coalesce(scale, F.lit(1.0)))
+    framed = paper_fit(rects.unionByName(drawings.select(*rects.columns)), key, scale).select(F.col(key).alias("p_key"), F.struct("paper", "portrait", "factor").alias("frame"))
+    tall = F.col("w") < F.col("h")
+    long, short = F.greatest("w", "h"), F.least("w", "h")
+
+    def holds(f: Column) -> Column:
+        return F.coalesce(*[F.when((long / f <= w) & (short / f <= h), F.lit(n)) for n, w, h in PAPERS])
+
+    at_one, at_scale = holds(F.lit(1.0)), holds(F.col("f_scale"))
+    named = lambda p, f: F.struct(p.alias("paper"), tall.alias("portrait"), f.alias("factor"))
+    shrunk = F.greatest(long / 420.0, short / 297.0)
+    found = F.coalesce("frame", F.when(at_one.isNotNull(), named(at_one, F.lit(1.0))), F.when(at_scale.isNotNull(), named(at_scale, F.col("f_scale"))))
+    out = whole.join(framed, F.col(key) == F.col("p_key"), "left").withColumn("sheet", F.coalesce(found, named(F.lit(""), shrunk)))
+    return out.select(key, "sheet.paper", "sheet.portrait", "sheet.factor", (F.col("sheet.paper") != "").alias("exact"))
+
+
+def quantity_regions(rows: DataFrame, group: Sequence[str], spans: DataFrame) -> DataFrame:
+    """(group, x0, x1, h, y): where a table's quantity cells are, for reading them again.
+
+    rows: y, h of each row; spans: lo, hi, column of the table. Rows are evenly spaced, so their heights are put on the line
+    fitted through them if its slope is within a tenth of the median gap; the text height is at most gap / 1.8.
+    """
+    region = spans.where(F.col("column").rlike(r"^qty\d*$")).groupBy(*group).agg(F.min("lo").alias("x0"), F.max("hi").alias("x1"))
+    order = Window.partitionBy(*group).orderBy("y")
+    whole = Window.partitionBy(*group)
+    gaps = rows.withColumn("gap", F.col("y") - F.lag("y").over(order)).withColumn("first", F.min("y").over(whole))
+    spaced = gaps.withColumn("pitch", F.median(F.when(F.col("gap") > 0.5 * F.col("h"), F.col("gap"))).over(whole))
+    placed = spaced.withColumn("k", F.round((F.col("y") - F.col("first")) / F.col("pitch")))
+    fit = placed.groupBy(*group).agg(F.regr_slope("y", "k").alias("slope"), F.regr_intercept("y", "k").alias("at"), F.count("*").alias("n"), F.count_distinct("k").alias("m"))
+    joined = placed.join(fit, list(group)).join(region, list(group))
+    even = (F.col("n") >= 3) & (F.col("m") == F.col("n")) & F.col("slope").between(0.9 * F.col("pitch"), 1.1 * F.col("pitch"))
+    pitch = F.when(even, F.col("slope")).otherwise(F.col("pitch"))
+    height = F.when(F.col("n") >= 3, F.least(F.col("h"), pitch / 1.8)).otherwise(F.col("h"))
+    return joined.select(*group, "x0", "x1", height.alias("h"), F.when(even, F.col("at") + F.col("slope") * F.col("k")).otherwise(F.col("y")).alias("y"))
+
+
+def better_reading(first: DataFrame, again: DataFrame, key: str, filled: Column, enough: float = 0.8) -> DataFrame:
+    """Rows of the second reading for tables whose first has quantities in less than ``enough`` of its rows, if the second has
+    as many rows and more quantities; else those of the first."""
+    score = lambda df, n: df.groupBy(F.col(key).alias(f"{n}_key")).agg(F.count("*").alias(f"{n}_rows"), F.count_if(filled).alias(f"{n}_filled"))
+    a, b = score(first, "a"), score(again, "b")
+    better = (F.col("a_filled") < enough * F.col("a_rows")) & (F.col("b_rows") >= F.col("a_rows")) & (F.col("b_filled") > F.col("a_filled"))
+    chosen = a.join(b, F.col("a_key") == F.col("b_key")).where(better).select(F.col("a_key").alias("c_key"))
+    return first.join(chosen, F.col(key) == F.col("c_key"), "left_anti").unionByName(again.join(chosen, F.col(key) == F.col("c_key"), "left_semi"))
+
+
+def reading_order(items: DataFrame, partition: Sequence[str]) -> DataFrame:
+    """Adds place: from the top, by the upper edge rounded to tens, then from the left."""
+    return items.withColumn("place", F.row_number().over(Window.partitionBy(*partition).orderBy(F.desc(F.round(F.col("y") + F.col("h"), -1)), "x", "id")))

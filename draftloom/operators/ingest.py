@@ -108,3 +108,21 @@ def requeue(files: DataFrame, jobs: DataFrame, where: Column, limit: int) -> Dat
 def newest_by_key(rows: DataFrame, owner: str, key: Column, at: str) -> DataFrame:
     """Cache entries to keep: per owner the newest, under a hash of what the entry was made from."""
     return last_wins(rows.select(owner, F.sha1(key.cast("binary")).alias("cache_key"), at), owner, [F.col(at)])
+
+
+def cache_misses(files: DataFrame, cache: DataFrame, version: int) -> DataFrame:
+    """Pages whose result is not cached: by content hash, page and resolution, in the current version of the results."""
+    known = cache.where(F.col("version") == version).select("sha256", "page_no", "dpi")
+    return files.join(known, ["sha256", "page_no", "dpi"], "left_anti")
+
+
+def result_entries(payloads: DataFrame, drawing: str, pages: str, bom: str) -> DataFrame:
+    """(job_id, entry): the drawings of a result; the older form, with one drawing at the top level, is its page 1.
+
+    payloads: job_id, data (JSON). ``drawing``, ``pages`` and ``bom`` are the Spark types of the parts.
+    """
+    parts = f"drawing: {drawing}, pages: {pages}, bom: {bom}"
+    parsed = F.from_json("data", f"struct<drawings: array<struct<page_no: int, {parts}>>, {parts}>")
+    rows = payloads.select("job_id", parsed.alias("p"))
+    single = F.array(F.struct(F.lit(1).alias("page_no"), "p.drawing", "p.pages", "p.bom"))
+    return rows.select("job_id", F.explode(F.coalesce("p.drawings", single)).alias("entry"))
