@@ -63,6 +63,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+OP1_SQL = """
+WITH t AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS seq, coalesce(role, '') AS role, text FROM conversations
+), u AS (
+  SELECT *, 'call-' || conv_id || '-' || seq AS call_id, seq - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS run FROM t WHERE role = 'user'
+), c AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, run ORDER BY seq) - 1 AS INTEGER) AS level FROM u
+), r AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN 'call-' || conv_id || '-' || (seq - 1) END AS call_id FROM t WHERE role <> 'user'
+)
+SELECT conv_id, seq, 'call' AS kind, call_id, EXISTS (SELECT 1 FROM r WHERE r.call_id = c.call_id) AS linked, level, seq AS call_seq, text IS NOT NULL AS valid,
+  CASE WHEN text IS NULL THEN 'missing text' ELSE '' END AS errors,
+  '{"arguments":{"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || seq || '},"id":"' || call_id || '","name":"reply","type":"call"}' AS message
+FROM c
+UNION ALL
+SELECT r.conv_id, r.seq, 'result', r.call_id, c.call_id IS NOT NULL, coalesce(c.level, -1), coalesce(c.seq, r.seq), c.call_id IS NOT NULL, CASE WHEN c.call_id IS NULL THEN 'no call' ELSE '' END,
+  '{"content":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || ',"id":' || coalesce('"' || r.call_id || '"', 'null') || ',"type":"result"}'
+FROM r LEFT JOIN c ON r.call_id = c.call_id
+"""
+
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
@@ -142,4 +162,4 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}
