@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +53,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffle files of jobs that are over, before the next large job writes its own."""
-    import gc
+    """Let Spark's cleaner find the shuffle files of jobs that are over, before the next large job writes its own.
 
+    The listeners of the last job hold its plan until they have run, so they are waited for, for a second at most.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    context = spark.sparkContext._jsc.sc()
+    try:
+        context.listenerBus().waitUntilEmpty(1_000)
+    except Py4JJavaError:  # still busy: the next call releases what this one can't
+        pass
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 #: Rows of a batch that a Python worker gets: with texts of some kilobytes a few MB. Spark's own default is ten times that.
