@@ -85,3 +85,24 @@ def two_level(high: Column, low: Column, selector: str) -> Column:
 def json_has(json: Column, key: str, value: Column) -> Column:
     """Whether the array of strings under ``key`` of a JSON object has the value."""
     return F.array_contains(F.from_json(F.get_json_object(json, f"$.{key}"), "array<string>"), value)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct three-character pieces of a text; none for shorter texts."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda k: F.substr(text, k, F.lit(3)))
+    return F.when(F.length(text) >= 3, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_postings(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """(gram, key): the index behind substring search; written partitioned by gram it spares the scan of all texts."""
+    return df.select(F.explode(trigrams(text)).alias("gram"), key)
+
+
+def trigram_search(df: DataFrame, postings: DataFrame, key: str, text: Column, phrase: str) -> DataFrame:
+    """Rows whose text has the phrase: those that have all its trigrams, then checked. Shorter phrases scan."""
+    grams = sorted({phrase[k : k + 3] for k in range(len(phrase) - 2)})
+    hit = F.contains(text, F.lit(phrase))
+    if not grams:
+        return df.where(hit)
+    found = postings.where(F.col("gram").isin(grams)).groupBy(F.col(key).alias("f_key")).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+    return df.join(found, F.col(key) == F.col("f_key"), "left_semi").where(hit)

@@ -125,3 +125,12 @@ def tuple_semi_join(spark, sf_dir):
 @query("SELECT doc_id, substr(text, 1, 64) AS title, substr(source, 1, 4) AS short_source FROM documents")
 def truncate_project(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 64).alias("title"), F.substring("source", 1, 4).alias("short_source"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), (SELECT lower(substr(min(p_name), 2, 6)) FROM part))")
+def trigram_search(spark, sf_dir):
+    """Parts whose name has a phrase, by the index of trigrams."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    phrase = part.agg(F.lower(F.substring(F.min("p_name"), 2, 6)).alias("p")).first()["p"] or ""
+    name = F.lower("p_name")
+    return op.trigram_search(part, op.trigram_postings(part, "p_partkey", name), "p_partkey", name, phrase)
