@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import small_batches, text_bytes
 
 CHUNK_BYTES = 1_000_000
-CACHED_PIECES = 500_000  # some 100 MB in a worker
+CACHED_PIECES = 400_000  # below 100 MB in a worker
 
 
 @lru_cache(1)
@@ -58,12 +58,13 @@ class Codec:
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         size = max(ranks.values()) + 1
         self.token_bytes = [b""] * size
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
         self.decimal = [str(k) for k in range(size)]
+        self.whole = list(range(size))  # one object for each id, whatever remembers it
         self.path, self.pattern, self.ranks, self._exact = path, pattern, ranks, None
 
     def exact(self):
@@ -83,7 +84,7 @@ class Codec:
             new = set(chain.from_iterable(p for p in pieces if p))
         ordered = list(new)
         for piece, found in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False), strict=True):
-            self.pieces[piece] = found.ids
+            self.pieces[piece] = tuple(map(self.whole.__getitem__, found.ids))
         of = self.pieces.__getitem__
         return [self.exact().encode_ordinary(t) if p is None else list(chain.from_iterable(map(of, p))) for p, t in zip(pieces, texts, strict=True)]
 
