@@ -241,7 +241,7 @@ def flag_runs(flags: np.ndarray) -> list[int]:
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, k_id and tie, which together tell rows apart (identical rows share them), and the bytes."""
     doc_id = F.col("doc_id").cast("long")
-    return small_batches(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.hash(doc_id, F.col("text")).alias("tie"), text_bytes().alias("data"))
+    return small_batches(docs).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.xxhash64(doc_id, F.col("text")).alias("tie"), text_bytes().alias("data"))
 
 
 def _all_contexts(docs: DataFrame, length: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _all_contexts(docs: DataFrame, length: int) -> DataFrame:
             anchor, digest, first, count = (np.concatenate([f[k] for f in found]) for k in range(4))
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), *ids, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "digest", "k_id", "tie", "first", "windows"])
 
-    return _keyed(docs).select("k_id", "tie", "data").mapInArrow(run, "anchor long, digest long, k_id long, tie int, first int, windows int")
+    return _keyed(docs).select("k_id", "tie", "data").mapInArrow(run, "anchor long, digest long, k_id long, tie long, first int, windows int")
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -450,7 +450,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     mine = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.hash(doc_id, F.col("text")).alias("tie"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.coalesce(doc_id, F.lit(0)).alias("k_id"), F.xxhash64(doc_id, F.col("text")).alias("tie"))
     joined = _with_spans(docs, rows, length)
     text = mine["text"]
     out = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(text, "spans")))
