@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Document types that each level may see; None: all. Unknown levels see what Guest sees.
 LEVELS: dict[str, set[str] | None] = {"Admin": None, "User": None, "Guest": {"drawing"}}
-#: Dictionaries above this many rows are joined instead of becoming part of the predicate.
-MAX_INLINE_TERMS = 1_000
+#: Terms of a word that are compared one by one; more are searched as an array.
+MAX_CHAIN = 50
 
 
 def visible(df: DataFrame, level: str, type_col: str = "doc_type") -> DataFrame:
@@ -45,24 +45,30 @@ def expand_terms(words: DataFrame, dictionary: DataFrame, norm=F.lower) -> DataF
 
 
 def contains_all(text: Column, groups: Sequence[Sequence[str]]) -> Column:
-    """Literal substring search: every group must have a term in the text. An empty search matches all."""
-    any_of = [reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in group], F.lit(False)) for group in groups]
-    return reduce(lambda a, b: a & b, any_of, F.lit(True))
+    """Literal substring search: every group must have a term in the text. An empty search matches all.
+
+    A few terms are a chain of ``contains``, which is compiled with the scan; many are an array that is searched.
+    """
+
+    def any_of(group: Sequence[str]) -> Column:
+        if len(group) > MAX_CHAIN:
+            return F.exists(F.lit(list(group)), lambda t: F.contains(text, t))
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in group], F.lit(False))
+
+    return reduce(lambda a, b: a & b, [any_of(g) for g in groups], F.lit(True))
 
 
 def search(df: DataFrame, text: Column, words: Sequence[str], dictionary: DataFrame, norm=F.lower) -> DataFrame:
     """Rows of ``df`` whose normalised text has every word or one of its synonyms.
 
-    The expansion of a few words by a dictionary of at most MAX_INLINE_TERMS entries is small and becomes an array that is
-    broadcast with one row; the scan then evaluates nested ``forall``/``exists`` without a join. Larger dictionaries: the
-    expanded terms of the words asked for are still few, as only two hops from them are kept.
+    The words asked for and their synonyms, two hops from them, are what comes to the driver; they become a predicate of
+    the scan, without a join.
     """
-    spark = df.sparkSession
-    asked = spark.createDataFrame([(w,) for w in words], "word string")
-    terms = expand_terms(asked, dictionary, norm).groupBy("word").agg(F.collect_set("term").alias("terms")).agg(F.collect_list("terms").alias("groups"))
-    joined = df.join(terms, F.lit(True))
-    hit = F.forall("groups", lambda g: F.exists(g, lambda t: F.contains(norm(text), t)))
-    return joined.where(hit).drop("groups")
+    asked = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    groups: dict[str, list[str]] = {}
+    for row in expand_terms(asked, dictionary, norm).orderBy("word", "term").collect():
+        groups.setdefault(row["word"], []).append(row["term"])
+    return df.where(contains_all(norm(text), list(groups.values())))
 
 
 def enum_or_default(value: str, allowed: Sequence[str], default: str) -> str:

@@ -17,6 +17,8 @@ def test_synonyms_and_visibility(spark):
     docs = spark.createDataFrame([("x 100% B",), ("b c",), ("one_two",)], "t string")
     assert search.search(docs, F.col("t"), ["a", "100%"], known).count() == 1
     assert search.search(docs, F.col("t"), ["a"], known).count() == 3
+    many = docs.where(search.contains_all(F.lower("t"), [["b", *[f"z{k}" for k in range(99)]]]))
+    assert many.count() == 2
     typed = spark.createDataFrame([("drawing",), ("contract",), (None,)], "doc_type string")
     assert [search.visible(typed, lv).count() for lv in ("Admin", "User", "Guest", "?")] == [3, 3, 1, 1]
     people = spark.createDataFrame([(["User"], False), (["Admin", "User"], False), ([], True), ([], False)], "g array<string>, s boolean")
