@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality classifier, SimHash near-dedup, suffix-array dedup, source mixing, byte-level BPE.
+"""Corpus pipeline: quality classifier, near-dedup by similarity, suffix-array dedup, source mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftloom.llm import bpe, mixing, quality, simhash, suffix
+from draftloom.llm import bpe, mixing, quality, similar, suffix
 from draftloom.llm.shared import as_table, load
 
 
@@ -17,8 +17,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

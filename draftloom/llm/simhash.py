@@ -122,8 +122,13 @@ def fingerprint_hex(fp: Column) -> Column:
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one document of each group stays: the smallest doc_id (null
     last), then by text; of identical rows one."""
+    return keep_lowest(docs, group(docs, max_bits))
+
+
+def keep_lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` leaves of ``groups`` (doc_id, tie, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
-    kept = group(docs, max_bits).groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("k_id"), F.col("o.tie").alias("k_tie"))
+    kept = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("k_id"), F.col("o.tie").alias("k_tie"))
     mine = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_tie"))
     found = rows.join(kept, F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_tie") == F.col("k_tie")), "left_semi")
