@@ -128,6 +128,12 @@ def scheduled_time(done: Column, weight: Column, schedules: Mapping[int, Sequenc
     return out
 
 
+def by_position(plan: DataFrame) -> DataFrame:
+    """The rows of :func:`mix`, range-partitioned and sorted by training position; what is not taken comes last."""
+    order = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()]
+    return plan.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def materialize(docs: DataFrame, plan: DataFrame, schedules: Mapping[int, Sequence[tuple[float, float]]] = QUERY_SCHEDULES) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``plan`` has copies of it, by training position.
 

@@ -35,7 +35,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.by_position(mixing.mix(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
