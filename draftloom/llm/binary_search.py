@@ -11,14 +11,15 @@ BITS, TOP = 64, 10
 
 
 def sign_code(embedding: Column) -> Column:
-    """64 bits as a long: bit i is set where component i is above 0. Components beyond 64 are not used; missing, null and
-    NaN components give 0. Null embeddings give null."""
+    """64 bits as a long: bit i is set where component i is above 0. More than 64 components are an error; missing, null
+    and NaN components give 0. Null embeddings give null."""
     one = F.lit(1).cast("long")
     bits = F.transform(
         F.sequence(F.lit(0), F.lit(BITS - 1)),
         lambda i: F.when((F.get(embedding, i) > 0) & ~F.isnan(F.get(embedding, i)), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")),
     )
-    return F.when(embedding.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    wide = F.raise_error(F.concat(F.lit(f"codes have {BITS} bits, the embedding has "), F.size(embedding).cast("string"), F.lit(" components"))).cast("long")
+    return F.when(F.size(embedding) > BITS, wide).when(embedding.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def _segment(code: Column, k: int, width: int) -> Column:
