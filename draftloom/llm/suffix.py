@@ -1,17 +1,23 @@
 """Suffix-array dedup: bytes covered by strings of a given length that start more than once anywhere.
 
-Shards are made by content, so that equal strings meet in one shard: a string's anchor is the K-byte gram of smallest
-hash in it (the leftmost of equal ones), which is the same wherever the string stands. A context is a maximal run of
-window starts with one anchor, and the text that these windows cover. Only contexts whose anchor hash occurs again can
-hold a repeated string. Equal contexts are merged, with their number, before any text is moved. A shard then holds whole
-anchors: its suffix array is refined by doubling, its common prefixes follow, and windows that share the full length with
-a neighbour repeat. An anchor with many different contexts is split over shards, whose windows are merged afterwards by
-range and binary search.
+A string's anchor is the K-byte gram of smallest hash in it (the leftmost of equal ones), which is the same wherever the
+string stands. A context is a maximal run of window starts with one anchor, and the text that these windows cover. Only
+contexts whose anchor hash occurs again can hold a repeated string. Equal contexts are merged, with their number, before
+any text is moved.
+
+Contexts are sorted by anchor and by the text left of it, and dealt out by range, so every shard is a sorted run of about
+``SHARD_BYTES``, whatever the number of contexts of an anchor. A shard's suffix array is refined by doubling, its common
+prefixes follow, and windows that share the full length with a neighbour repeat. Only an anchor at either end of a run can
+go on in another shard. There, a window can stand in another shard only if the text left of its anchor is also that of the
+run's first or last context; binary search in the run finds the contexts that share so much with them. What is left open
+is sorted once more by the text right of the anchor, merged the same way, and what even then reaches over an end is
+counted window by window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +30,8 @@ from .shared import as_table, drop_table, release_shuffles, small_batches, text_
 
 LENGTH = 200
 GRAM = 32  # bytes of an anchor, a power of two; LENGTH must be twice that or more
-#: Different contexts of one anchor in one piece, and bytes of text under one suffix array.
-PIECE, SHARD_BYTES = 512, 1_000_000
-#: Windows of a split anchor that are compared between pieces only if another context has the bytes that all of them share.
-CHUNK = 8
+#: Bytes of text under one suffix array.
+SHARD_BYTES = 1_000_000
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PLACE = 20  # low bits of a sort key that hold a place, so that of equal hashes the leftmost is smallest
@@ -61,7 +65,7 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context digest, first window start, number of windows) of each context of a text."""
+    """(anchor hash, context digest, first window start, number of windows, bytes before the anchor) of each context of a text."""
     out: list[tuple[np.ndarray, ...]] = []
     for begin in range(0, max(len(data) - length + 1, 0), _BLOCK - length + 1):
         raw = np.frombuffer(data[begin : begin + _BLOCK], np.uint8)
@@ -79,9 +83,9 @@ def contexts_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         with np.errstate(over="ignore"):
             for k in range(0, 2 * length, gram):
                 digest = (digest ^ (digest >> np.uint64(31))) * _Q + g[np.minimum(first + k, last)]
-        out.append((h[place[first]].view(np.int64), _mix(digest).view(np.int64), first + begin, count))
+        out.append((h[place[first]].view(np.int64), _mix(digest).view(np.int64), first + begin, count, place[first] - first))
     if not out:
-        return tuple(np.empty(0, np.int64) for _ in range(4))
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -185,48 +189,76 @@ def _depths(length: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def repeated_windows(contexts: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(contexts: list[bytes], counts: np.ndarray, length: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over all windows of the contexts, one after another: whether each repeats here (or its context counts more than
-    once), whether it stands for its equals here, and the place of each context's first window."""
+    once), whether it stands for its equals here, and the place of each context's first window, with the end of the last.
+    With ``asked``, a flag for each window, the others take no part."""
     sizes = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"".join(contexts), np.uint8)
     starts = np.cumsum(sizes) - sizes
     room = np.repeat(starts + sizes, sizes) - np.arange(len(text))
+    window = room >= length
     key, _, order = suffix_ranks(text, room, _depths(length))
-    order = order[room[order] >= length]
+    takes_part = window.copy()
+    if asked is not None:
+        takes_part[window] = asked
+    order = order[takes_part[order]]
     prefix = common_prefixes(key, room, order)
     full = prefix[order] >= length
-    again, speaks = np.zeros(len(text), bool), np.ones(len(text), bool)
+    again, speaks = np.zeros(len(text), bool), takes_part
     again[order[full]] = True
     again[order[np.flatnonzero(full) - 1]] = True
     speaks[order[full]] = False
     again |= np.repeat(np.asarray(counts) > 1, sizes)
-    window = room >= length
-    firsts = np.cumsum(sizes - length + 1) - (sizes - length + 1)
-    return again[window], speaks[window], firsts
+    return again[window], speaks[window], np.concatenate([[0], np.cumsum(sizes - length + 1)])
+
+
+def shared_with_ends(side: list[bytes], anchors: list[int], most: int) -> list[int]:
+    """For each context of a run sorted by (anchor, side), how many bytes of its side, at most ``most``, a context of another
+    run can share: as many as it shares with the run's first or last context; -1 where the anchor is at neither end.
+
+    Sorted, the contexts that share the first k bytes with an end are a stretch from that end on. Binary search finds where
+    it stops, for each k.
+    """
+    out = [-1] * len(side)
+    first, last = bisect_right(anchors, anchors[0]), bisect_left(anchors, anchors[-1])
+    stop = first
+    for k in range(min(most, len(side[0])) + 1):
+        stop = bisect_right(side, side[0][:k], 0, stop, key=lambda s: s[:k])  # noqa: B023
+        for c in range(stop):
+            out[c] = k
+        if stop == 1:  # the end alone: it may share all it has
+            break
+    out[0] = min(most, len(side[0]))
+    start = last
+    for k in range(min(most, len(side[-1])) + 1):
+        start = bisect_left(side, side[-1][:k], start, len(side), key=lambda s: s[:k])  # noqa: B023
+        for c in range(start, len(side)):
+            out[c] = max(out[c], k)
+        if start == len(side) - 1:
+            break
+    out[-1] = max(out[-1], min(most, len(side[-1])))
+    return out
 
 
-def window_chunks(data: bytes, tell: np.ndarray, length: int, gram: int = GRAM) -> list[dict]:
-    """The windows ``tell`` of a context in chunks by their distance to the anchor: a hash of the bytes that all windows of
-    the chunk share (core), and of each window its place and two 64-bit hashes of all its bytes."""
+def window_digests(data: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of all bytes of each of the windows ``at``."""
     raw = np.frombuffer(data, np.uint8)
-    n = len(raw) - length + 1
     half = 1 << (length.bit_length() - 1)
+    out = []
     with np.errstate(over="ignore"):
-        keys = (_mix(grams(raw[:length], gram)) & ~np.uint64(_BLOCK))[n - 1 : length - gram + 1]
-        anchor = n - 1 + int(np.argmin(keys))
-        digests, cores = [], None
         for base, other in ((_P, _Q), (_Q, _P)):
             g = grams(raw, half, base)
-            digests.append(_mix(_mix(g[tell]) * other + g[tell + length - half]).view(np.int64))
-            if cores is None:
-                chunk = (anchor - tell) // CHUNK
-                first = anchor - chunk * CHUNK
-                cores = _mix(_mix(g[first]) * _Q + g[first + length - CHUNK + 1 - half] + chunk.astype(np.uint64)).view(np.int64)
-    out = []
-    for a, m in zip(*_runs(chunk), strict=True):
-        out.append({"core": int(cores[a]), "one": digests[0][a : a + m].tolist(), "two": digests[1][a : a + m].tolist(), "at": tell[a : a + m].tolist()})
-    return out
+            out.append(_mix(_mix(g[at]) * other + g[at + length - half]).view(np.int64))
+    return out[0], out[1]
+
+
+def run_flags(runs: list[int], size: int) -> np.ndarray:
+    """The flags of :func:`flag_runs`."""
+    edge = np.zeros(size + 1, np.int8)
+    edge[runs[::2]] += 1
+    edge[runs[1::2]] -= 1
+    return np.cumsum(edge[:-1]).astype(bool)
 
 
 def flag_runs(flags: np.ndarray) -> list[int]:
@@ -252,106 +284,112 @@ def _all_contexts(docs: DataFrame, length: int) -> DataFrame:
                 continue
             each = np.array([len(f[0]) for f in found])
             ids = [pa.array(np.repeat(batch.column(k).to_numpy(), each)) for k in (0, 1)]
-            anchor, digest, first, count = (np.concatenate([f[k] for f in found]) for k in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), *ids, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "digest", "k_id", "tie", "first", "windows"])
+            anchor, digest, first, count, lead = (np.concatenate([f[k] for f in found]) for k in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), *ids, *[pa.array(c.astype(np.int32)) for c in (first, count, lead)]], ["anchor", "digest", "k_id", "tie", "first", "windows", "lead"])
 
-    return _keyed(docs).select("k_id", "tie", "data").mapInArrow(run, "anchor long, digest long, k_id long, tie long, first int, windows int")
+    return _keyed(docs).select("k_id", "tie", "data").mapInArrow(run, "anchor long, digest long, k_id long, tie long, first int, windows int, lead int")
 
 
 def _cut_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The text of each wanted context, from the document that it is taken from."""
-    rows = wanted.groupBy(F.col("at.k_id").alias("w_id"), F.col("at.tie").alias("w_tie")).agg(F.collect_list(F.struct("anchor", "digest", "n", "piece", "split", "at.first", "at.windows")).alias("wanted"))
-    joined = _keyed(docs).join(rows, (F.col("k_id") == F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("data", "wanted")
+    """Each wanted context with its text up to the anchor, backwards, and from the anchor on."""
+    rows = wanted.groupBy(F.col("at.k_id").alias("w_id"), F.col("at.tie").alias("w_tie")).agg(F.collect_list(F.struct("anchor", "digest", "n", "at.first", "at.windows", "at.lead")).alias("wanted"))
+    # identical rows are one before they are moved
+    texts = _keyed(docs).groupBy("k_id", "tie").agg(F.first("data").alias("data"))
+    joined = texts.join(rows, (F.col("k_id") == F.col("w_id")) & (F.col("tie") == F.col("w_tie"))).select("data", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "digest", "n", "piece", "split", "context"]
         for batch in batches:
             for data, want in zip(batch.column(0), batch.column(1), strict=True):
-                data, want = data.as_py(), want.values if hasattr(want, "values") else want
-                col = {f: want.field(f) for f in ("anchor", "digest", "n", "piece", "split", "first", "windows")}
-                text = [data[a : a + w + length - 1] for a, w in zip(col["first"].to_pylist(), col["windows"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*[col[f] for f in names[:-1]], pa.array(text, pa.binary())], names)
+                data, want = data.as_py(), want.values
+                col = {f: want.field(f) for f in ("anchor", "digest", "n", "first", "windows", "lead")}
+                places = list(zip(*[col[f].to_pylist() for f in ("first", "windows", "lead")], strict=True))
+                left = [data[a : a + lead][::-1] for a, _, lead in places]
+                right = [data[a + lead : a + w + length - 1] for a, w, lead in places]
+                yield pa.RecordBatch.from_arrays([col["anchor"], col["digest"], col["n"], pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["anchor", "digest", "n", "before", "after"])
 
-    return joined.mapInArrow(run, "anchor long, digest long, n long, piece long, split boolean, context binary")
+    return joined.mapInArrow(run, "anchor long, digest long, n long, before binary, after binary")
 
 
-def _shard_windows(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Suffix arrays over runs of whole (anchor, piece) groups: the repeated windows of each context and, of split anchors,
-    digests of the windows that other pieces have to know."""
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[0], r[3], r[1]))
-        again, speaks, firsts = repeated_windows([r[5] for r in rows], np.array([r[2] for r in rows]), length)
-        ends = np.append(firsts[1:], len(again))
-        runs, chunks = [], []
-        for r, a, b in zip(rows, firsts, ends, strict=True):
-            runs.append(flag_runs(again[a:b]))
-            tell = np.flatnonzero(speaks[a:b]) if r[4] else ()
-            chunks.append(window_chunks(r[5], tell, length) if len(tell) else [])
-        return pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array(runs, pa.list_(pa.int32())), pa.array(chunks, kind),
-        ], ["anchor", "digest", "runs", "chunks"])
-
-    kind = pa.list_(pa.struct([("core", pa.int64()), ("one", pa.list_(pa.int64())), ("two", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
+def _runs_of(sorted_rows: DataFrame, solve, schema: str, shard_bytes: int) -> DataFrame:
+    """``solve`` over runs of about ``shard_bytes`` of the sorted rows of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= shard_bytes and (row[0], row[3]) != (rows[-1][0], rows[-1][3]):
+                rows.append(row)
+                size += len(row[3]) + len(row[4])
+                if size >= shard_bytes:
                     yield solve(rows)
                     rows, size = [], 0
-                rows.append(row)
-                size += len(row[5])
         if rows:
             yield solve(rows)
 
-    spread = contexts.repartition(F.col("anchor"), F.col("piece")).sortWithinPartitions("anchor", "piece")
-    return spread.mapInArrow(run, "anchor long, digest long, runs array<int>, chunks array<struct<core long, one array<long>, two array<long>, at array<int>>>")
+    return sorted_rows.mapInArrow(run, schema)
 
 
-def _merge_pieces(shards: DataFrame) -> DataFrame:
-    """anchor, digest, runs of the windows of split anchors that stand in several pieces.
+def _first_runs(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Runs sorted by the text left of the anchor. Of each context: ``runs`` of windows that repeat in its run, and, of those
+    that stand for their equals here, ``open`` runs of windows that may stand in another run; with the text where any are."""
 
-    Only windows go on whose chunk's core another context has. They are range-partitioned by digest and sorted, so each task holds one range of all pieces' windows;
-    binary search finds how often a window's digest is there. A piece names a window once, so a digest that is there
-    twice is in two pieces."""
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        anchor, digest, n, before, after = map(list, zip(*rows, strict=True))
+        again, speaks, ends = repeated_windows([b[::-1] + a for b, a in zip(before, after, strict=True)], np.array(n), length)
+        reach = shared_with_ends(before, anchor, length)
+        runs, left_open = [], []
+        for k, most in enumerate(reach):
+            a, b = ends[k], ends[k + 1]
+            runs.append(flag_runs(again[a:b]))
+            if most >= 0:
+                speaks[a : a + max(0, len(before[k]) - most)] = False
+            left_open.append(flag_runs(speaks[a:b]) if most >= 0 else [])
+        keep = [bool(o) for o in left_open]
+        ints = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([
+            pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(runs, ints), pa.array(left_open, ints),
+            *[pa.array([t if k else None for t, k in zip(side, keep, strict=True)], pa.binary()) for side in (before, after)],
+        ], ["anchor", "digest", "runs", "open", "before", "after"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            one = table.column("one").to_numpy()
-            cut = int(np.searchsorted(one, one[-1], "left"))  # the last digest may go on in the next batch
-            held = table.slice(cut)
-            yield from found(table.slice(0, cut))
-        if held is not None:
-            yield from found(held)
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        one, two = table.column("one").to_numpy(), table.column("two").to_numpy()
-        many = np.searchsorted(one, one, "right") - np.searchsorted(one, one, "left") > 1
-        like = np.zeros(len(one) + 1, bool)
-        like[1:-1] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-        hits = table.select(["anchor", "digest", "at"]).filter(pa.array(many & (like[:-1] | like[1:])))
-        yield from hits.to_batches()
-
-    chunks = shards.where(F.size("chunks") > 0).select("anchor", "digest", F.explode("chunks").alias("c")).select("anchor", "digest", "c.core", "c.one", "c.two", "c.at")
-    cores = as_table(chunks.groupBy(F.col("core").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"), "cores")
-    shared = chunks.join(cores, F.col("core") == F.col("k"), "left_semi")
-    split = shared.select("anchor", "digest", F.explode(F.arrays_zip("one", "two", "at")).alias("w")).select("anchor", "digest", "w.one", "w.two", "w.at")
-    ranged = split.repartitionByRange("one", "two").sortWithinPartitions("one", "two")
-    hits = ranged.mapInArrow(run, "anchor long, digest long, at int")
+    ranged = contexts.repartitionByRange("anchor", "before", "after").sortWithinPartitions("anchor", "before", "after").select("anchor", "digest", "n", "before", "after")
+    return _runs_of(ranged, solve, "anchor long, digest long, runs array<int>, open array<int>, before binary, after binary", shard_bytes)
+
+
+def _second_runs(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """The open windows of :func:`_first_runs` in runs sorted by the text right of the anchor. Of a window that is open at both
+    sides, ``open`` has the place and two hashes of all its bytes."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        anchor, digest, asked_runs, before, after = map(list, zip(*rows, strict=True))
+        texts = [b[::-1] + a for b, a in zip(before, after, strict=True)]
+        asked = np.concatenate([run_flags(r, len(t) - length + 1) for r, t in zip(asked_runs, texts, strict=True)])
+        again, speaks, ends = repeated_windows(texts, np.ones(len(rows), np.int64), length, asked)
+        reach = shared_with_ends(after, anchor, length)
+        runs, left_open = [], []
+        for k, most in enumerate(reach):
+            a, b = ends[k], ends[k + 1]
+            runs.append(flag_runs(again[a:b]))
+            # window w ends with byte w + length - len(before) of the text from the anchor on
+            at = np.flatnonzero(speaks[a:b][: max(0, most - length + len(before[k]) + 1)]) if most >= 0 else np.empty(0, np.int64)
+            one, two = window_digests(texts[k], at, length) if len(at) else (at, at)
+            left_open.append([{"at": x, "one": y, "two": z} for x, y, z in zip(at.tolist(), one.tolist(), two.tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(digest, pa.int64()), pa.array(runs, pa.list_(pa.int32())), pa.array(left_open, kind)], ["anchor", "digest", "runs", "open"])
+
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("one", pa.int64()), ("two", pa.int64())]))
+    ranged = contexts.repartitionByRange("anchor", "after", "before").sortWithinPartitions("anchor", "after", "before").select("anchor", "digest", "open", "before", "after")
+    return _runs_of(ranged, solve, "anchor long, digest long, runs array<int>, open array<struct<at int, one long, two long>>", shard_bytes)
+
+
+def _open_windows(second: DataFrame) -> DataFrame:
+    """anchor, digest, runs of the windows that are open at both sides and stand in several runs. A run names a window once."""
+    each = second.where(F.size("open") > 0).select("anchor", "digest", F.explode("open").alias("w")).select("anchor", "digest", "w.at", "w.one", "w.two")
+    many = each.groupBy(F.col("one").alias("m_one"), F.col("two").alias("m_two")).agg(F.count("*").alias("m")).where("m > 1")
+    hits = each.join(many, (F.col("one") == F.col("m_one")) & (F.col("two") == F.col("m_two")), "left_semi")
     return hits.groupBy("anchor", "digest").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda a: F.array(a, a + 1))).alias("runs"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """k_id, tie, spans: for each row of ``docs`` that has any, [first, end) bytes of windows that start elsewhere too, as
-    an array of (first window, runs relative to it)."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """k_id, tie, spans: for each different row of ``docs`` that has any, [first, end) bytes of windows that start elsewhere
+    too, as an array of (first window, runs relative to it)."""
     spark = docs.sparkSession
     every = as_table(_all_contexts(docs, length), "contexts")
     # as tables of their own, so that joins with them are between two plain exchanges, of which Spark can split hot keys
@@ -360,18 +398,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, sh
     drop_table(every)
     drop_table(anchors)
     release_shuffles(spark)
-    distinct = again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "tie", "first", "windows")).alias("at"))
-    distinct = as_table(distinct, "distinct")
-    crowded = as_table(distinct.groupBy(F.col("anchor").alias("c")).agg(F.count("*").alias("m")).where(F.col("m") > piece), "crowded")
-    pieces = F.ceil(F.col("m") / piece)
-    wanted = distinct.join(crowded, F.col("anchor") == F.col("c"), "left").select("anchor", "digest", "n", "at", F.coalesce(F.pmod(F.col("digest"), pieces), F.lit(0)).cast("long").alias("piece"), F.col("m").isNotNull().alias("split"))
-    shards = as_table(_shard_windows(_cut_contexts(docs, wanted, length), length, shard_bytes), "windows")
-    drop_table(distinct)
-    drop_table(crowded)
+    distinct = again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("k_id", "tie", "first", "windows", "lead")).alias("at"))
+    # a table, as a range partitioning reads its input twice
+    contexts = as_table(_cut_contexts(docs, distinct, length), "cut")
+    release_shuffles(spark)
+    first = as_table(_first_runs(contexts, length, shard_bytes), "runs")
+    drop_table(contexts)
     release_shuffles(spark)
-    found = shards.where(F.size("runs") > 0).select("anchor", "digest", "runs").unionByName(_merge_pieces(shards)).select(F.col("anchor").alias("f_anchor"), F.col("digest").alias("f_digest"), "runs")
+    second = as_table(_second_runs(first.where(F.size("open") > 0), length, shard_bytes), "open")
+    runs = [t.where(F.size("runs") > 0).select("anchor", "digest", "runs") for t in (first, second)]
+    found = runs[0].unionByName(runs[1]).unionByName(_open_windows(second)).select(F.col("anchor").alias("f_anchor"), F.col("digest").alias("f_digest"), "runs")
     hits = again.join(found, (F.col("anchor") == F.col("f_anchor")) & (F.col("digest") == F.col("f_digest"))).select("k_id", "tie", "first", "runs")
-    return hits.groupBy("k_id", "tie").agg(F.collect_list(F.struct("first", "runs")).alias("spans"))
+    # as a set: identical rows say the same
+    return hits.groupBy("k_id", "tie").agg(F.collect_set(F.struct("first", "runs")).alias("spans"))
 
 
 def merged_spans(spans: list[dict], length: int) -> list[tuple[int, int]]:
@@ -415,8 +454,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Each byte is removed that a ``length``-byte string covers which also starts anywhere else, in this or another row
     (identical rows repeat each other); strings are judged on the input. Null and empty texts and texts below ``length``
-    bytes lose nothing. Ids may be null or repeated: rows are told apart by id and text. Contexts and windows are taken as
-    equal by 128 bits of hashes. Other columns are dropped.
+    bytes lose nothing; very long texts are hashed in blocks. Ids may be null or repeated: rows are told apart by id and text,
+    and identical rows count as often as they stand but are cut once. Whole contexts, and the windows that reach over the ends
+    of runs, are taken as equal by 128 bits of hashes; all others by their bytes. Other columns are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

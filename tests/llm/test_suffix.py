@@ -44,9 +44,9 @@ def corpus(seed, n=40):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "piece", "shard"), [(1, 256, 2_000_000), (2, 2, 2_000), (3, 1, 500)])
-def test_spans_are_those_of_brute_force(spark, seed, piece, shard, monkeypatch):
-    monkeypatch.setattr(suffix, "repeated_spans", lambda docs, length=200, f=suffix.repeated_spans: f(docs, length, piece, shard))
+@pytest.mark.parametrize(("seed", "shard"), [(1, 2_000_000), (2, 2_000), (3, 500), (4, 1)])
+def test_spans_are_those_of_brute_force(spark, seed, shard, monkeypatch):
+    monkeypatch.setattr(suffix, "repeated_spans", lambda docs, length=200, f=suffix.repeated_spans: f(docs, length, shard))
     texts = corpus(seed)
     ids = [None if k == 5 else k // 2 for k in range(len(texts))]
     df = spark.createDataFrame([(i, t, "s", 1) for i, t in zip(ids, texts)], "doc_id long, text string, spans string, tie int")
@@ -59,7 +59,7 @@ def test_spans_are_those_of_brute_force(spark, seed, piece, shard, monkeypatch):
 def test_contexts_cover_every_window_once():
     rnd = random.Random(4)
     for data in (rnd.randbytes(5000), b"ab" * 900, b"z" * 700, rnd.randbytes(200), rnd.randbytes(199), b""):
-        _, _, first, count = suffix.contexts_of(data)
+        _, _, first, count, _ = suffix.contexts_of(data)
         covered = [k for f, c in zip(first, count) for k in range(f, f + c)]
         assert covered == list(range(max(len(data) - 199, 0)))
 
@@ -69,7 +69,7 @@ def test_long_text_in_blocks(monkeypatch):
     whole = suffix.contexts_of(data)
     monkeypatch.setattr(suffix, "_BLOCK", 1023)
     monkeypatch.setattr(suffix, "_PLACE", 10)
-    _, _, first, count = suffix.contexts_of(data)
+    _, _, first, count, _ = suffix.contexts_of(data)
     assert [k for f, c in zip(first, count) for k in range(f, f + c)] == list(range(len(data) - 199))
     assert len(whole[0])
 
@@ -107,3 +107,52 @@ def test_cut_keeps_columns_and_whole_characters(spark):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ends_of_a_run():
+    rnd = random.Random(7)
+    common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+    for size in (1, 2, 3, 40):
+        for kinds in (1, 2, 3):
+            rows = sorted((rnd.randrange(kinds), bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 9)))) for _ in range(size))
+            got = suffix.shared_with_ends([s for _, s in rows], [a for a, _ in rows], 6)
+            for k, (a, s) in enumerate(rows):
+                want = [len(s) if k == e else common(s, rows[e][1]) for e in (0, size - 1) if rows[e][0] == a]
+                assert got[k] == min(6, max(want, default=-1))
+
+
+def test_flags_and_runs():
+    for flags in ([], [True], [False], [True, True, False, True], [False, True, True]):
+        assert suffix.run_flags(suffix.flag_runs(np.array(flags, bool)), len(flags)).tolist() == flags
+
+
+@pytest.mark.parametrize("null_id", [True, False])
+def test_identical_rows_grow_linearly(spark, null_id):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(1400))
+    rows = [(None if null_id else 7, text)] * 500 + [(9, text[:700] + "x" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = suffix.repeated_spans(df)
+    assert spans.count() == 2 and all(len(r.spans) < 60 for r in spans.collect())
+    got = Counter((r.doc_id, r.n_removed) for r in suffix.remove_repeats(df).collect())
+    assert got == {(None if null_id else 7, 1400): 500, (9, 700): 1}
+
+
+def test_a_passage_of_many_texts_stays_linear(spark):
+    """What reaches over the ends of runs is one row for each context at most, then the windows of the ends themselves."""
+    rnd = random.Random(9)
+    prose = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    for size in (139, 199, 420):
+        passage, made = prose(size), []
+        for n in (300, 600):
+            docs = spark.createDataFrame([(k, prose(250) + passage + prose(250)) for k in range(n)], "doc_id long, text string")
+            contexts = suffix.as_table(suffix._all_contexts(docs, 200), "contexts")
+            again = contexts.groupBy("anchor").count().where("count > 1").select("anchor")
+            at = suffix.F.min(suffix.F.struct("k_id", "tie", "first", "windows", "lead")).alias("at")
+            wanted = contexts.join(again, "anchor", "left_semi").groupBy("anchor", "digest").agg(suffix.F.count("*").alias("n"), at)
+            cut = suffix.as_table(suffix._cut_contexts(docs, wanted, 200), "cut")
+            first = suffix.as_table(suffix._first_runs(cut, 200, 20_000), "runs").where("size(open) > 0")
+            second = suffix._second_runs(first, 200, 20_000)
+            made.append((cut.count(), first.count(), sum(len(r.open) for r in second.select("open").collect())))
+        (c1, f1, w1), (c2, f2, w2) = made
+        assert c2 < 2.3 * c1 and f2 <= c2 and w2 < 3 * max(w1, 400)
