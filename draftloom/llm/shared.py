@@ -16,12 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one is set where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where none is named, a temporary one is set in local mode,
+    as in tests; on a cluster that is an error, as executors would write to disks of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = kept.get() if kept.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="draftloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,6 +58,12 @@ def drop_table(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._table_path)
 
 
+def drop_uses(df: DataFrame) -> None:
+    """Delete the tables that a lazy result reads, once it has been written."""
+    for table in df._uses:
+        drop_table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import as_table, small_batches, text_bytes
+from .shared import as_table, drop_table, drop_uses, small_batches, text_bytes
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
 SEGMENTS = 8  # of 8 bits each, on a ring
@@ -31,9 +31,13 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         pieces = [b" ".join(words)]
     else:
         pieces = list(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces))
+    return vote(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces)))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; of none: 0."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = bits.sum(axis=0, dtype=np.uint32) * 2 > len(pieces)
+    votes = bits.sum(axis=0, dtype=np.uint32) * 2 > len(hashes)
     return int(np.packbits(votes, bitorder="little").view(np.uint64)[0])
 
 
@@ -97,7 +101,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, pairwise: int = PAIRWISE)
     kept = once & (F.bit_count(differ) <= max_bits)
     for length in range(exact + 1, SEGMENTS):
         kept &= F.bit_count(differ.bitwiseAND(F.lit((1 << 8 * length) - 1))) <= _budget(length, max_bits)
-    return pairs.where(kept).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    out = pairs.where(kept).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    out._uses = [ring, crowded]
+    return out
 
 
 def group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -108,8 +114,12 @@ def group(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """
     prints = as_table(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    stars = connected_components(links(prints, max_bits)).select(F.col("node").alias("s_fp"), "root")
+    linked = links(prints, max_bits)
+    pairs = as_table(linked, "links")
+    drop_uses(linked)
+    stars = connected_components(pairs).select(F.col("node").alias("s_fp"), "root")
     rooted = as_table(distinct.join(stars, F.col("fp") == F.col("s_fp"), "left").select(F.col("fp").alias("r_fp"), F.coalesce("root", "fp").alias("root"), "low"), "roots")
+    drop_table(pairs)
     named = rooted.groupBy(F.col("root").alias("n_root")).agg(F.min("low").alias("component_id"))
     of = rooted.join(named, F.col("root") == F.col("n_root")).select("r_fp", "root", "component_id")
     return prints.join(of, F.col("fp") == F.col("r_fp")).select("doc_id", "tie", "fp", "root", "component_id")
@@ -128,8 +138,14 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def keep_lowest(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`keep_one` leaves of ``groups`` (doc_id, tie, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")
-    kept = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("k_id"), F.col("o.tie").alias("k_tie"))
+    least = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("k_id"), F.col("o.tie").alias("k_tie"))
+    # of identical rows, which are few of all, one stays; all other texts are moved once
+    several = groups.groupBy(F.col("doc_id").alias("s_id"), F.col("tie").alias("s_tie")).agg(F.count("*").alias("rows")).where("rows > 1")
+    kept = least.join(several, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_tie") == F.col("s_tie")), "left").select("k_id", "k_tie", F.col("rows").isNotNull().alias("several"))
+    kept = as_table(kept, "kept")
     mine = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_tie"))
-    found = rows.join(kept, F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_tie") == F.col("k_tie")), "left_semi")
-    return found.dropDuplicates(["d_id", "d_tie"]).select(*[F.col(n).alias(c) for c, n in mine.items()])
+    same = F.col("d_id").eqNullSafe(F.col("k_id")) & (F.col("d_tie") == F.col("k_tie"))
+    alone = rows.join(kept.where("not several"), same, "left_semi")
+    first = rows.join(kept.where("several"), same, "left_semi").dropDuplicates(["d_id", "d_tie"])
+    return alone.unionByName(first).select(*[F.col(n).alias(c) for c, n in mine.items()])

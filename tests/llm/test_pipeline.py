@@ -6,11 +6,10 @@ from collections import Counter, defaultdict
 import public_tokenizers as P
 import pytest
 import tiktoken
-from draftloom.llm import bpe, simhash, suffix
+from draftloom.llm import bpe, suffix
 from draftloom.llm.shared import load
 from test_mixing import water, words
 from test_quality import by_hand
-from test_simhash import brute_groups
 
 import corpus_pipeline
 
@@ -51,14 +50,15 @@ def mixed(rows):
 
 
 def test_stages_and_run(spark, sf_dir):
+    from test_similar import brute_kept
+
     docs = load(spark, sf_dir, "documents")
     rows = {r.doc_id: r for r in docs.collect()}
     labels = {r.doc_id: r.quality for r in load(spark, sf_dir, "labels").collect()}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "mix", "tokens"]
 
     good = [d for d, s in sorted(by_hand({d: r.text for d, r in rows.items()}, labels).items()) if s >= 0.3]
-    groups = brute_groups(good, [simhash.fingerprint(rows[d].text.encode()) for d in good], 2)
-    kept = sorted(set(groups.values()))
+    kept = sorted(brute_kept([(d, rows[d].text) for d in good]))
     cut = dict(zip(kept, repeated([rows[d].text for d in kept])))
     want = Counter(mixed([(d, cut[d], rows[d].source) for d in kept]))
 
