@@ -31,7 +31,7 @@ def sized(docs: DataFrame) -> DataFrame:
         doc_id.alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
-        F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("hash"),
+        F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")).alias("hash"),
         F.xxhash64("text").alias("tie"),
     )
 
@@ -86,11 +86,13 @@ def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, repeats: int = MAX_REPEAT
     """One row per document: doc_id, source, size, source_size, target, taken, copies, position.
 
     A source is taken whole as often as its target holds its size; the rest goes to a prefix of its documents in the
-    order of a hash of their ids, whose last document counts in part, so that taken sums to the target, rounded.
-    ``copies`` are whole documents: a part of half or more counts. ``position`` is the training time from 0 to 1 of the
+    order of a hash of id and text, whose last document counts in part, so that taken sums to the target, rounded.
+    ``copies`` are whole documents: a part of half or more counts, and any part of a source's first document, so that no
+    source with a goal goes without. ``position`` is the training time from 0 to 1 of the
     document's first copy: the place of its words in the source's demand, put through the inverse of the integral of
-    the source's schedule (``done`` is that place as a share of the demand). Null when nothing is taken. Null and empty texts have size 0 and are never taken; null
-    sources are one source; rows with the same doc_id are kept apart; reruns give the same rows. Other columns are
+    the source's schedule (``done`` is that place as a share of the demand). Null when nothing is taken. Null and empty
+    texts have size 0 and are never taken; a very long text is one document, taken in part where the target ends in it; null
+    sources are one source; rows with null or repeated ids are kept apart; reruns give the same rows. Other columns are
     dropped. A source whose documents are all empty has target 0.
     """
     parts = sized(docs).withColumn("part", F.substring("hash", 1, HASH_DIGITS))
@@ -111,7 +113,8 @@ def mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, repeats: int = MAX_REPEAT
     rest = goal - F.col("full") * F.col("source_size")
     counted = placed.withColumn("full", full.cast("long")).withColumn("part_taken", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long"))
     taken = F.col("full") * F.col("size") + F.col("part_taken")
-    copies = F.when(F.col("size") > 0, F.col("full") + (2 * F.col("part_taken") >= F.col("size")).cast("long")).otherwise(F.lit(0))
+    one_more = (2 * F.col("part_taken") >= F.col("size")) | ((F.col("full") + F.col("start") == 0) & (F.col("part_taken") > 0))
+    copies = F.when(F.col("size") > 0, F.col("full") + one_more.cast("long")).otherwise(F.lit(0))
     done = F.try_divide(F.col("start"), F.col("target"))
     position = scheduled_time(done, F.col("weight"), schedules)
     return counted.select(
@@ -138,15 +141,17 @@ def materialize(docs: DataFrame, plan: DataFrame, schedules: Mapping[int, Sequen
     """The mix itself: each row of ``docs`` as often as ``plan`` has copies of it, by training position.
 
     Copy k of a document stands k source lengths further along the source's demand; the rows are range-partitioned and
-    sorted by position. Columns are those of ``docs``.
+    sorted by position. Identical rows share out the copies of all of them. Columns are those of ``docs``.
     """
     mine = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()], F.xxhash64("text").alias("k_tie"), F.col("doc_id").cast("long").alias("k_id"), F.col("source").cast("string").alias("k_source"))
-    # repeated identical rows have several plan rows between them: their copies are summed and shared out evenly
     asked = plan.groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.min("done").alias("done"), F.first("weight").alias("weight"), F.first(F.try_divide(F.col("source_size"), F.col("target"))).alias("lap")).where("copies > 0")
     joined = renamed.join(asked, F.col("k_id").eqNullSafe(F.col("doc_id")) & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_tie") == F.col("tie")))
-    each = F.sequence(F.lit(0), F.ceil(F.col("copies") / F.col("rows")).cast("int") - 1)
-    each_copy = joined.withColumn("copy", F.explode(each))
+    # of identical rows, which are few of all, the first ones have one copy more where the sum is not even
+    place = F.row_number().over(Window.partitionBy("k_id", "k_source", "k_tie").orderBy("k_id")).cast("long")
+    alone, several = joined.where("rows = 1").withColumn("place", F.lit(1).cast("long")), joined.where("rows > 1").withColumn("place", place)
+    share = F.floor((F.col("copies") - F.col("place")) / F.col("rows")).cast("int")
+    each_copy = alone.unionByName(several).where("copies >= place").withColumn("copy", F.explode(F.sequence(F.lit(0), share)))
     rows = each_copy.withColumn("position", scheduled_time(F.least(F.col("done") + F.col("copy") * F.col("lap"), F.lit(1.0)), F.col("weight"), schedules))
     ordered = rows.repartitionByRange(F.col("position"), F.col("k_id"), F.col("k_tie")).sortWithinPartitions("position", "k_id", "k_tie")
     return ordered.select(*[F.col(n).alias(c) for c, n in mine.items()])

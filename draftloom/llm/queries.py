@@ -35,7 +35,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.by_position(mixing.mix(load(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    plan = mixing.by_position(mixing.mix(load(spark, sf_dir, "documents")))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 9).alias("position"))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ FROM m
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS hash FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -116,10 +117,10 @@ WITH d AS (
 ), u AS (
   SELECT arg_min(remain, source_size / weight) AS r0, arg_min(rest, source_size / weight) AS w0 FROM f WHERE NOT cut
 ), t AS (
-  SELECT source, source_size, CASE WHEN cut THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * r0 AS DOUBLE) / CAST(w0 AS DOUBLE) END AS target
+  SELECT source, source_size, weight, CASE WHEN cut THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(weight * r0 AS DOUBLE) / CAST(w0 AS DOUBLE) END AS target
   FROM f CROSS JOIN u
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.weight,
     CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY hash, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
     CAST(floor(t.target + 0.5) AS BIGINT) AS goal
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
@@ -129,7 +130,11 @@ WITH d AS (
   SELECT *, greatest(0, least(size, goal - whole * source_size - start)) AS part FROM g
 )
 SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
-  CAST(CASE WHEN size > 0 THEN whole + CASE WHEN 2 * part >= size THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies
+  CAST(CASE WHEN size > 0 THEN whole + CASE WHEN 2 * part >= size OR (whole = 0 AND start = 0 AND part > 0) THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies,
+  CASE WHEN whole * size + part > 0 THEN round(CASE weight
+    WHEN 1 THEN 2 * (start / target) / (1.5 + sqrt(2.25 - 2 * (start / target)))
+    WHEN 2 THEN start / target
+    ELSE 2 * (start / target) / (0.5 + sqrt(0.25 + 2 * (start / target))) END, 9) END AS position
 FROM h
 """
 

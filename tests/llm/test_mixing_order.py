@@ -22,7 +22,7 @@ def time_at(done, knots):
 def test_op5_rows_come_by_position(spark, sf_dir):
     by_source = defaultdict(list)
     for r in load(spark, sf_dir, "documents").collect():
-        by_source[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, words(r.text)))
+        by_source[r.source].append((hashlib.md5(f"{r.doc_id}|{r.text}".encode()).hexdigest(), r.doc_id, words(r.text)))
     sizes = {s: sum(n for _, _, n in docs) for s, docs in by_source.items()}
     weight = {s: k % 3 + 1 for k, s in enumerate(sorted(sizes))}
     target, at = water(sizes), {}
@@ -35,4 +35,5 @@ def test_op5_rows_come_by_position(spark, sf_dir):
     assert len(rows) == len(at)
     taken = [at[r.doc_id] for r in rows if r.taken]
     assert len(set(taken)) > 50 and taken == pytest.approx(sorted(taken), abs=1e-9)
-    assert not any(r.taken for r in rows[len(taken) :])
+    assert [r.position for r in rows[: len(taken)]] == pytest.approx(taken, abs=1e-8)
+    assert not any(r.taken or r.position is not None for r in rows[len(taken) :])

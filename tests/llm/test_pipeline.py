@@ -36,7 +36,7 @@ def mixed(rows):
     sizes, by_source = Counter(), defaultdict(list)
     for d, t, s in rows:
         sizes[s] += words(t)
-        by_source[s].append((hashlib.md5(str(d).encode()).hexdigest(), d, words(t), t))
+        by_source[s].append((hashlib.md5(f"{d}|{t}".encode()).hexdigest(), d, words(t), t))
     out = []
     for s, target in water(sizes).items():
         goal = int(target + 0.5)
@@ -45,7 +45,7 @@ def mixed(rows):
         for _, d, n, t in sorted(by_source[s]):
             part = max(0, min(n, rest))
             rest -= n
-            out += [(d, t)] * (whole + (2 * part >= n) if n else 0)
+            out += [(d, t)] * (whole + (2 * part >= n or whole == 0 and part > 0 and rest + n == goal) if n else 0)
     return out
 
 
