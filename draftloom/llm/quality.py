@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, text_bytes
+from .shared import as_table, small_batches, text_bytes
 
 FEATURES = ("size", "word_length", "symbols", "capitals", "digits", "breaks", "repeats", "runs", "variety")
 #: Shrinkage of a class covariance towards its scaled identity, and a floor of the variances.
@@ -77,18 +77,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float = SHRINKAGE, floor: float = FLOOR, by_fold: bool = True) -> dict[int, Gaussian]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", shrinkage: float = SHRINKAGE, floor: float = FLOOR, by_fold: bool = True, measured: DataFrame | None = None) -> dict[int, Gaussian]:
     """Class Gaussians from all labelled rows outside the held-out fold.
 
     Rows of a doc_id with several labels count once with the largest; null ids and null labels teach nothing. Only the
     sums of the features and of their products come to the driver: two rows. The features are logarithms of a few units, so the
-    sums cancel little. Repeated documents count as often as they stand.
+    sums cancel little. Repeated documents count as often as they stand. ``measured``: the features of ``docs``, if known.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     if by_fold:
         known = known.where(~held_out(F.col("l_id")))
-    rows = features(docs)
-    rows = rows.join(known, rows.doc_id == known.l_id)
+    rows = (measured if measured is not None else features(docs)).join(known, F.col("doc_id") == F.col("l_id"))
     d = len(FEATURES)
     sums = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
     products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p_{i}_{j}") for i in range(d) for j in range(i + 1)]
@@ -132,11 +131,13 @@ def score_column(model: dict[int, Gaussian], prefix: str = "") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``; the score uses the text alone.
 
-    Null and empty texts are scored like any other; null ids are not held out; repeated rows stay. Other columns are
-    dropped.
+    Null, empty and very long texts are scored like any other, whole; null ids are not held out; repeated rows stay; ties at
+    the threshold are accepted; an empty table gives an empty result. Other columns are dropped.
     """
-    model = fit(docs, labels)
-    return features(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    # texts are read once: what is measured is a table of numbers, which both the fit and the scores read
+    measured = as_table(features(docs), "features")
+    model = fit(docs, labels, measured=measured)
+    return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
