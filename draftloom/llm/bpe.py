@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -60,9 +61,11 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[int, ...]] = {}
         size = max(ranks.values()) + 1
-        self.token_bytes = [b""] * size
+        self.spelled = [None] * size
         for token, rank in ranks.items():
-            self.token_bytes[rank] = token
+            self.spelled[rank] = spell[token]
+        self.byte_of = np.zeros(max(map(ord, chars)) + 1, np.uint8)
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
         self.decimal = [str(k) for k in range(size)]
         self.whole = list(range(size))  # one object for each id, whatever remembers it
         self.path, self.pattern, self.ranks, self._exact = path, pattern, ranks, None
@@ -89,9 +92,14 @@ class Codec:
         return [self.exact().encode_ordinary(t) if p is None else list(chain.from_iterable(map(of, p))) for p, t in zip(pieces, texts, strict=True)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        """Unknown ids raise IndexError; a text that ends inside a character gives those bytes as they are."""
-        table = self.token_bytes
-        return b"".join([table[k] for k in ids])
+        """The characters that the tokens are spelled in, put back to bytes. Unknown ids raise IndexError; ids that end inside
+        a character give those bytes as they are."""
+        spelled = self.spelled
+        try:
+            written = "".join([spelled[k] for k in ids])
+        except TypeError:
+            raise IndexError("an id that no token has") from None
+        return self.byte_of[np.frombuffer(written.encode("utf-16-le"), "<u2")].tobytes()
 
     def offsets(self, ids: list[int], text: str) -> list[tuple[int, int]]:
         """Character offsets [start, end) of each token; a token inside a split character spans that character."""
@@ -100,11 +108,18 @@ class Codec:
             char_of += [k] * len(c.encode())
         out, at = [], 0
         for token in ids:
-            end = at + len(self.token_bytes[token])
+            end = at + len(self.spelled[token])
             out.append((char_of[at], char_of[end - 1] + 1))
             at = end
         return out
 
+    def split_tokens(self, ids: list[int], data: bytes) -> int:
+        """How many tokens end inside a character of ``data``, which they decode to."""
+        if data.isascii():
+            return 0
+        ends = np.cumsum([len(self.spelled[k]) for k in ids])[:-1]
+        return int(((np.frombuffer(data, np.uint8)[ends] & 0xC0) == 0x80).sum())
+
 
 _LATE = regex.compile(r"[^\x00-\u052f]")
 
@@ -186,22 +201,26 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool) ->
             for a, b in chunks(texts):
                 ids = own.encode([t.decode() for t in texts[a:b]])
                 first = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else [pa.array([sha(",".join([say[k] for k in i]).encode()).hexdigest() for i in ids], pa.string())]
+                back = [own.decode_bytes(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([
                     doc_ids.slice(a, b - a),
                     pa.array([len(i) for i in ids], pa.int64()),
                     *first,
-                    pa.array([sha(own.decode_bytes(i)).hexdigest() for i in ids], pa.string()),
+                    pa.array([sha(d).hexdigest() for d in back], pa.string()),
+                    pa.array([own.split_tokens(i, d) for i, d in zip(ids, back, strict=True)], pa.int64()),
                 ], names)
 
-    schema = f"doc_id long, n_tokens long, {'ids array<int>' if with_ids else 'ids_sha256 string'}, decoded_sha256 string"
+    schema = f"doc_id long, n_tokens long, {'ids array<int>' if with_ids else 'ids_sha256 string'}, decoded_sha256 string, split_tokens long"
     names = [f.split()[0] for f in schema.split(", ")]
     return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and SHA-256 of the decimal ids joined by commas and of the bytes they decode to.
+    """Per row: doc_id, n_tokens, SHA-256 of the decimal ids joined by commas and of the bytes they decode to, and
+    split_tokens, the number of tokens that end inside a character.
 
-    Row-wise, in one pass: ids never leave the worker. Null and empty texts have no ids; other columns are dropped.
+    Row-wise, in one pass: ids never leave the worker. Null and empty texts have no ids; very long texts are encoded whole;
+    null and repeated ids stay; an empty table gives an empty result; other columns are dropped.
     """
     return _encoded(docs, ranks_path, pattern, with_ids=False)
 
