@@ -11,6 +11,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,27 +157,40 @@ def padded(data: bytes) -> bytes:
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def text_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: each text's bytes, padded, as mu-law samples of a WAVE file. Row-wise."""
+
+    @F.pandas_udf("binary")
+    def store(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda data: wav_bytes(padded(data)))
+
+    data = small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data"))
+    return data.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), store("data").alias("media"))
+
+
 def text_audio_features(docs: DataFrame) -> DataFrame:
-    """Store each text's bytes as mu-law samples of a WAVE file, read the file back and describe what it holds.
+    """Store each text's bytes as mu-law samples of a WAVE file (:func:`text_media`), decode that file to a column of resampled
+    PCM (:func:`decode_media`) and describe both.
 
-    Row-wise: one row per document, also for repeated ids; null and empty texts give 64 bytes 0; ``doc_id`` may be
-    null. feature: root mean square of the samples as mu-law and as A-law, and CRC-32 of the resampled PCM as mu-law
-    and as ADPCM. Other columns of ``docs`` are dropped.
+    Row-wise: one row per document, also for repeated ids; null and empty texts give 64 bytes 0; very long texts are one
+    file each; ``doc_id`` may be null; an empty table gives an empty result. feature: root mean square of the samples as mu-law
+    and as A-law, and CRC-32 of the resampled PCM of the column and of the same bytes read as ADPCM. Other columns of
+    ``docs`` are dropped.
     """
-    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(_features, FEATURES)
+    return decode_media(text_media(docs)).mapInArrow(_features, FEATURES)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in FEATURES.split(", ")]
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        start = 0
-        while start < len(texts):  # at most about 4 MB of payload at a time
+        start, sizes = 0, pc.binary_length(batch.column(2)).to_pylist()
+        while start < batch.num_rows:  # ADPCM of about 4 MB of files at a time, or of one longer file
             stop, size = start, 0
-            while stop < len(texts) and (stop == start or size < 4_000_000):
-                size += len(texts[stop]) + BLOCK
+            while stop < batch.num_rows and (stop == start or size < 4_000_000):
+                size += sizes[stop]
                 stop += 1
-            rows = _describe(ids[start:stop], texts[start:stop])
+            rows = _describe(*[c.slice(start, stop - start).to_pylist() for c in batch.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names)
             start = stop
 
@@ -184,22 +198,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
-def _describe(ids: list, texts: list[bytes]) -> list[tuple]:
-    files = [wav_bytes(padded(t)) for t in texts]
-    read = [read_wav(f)[2] for f in files]
-    raw = np.frombuffer(b"".join(read), np.uint8)
-    ends = np.cumsum([len(p) for p in read])
-    starts = ends - [len(p) for p in read]
-    mu, blocks = mu_law_table()[raw], decode_adpcm(raw.reshape(-1, BLOCK))
-    power = [np.add.reduceat(np.square(table()[raw].astype(np.int64)), starts) for table in (mu_law_table, a_law_table)]
+def _rms(table: np.ndarray, counts: np.ndarray) -> int:
+    """Of samples that are counted by code: no row of samples is held."""
+    return int(np.sqrt((np.square(table.astype(np.int64)) * counts).sum() / counts.sum()))
+
+
+def _describe(ids: list, sizes: list[int], files: list[bytes], pcm: list[bytes]) -> list[tuple]:
+    payloads = [read_wav(f)[2] for f in files]
+    blocks = decode_adpcm(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK))
+    ends = np.cumsum([len(p) // BLOCK for p in payloads])
     rows = []
-    for k, (doc_id, text, file, payload) in enumerate(zip(ids, texts, files, read, strict=True)):
-        a, b = starts[k], ends[k]
-        rms = [int(np.sqrt(p[k] / (b - a))) for p in power]
-        wide = zlib.crc32(resample_double(mu[a:b]))
-        adpcm = zlib.crc32(resample_double(blocks[a // BLOCK : b // BLOCK].ravel()))
-        rows.append((
-            doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file),
-            hashlib.sha256(file).hexdigest(), f"mu_rms={rms[0]};a_rms={rms[1]};mu_pcm16k={wide:08x};adpcm_pcm16k={adpcm:08x}",
-        ))
+    for doc_id, size, file, payload, wide, end in zip(ids, sizes, files, payloads, pcm, ends, strict=True):
+        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+        adpcm = zlib.crc32(resample_double(blocks[end - len(payload) // BLOCK : end].ravel()))
+        feature = f"mu_rms={_rms(mu_law_table(), counts)};a_rms={_rms(a_law_table(), counts)};mu_pcm16k={zlib.crc32(wide):08x};adpcm_pcm16k={adpcm:08x}"
+        rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature))
     return rows

@@ -4,11 +4,13 @@ import hashlib
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 from draftloom.llm import audio, bpe, queries, simhash
 from draftloom.llm.shared import load
+from test_audio import a_law, adpcm, mu_law
 from test_quality import by_hand
 from test_simhash import brute_groups
 from test_suffix import brute
@@ -72,6 +74,12 @@ def test_op8(spark, sf_dir, texts):
     assert not want
 
 
+def doubled(samples):
+    """16 kHz bytes by the definition: each sample, then the floor of the mean of it and the next."""
+    after = np.append(samples[1:], samples[-1])
+    return np.stack([samples, (samples + after) // 2], 1).astype("<i2").tobytes()
+
+
 def test_op10(spark, sf_dir, texts):
     rows = queries.op10_media_columns(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
@@ -80,3 +88,9 @@ def test_op10(spark, sf_dir, texts):
         stored = audio.wav_bytes(payload)
         assert audio.read_wav(stored)[2] == payload and len(payload) % 64 == 0
         assert tuple(r)[1:7] == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        mu, a = (np.array([law(b) for b in range(256)])[list(payload)] for law in (mu_law, a_law))
+        root = lambda x: int(np.sqrt((x.astype(object) ** 2).sum() / len(x)))
+        want = [f"mu_rms={root(mu)}", f"a_rms={root(a)}", f"mu_pcm16k={zlib.crc32(doubled(mu)):08x}"]
+        if len(payload) < 3000:
+            want.append(f"adpcm_pcm16k={zlib.crc32(doubled(np.array([v for b in range(0, len(payload), 64) for v in adpcm(payload[b : b + 64])]))):08x}")
+        assert r.feature.split(";")[: len(want)] == want
