@@ -125,20 +125,29 @@ def _folded(sketch: Column, size: Column) -> Column:
     return F.when(F.size(sketch) > size, F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
 
 
-def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v: sids) that are similar: sketches rule out most of the others, whole sets decide."""
+def _sketches(prints: DataFrame, side: str) -> DataFrame:
+    """The size and sketch of each set, with names that begin with ``side``."""
+    known = prints.select("sid", "n", "sketch").dropDuplicates(["sid"])
+    return known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns])
+
+
+def _may_be_alike(a: str, b: str) -> Column:
+    """Whether sizes and sketches leave it open that two sets are similar: it loses no pair. Cheap tests stand first."""
+    n = F.col(f"{a}n") + F.col(f"{b}n")
+    x, y = F.col(f"{a}sketch"), F.col(f"{b}sketch")
+    width = F.least(F.size(x), F.size(y))
+    differ = F.aggregate(F.zip_with(_folded(x, width), _folded(y, width), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+    return _near(F.col(f"{a}n"), F.col(f"{b}n")) & ((PART + WHOLE) * differ <= (WHOLE - PART) * n)
+
+
+def _alike(docs: DataFrame, prints: DataFrame, close: DataFrame) -> DataFrame:
+    """Those of ``close`` (u, v: sids), a table, that are similar: whole sets decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["sid", "hashes"])
 
-    known = prints.select("sid", "n", "sketch").dropDuplicates(["sid"])
-    a, b = known.select(F.col("sid").alias("a_sid"), F.col("n").alias("a_n"), F.col("sketch").alias("a")), known.select(F.col("sid").alias("b_sid"), F.col("n").alias("b_n"), F.col("sketch").alias("b"))
-    width = F.least(F.size("a"), F.size("b"))
-    differ = F.aggregate(F.zip_with(_folded(F.col("a"), width), _folded(F.col("b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    both = pairs.join(a, F.col("u") == F.col("a_sid")).join(b, F.col("v") == F.col("b_sid")).where(_near(F.col("a_n"), F.col("b_n")))
-    close = as_table(both.where((PART + WHOLE) * differ <= (WHOLE - PART) * (F.col("a_n") + F.col("b_n"))).select("u", "v"), "close")
     asked = close.select(F.explode(F.array("u", "v")).alias("a_sid")).distinct()
     one = prints.join(asked, F.col("sid") == F.col("a_sid"), "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("o")).select("sid", F.col("o.doc_id").alias("o_id"), F.col("o.tie").alias("o_tie"))
     # identical rows are one before they are moved
@@ -151,7 +160,6 @@ def _alike(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
     shared, sizes = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     links = as_table(both.where((PART + WHOLE) * shared >= PART * sizes).select("u", "v"), "links")
     drop_table(sets)
-    drop_table(close)
     release_shuffles(docs.sparkSession)
     return links
 
@@ -170,27 +178,33 @@ def _first_pairs(prints: DataFrame, met: DataFrame) -> DataFrame:
     lowest = met.where("own").groupBy(F.col("key").alias("l_key")).agg(F.min(F.struct("sid", "n")).alias("low"))
     stars = met.join(lowest, F.col("key") == F.col("l_key")).where(_near(F.col("n"), F.col("low.n"))).select(F.col("sid").alias("u"), F.col("low.sid").alias("v"))
     every = same.unionByName(across).unionByName(stars).select(*_ordered(F.col("u"), F.col("v"))).where("u > v").distinct()
-    out = as_table(every, "pairs")
+    pairs = as_table(every, "pairs")
     drop_uses(linked)
-    return out
+    both = pairs.join(_sketches(prints, "a"), F.col("u") == F.col("a_sid")).join(_sketches(prints, "b"), F.col("v") == F.col("b_sid"))
+    close = as_table(both.where(_may_be_alike("a_", "b_")).select("u", "v"), "close")
+    drop_table(pairs)
+    return close
 
 
-def _rest_of_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
+def _rest_of_pairs(prints: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidates that are not yet in one component: under each key, sets with those of at most their size that own the key.
 
     The key is the first shingle that two similar sets share, so as many as follow it, in either, have to reach 4/9 of both.
+    Sketches are part of the join's condition, so sets that only share a key make no rows.
     """
     placed = as_table(met.join(roots, F.col("sid") == F.col("r_sid"), "left").select("key", "at", "own", "sid", "n", F.coalesce("root", "sid").alias("root")), "placed")
     mixed = as_table(placed.groupBy(F.col("key").alias("m_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("m_key"), "mixed")
-    rows = placed.join(mixed, F.col("key") == F.col("m_key"), "left_semi")
+    rows = placed.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(_sketches(prints, "s"), F.col("sid") == F.col("s_sid")).select("key", "at", "own", "sid", "n", "root", F.col("s_sketch").alias("sketch"))
+    rows = as_table(rows, "mixed-rows")
     a, b = rows.alias("a"), rows.where("own").alias("b")
     follow = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.n") >= F.col("b.n"))
-    on &= _near(F.col("a.n"), F.col("b.n")) & ((PART + WHOLE) * follow >= PART * (F.col("a.n") + F.col("b.n")))
-    out = as_table(a.join(b, on).select(*_ordered(F.col("a.sid"), F.col("b.sid"))).distinct(), "pairs")
-    drop_table(placed)
-    drop_table(mixed)
-    return out
+    on &= ((PART + WHOLE) * follow >= PART * (F.col("a.n") + F.col("b.n"))) & _may_be_alike("a.", "b.")
+    close = as_table(a.join(b, on).select(*_ordered(F.col("a.sid"), F.col("b.sid"))).distinct(), "close")
+    for table in (placed, mixed, rows):
+        drop_table(table)
+    release_shuffles(prints.sparkSession)
+    return close
 
 
 def group(docs: DataFrame) -> DataFrame:
@@ -209,13 +223,13 @@ def group(docs: DataFrame) -> DataFrame:
     met = as_table(members.join(shared, F.col("key") == F.col("s_key"), "left_semi").distinct(), "met")
     drop_table(shared)
     release_shuffles(spark)
-    pairs = _first_pairs(prints, met)
-    links = _alike(docs, prints, pairs)
-    drop_table(pairs)
+    close = _first_pairs(prints, met)
+    links = _alike(docs, prints, close)
+    drop_table(close)
     roots = connected_components(links).select(F.col("node").alias("r_sid"), "root")
-    pairs = _rest_of_pairs(met, roots)
-    roots = connected_components(links.unionByName(_alike(docs, prints, pairs))).select(F.col("node").alias("r_sid"), "root")
-    drop_table(pairs)
+    close = _rest_of_pairs(prints, met, roots)
+    roots = connected_components(links.unionByName(_alike(docs, prints, close))).select(F.col("node").alias("r_sid"), "root")
+    drop_table(close)
     drop_table(met)
     found = as_table(prints.join(roots, F.col("sid") == F.col("r_sid"), "left").select("doc_id", "tie", F.coalesce("root", "sid").alias("root")), "groups")
     drop_table(prints)
