@@ -179,11 +179,21 @@ def search_text_build(spark, sf_dir):
     return joined.select("o_orderkey", F.lower(text).alias("body"))
 
 
-@query()
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN d = '' THEN '' ELSE CAST(CAST(d AS BIGINT) AS VARCHAR) END AS item_no FROM (
+  SELECT l_orderkey, l_linenumber, regexp_replace(translate(said, 'Il|!Oo', '111100'), '\\D', '', 'g') AS d FROM (
+    SELECT l_orderkey, l_linenumber, translate(CAST(l_orderkey % 700 AS VARCHAR), '01', CASE l_linenumber % 4 WHEN 0 THEN 'OI' WHEN 1 THEN 'ol' WHEN 2 THEN '0|' ELSE 'O!' END)
+      || CASE l_linenumber % 3 WHEN 0 THEN '.' WHEN 1 THEN '' ELSE ' x' END AS said FROM lineitem))
+""")
 def ocr_code_fix(spark, sf_dir):
-    """Row numbers as OCR reads them."""
-    rows = [("I",), ("l2",), ("O3",), ("1O",), ("|7.",), ("",)]
-    return spark.createDataFrame(rows, "said string").select("said", fn.ocr_item_no(F.col("said")).alias("item_no"))
+    """Row numbers as OCR reads them: strokes for ones, rings for noughts, and marks behind."""
+    line = table(spark, sf_dir, "lineitem")
+    digits = (F.col("l_orderkey") % 700).cast("string")
+    misread = F.lit(None).cast("string")
+    for k, signs in enumerate(("OI", "ol", "0|", "O!")):
+        misread = F.when(F.col("l_linenumber") % 4 == k, F.translate(digits, "01", signs)).otherwise(misread)
+    behind = F.when(F.col("l_linenumber") % 3 == 0, ".").when(F.col("l_linenumber") % 3 == 1, "").otherwise(" x")
+    return line.select("l_orderkey", "l_linenumber", fn.ocr_item_no(F.concat(misread, behind)).alias("item_no"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_key, sha1('p/' || doc_id || '|' || n_chars) AS cache_key FROM documents")
