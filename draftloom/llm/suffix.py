@@ -341,7 +341,7 @@ def _first_runs(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame
             a, b = ends[k], ends[k + 1]
             runs.append(flag_runs(again[a:b]))
             if most >= 0:
-                speaks[a : a + max(0, len(before[k]) - most)] = False
+                speaks[a : min(b, a + max(0, len(before[k]) - most))] = False
             left_open.append(flag_runs(speaks[a:b]) if most >= 0 else [])
         keep = [bool(o) for o in left_open]
         ints = pa.list_(pa.int32())

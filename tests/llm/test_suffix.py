@@ -109,6 +109,21 @@ def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [300, 1_500, 6_000])
+def test_runs_of_any_size_lose_nothing(spark, shard, monkeypatch):
+    """Near copies of one text, changed everywhere: many contexts of each anchor, of few windows, over the ends of runs."""
+    monkeypatch.setattr(suffix, "repeated_spans", lambda docs, length=200, f=suffix.repeated_spans: f(docs, length, shard))
+    rnd = random.Random(shard)
+    base, texts = [rnd.choice("abcdefgh ") for _ in range(900)], []
+    for _ in range(60):
+        text = list(base[rnd.randint(0, 300) : rnd.randint(500, 900)])
+        for k in rnd.sample(range(len(text)), rnd.randint(0, 3)):
+            text[k] = rnd.choice("xyz")
+        texts.append("".join(text))
+    got = sorted(map(tuple, suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert got == [(i, *b[:3], hashlib.sha256(b[3]).hexdigest()) for i, b in enumerate(brute([t.encode() for t in texts], 200))]
+
+
 def test_ends_of_a_run():
     rnd = random.Random(7)
     common = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
