@@ -121,10 +121,10 @@ def ext_histogram(spark, sf_dir):
 
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
-SELECT conv_id, string_agg(substr(text, 1, 300), chr(10) ORDER BY turn) AS body FROM r WHERE place <= 3 GROUP BY conv_id
+SELECT conv_id, string_agg(substr(text, 1, 3000), chr(10) ORDER BY turn) AS body FROM r WHERE place <= 3 GROUP BY conv_id
 """)
 def first3_pages_concat(spark, sf_dir):
-    return op.first_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 3, 300)
+    return op.first_texts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query("""
