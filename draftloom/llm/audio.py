@@ -157,44 +157,48 @@ def padded(data: bytes) -> bytes:
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text's bytes, padded, as mu-law samples of a WAVE file. Row-wise."""
+#: Bytes of text that are stored and decoded at a time, or one longer text.
+CHUNK_BYTES = 1_000_000
+MEDIA = "doc_id long, n_bytes long, media binary, pcm binary"
 
-    @F.pandas_udf("binary")
-    def store(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda data: wav_bytes(padded(data)))
 
-    data = small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data"))
-    return data.select("doc_id", F.octet_length("data").cast("long").alias("n_bytes"), store("data").alias("media"))
+def text_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media, pcm: each text's bytes, padded, as mu-law samples of a WAVE file, and the resampled PCM that
+    :func:`decode_media` makes of it. Row-wise; null texts are empty; repeated rows stay."""
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(_stored, MEDIA)
 
 
 def text_audio_features(docs: DataFrame) -> DataFrame:
-    """Store each text's bytes as mu-law samples of a WAVE file (:func:`text_media`), decode that file to a column of resampled
-    PCM (:func:`decode_media`) and describe both.
+    """What :func:`text_media` stores, described. The two run in one worker, so that PCM, four times the text, is not moved.
 
     Row-wise: one row per document, also for repeated ids; null and empty texts give 64 bytes 0; very long texts are one
     file each; ``doc_id`` may be null; an empty table gives an empty result. feature: root mean square of the samples as mu-law
-    and as A-law, and CRC-32 of the resampled PCM of the column and of the same bytes read as ADPCM. Other columns of
+    and as A-law, and CRC-32 of the resampled PCM of the file and of the same bytes read as ADPCM. Other columns of
     ``docs`` are dropped.
     """
-    return decode_media(text_media(docs)).mapInArrow(_features, FEATURES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), text_bytes().alias("data")).mapInArrow(lambda batches: _features(_stored(batches)), FEATURES)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in FEATURES.split(", ")]
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        start, sizes = 0, pc.binary_length(batch.column(2)).to_pylist()
-        while start < batch.num_rows:  # ADPCM of about 4 MB of files at a time, or of one longer file
+        start, sizes = 0, pc.binary_length(batch.column(1)).to_pylist()
+        while start < batch.num_rows:
             stop, size = start, 0
-            while stop < batch.num_rows and (stop == start or size < 4_000_000):
-                size += sizes[stop]
+            while stop < batch.num_rows and (stop == start or size < CHUNK_BYTES):
+                size += sizes[stop] + BLOCK
                 stop += 1
-            rows = _describe(*[c.slice(start, stop - start).to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names)
+            files = [wav_bytes(padded(t)) for t in batch.column(1).slice(start, stop - start).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(sizes[start:stop], pa.int64()), pa.array(files, pa.binary()), pa.array(map(_to_pcm, files), pa.binary())], ["doc_id", "n_bytes", "media", "pcm"])
             start = stop
 
 
+def _features(stored: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+    for batch in stored:
+        rows = _describe(*[c.to_pylist() for c in batch.columns])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], names)
+
+
 _ARROW = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 

@@ -83,3 +83,9 @@ def test_text_features_are_exact_and_equal_for_equal_texts(spark):
             assert r.feature.endswith(f"adpcm_pcm16k={zlib.crc32(audio.resample_double(decoded)):08x}")
     assert len({tuple(r)[1:] for r in rows}) == len({(t or "") for t in texts})
     assert audio.text_audio_features(df.limit(0)).count() == 0
+
+
+def test_text_media_are_files_and_their_pcm(spark):
+    df = spark.createDataFrame([(1, "abc", "x"), (None, None, "y"), (1, "é" * 900_000, "z")], "doc_id long, text string, media string")
+    for r in audio.decode_media(audio.text_media(df), out_col="again").collect():
+        assert audio.read_wav(bytes(r.media))[2][: r.n_bytes] in (b"abc", b"", "é".encode() * 900_000) and bytes(r.pcm) == bytes(r.again)
