@@ -148,6 +148,8 @@ def _stream_path(sf_dir):
 
 def _scratch(spark, name):
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{found.rstrip('/')}/draftloom/{name}-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='draftloom-')}/{name}"
 
 
