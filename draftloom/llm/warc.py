@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records of an archive file; with page-sized payloads some tens of MB before compression, which one task reads at once.
+from .shared import small_batches
+
+#: Records of an archive file; with page-sized payloads some tens of MB before compression. It bounds what one task reads, not what
+#: it holds: files are read as streams.
 RECORDS_PER_FILE = 4_000
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -82,60 +84,83 @@ def write_archive(rows: DataFrame, path: str, records_per_file: int = RECORDS_PE
     )
 
 
+def stream_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields by lower-case name, block) of each record; blocks are cut by Content-Length alone.
+
+    ``pieces`` are what stands between the END marks of one archive or of several, one after another. No more than a record
+    and a piece is held. Line ends before a record are passed over; an archive that stops within a record is an error.
+    """
+    mark = END.encode()
+    held, fields, start, need = bytearray(), {}, 0, 0
+    for piece in pieces:
+        held += piece
+        held += mark
+        while True:
+            if not need:
+                del held[: len(held) - len(held.lstrip(b"\r\n"))]
+                if not held:
+                    break
+                cut = held.find(mark)
+                if not held.startswith(b"WARC/"):
+                    raise ValueError(f"no WARC record at {bytes(held[:20])!r}")
+                lines = held[:cut].decode().split("\r\n")[1:]
+                fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+                start = cut + len(mark)
+                need = start + int(fields["content-length"]) + len(mark)
+            if len(held) < need:
+                break
+            if held[need - len(mark) : need] != mark:
+                raise ValueError(f"{fields.get('warc-record-id')}: the record does not end where its length says")
+            yield fields, bytes(held[start : need - len(mark)])
+            del held[:need]
+            need = 0
+    if need:
+        raise ValueError(f"{fields.get('warc-record-id')}: the archive stops within the record")
+
+
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record; blocks are cut by Content-Length alone."""
-    at = 0
-    while at < len(data):
-        cut = data.find(b"\r\n\r\n", at)
-        if cut < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:cut].decode().split("\r\n")[1:]
-        fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        start = cut + 4
-        stop = start + int(fields["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        yield fields, data[start:stop]
-        at = stop + 4
-
-
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file; other bytes as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(out) if out else data
+    """The records of one archive that is at hand as a whole."""
+    if not data.endswith(END.encode()):
+        raise ValueError("the archive does not end where a record does")
+    return stream_records([data])
 
 
 ARCHIVED = "record_id string, record_type string, page_id long, uri string, payload_digest string, payload_bytes long, refers_to long, block binary"
+#: Bytes of blocks that a batch from a reader holds; a longer block has a batch of its own.
+BATCH_BYTES = 4_000_000
 
 
 def read_archive(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """The records of all WARC files below ``path``, plain or gzip. A block that does not match its digest is an error."""
+    """The records of all WARC files below ``path``, plain or gzip. A block that does not match its digest is an error.
+
+    Spark's text reader unpacks gzip files as streams, which it never splits, and cuts them at END marks: a task holds a batch
+    of pieces and one record, whatever the size of a file. Plain files, which this module does not write, are read whole.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in ARCHIVED.split(", ")]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        for batch in batches:
-            for k in range(batch.num_rows):
+        number = lambda text: int(text) if text else None
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        rows, size = [], 0
+        for f, block in stream_records(piece.as_py() for batch in batches for piece in batch.column(0)):
+            digest = f["warc-payload-digest"].removeprefix("sha1:")
+            if f["warc-type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+                raise ValueError(f"{f['warc-record-id']}: the payload does not match its digest")
+            rows.append((f["warc-record-id"], f["warc-type"], number(f.get("x-page-id")), f["warc-target-uri"], digest, number(f.get("x-payload-length")), number(f.get("x-refers-to-page")), block if blocks else None))
+            size += len(block)
+            if size > BATCH_BYTES:
+                yield table(rows)
                 rows, size = [], 0
-                for f, block in parse_records(gunzip(batch.column(0)[k].as_py())):
-                    digest = f["warc-payload-digest"].removeprefix("sha1:")
-                    if f["warc-type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
-                        raise ValueError(f"{f['warc-record-id']}: the payload does not match its digest")
-                    number = lambda name: int(f[name]) if f.get(name) else None  # noqa: B023, E731
-                    rows.append((f["warc-record-id"], f["warc-type"], number("x-page-id"), f["warc-target-uri"], digest, number("x-payload-length"), number("x-refers-to-page"), block if blocks else None))
-                    size += len(block)
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt.gz,warc,warc.gz}").load(path)
-    return files.select("content").mapInArrow(run, ARCHIVED)
+        if rows:
+            yield table(rows)
+
+    def pieces(names: str, whole: bool) -> DataFrame:
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).text(path, wholetext=whole, lineSep=None if whole else END)
+        return found.select(F.col("value").cast("binary"))
+
+    zipped, plain = pieces("*.{txt.gz,warc.gz}", False), pieces("*.warc", True)
+    return small_batches(zipped.unionAll(plain)).mapInArrow(run, ARCHIVED)
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
