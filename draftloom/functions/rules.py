@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import hits, path_parts, stem
+from .text import hit_count, path_parts, stem
 
 DRAWING, OTHER = "drawing", "other"
 BODY_CHARS = 6000
@@ -26,7 +26,7 @@ DOCUMENT_FOLDERS = ["物件対応ファイル他"]
 
 
 def _any(text: Column, words: Sequence[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
 def _any_folder(folders: Column, words: Sequence[str]) -> Column:
@@ -48,11 +48,10 @@ def classify(
     """
     name, folders = stem(path), F.reverse(F.slice(path_parts(path), F.lit(1), F.greatest(F.size(path_parts(path)) - 1, F.lit(0))))
     body = F.substring(F.coalesce(text, F.lit("")), 1, BODY_CHARS)
-    found = {t: hits(body, list(words)) for t, words in type_words.items()}
-    counts = [F.size(f) for f in found.values()]
+    counts = [hit_count(body, list(words)) for words in type_words.values()]
     top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    best = F.coalesce(*[F.when(n == top, F.lit(t)) for t, n in zip(found, counts, strict=True)])
-    titled = F.size(hits(body, list(title_words))) >= 2
+    best = F.coalesce(*[F.when(n == top, F.lit(t)) for t, n in zip(type_words, counts, strict=True)])
+    titled = hit_count(body, list(title_words)) >= 2
     has_code = F.coalesce(code, F.lit("")) != ""
     is_kind = lambda k: F.lower(F.coalesce(kind, F.lit(""))) == k
     in_documents = _any_folder(folders, document_folders)

@@ -84,11 +84,12 @@ def natural_key(text: Column) -> Column:
     return F.transform(runs, lambda r: F.struct(F.when(r.rlike(r"^\d"), 0).otherwise(1).alias("kind"), F.coalesce(r.try_cast("decimal(38,0)"), F.lit(0)).alias("number"), F.lower(r).alias("text")))
 
 
-def capped_children(counts: DataFrame, parent: str, label: str, selected: Sequence[str] = (), cap: int = MAX_CHILDREN) -> DataFrame:
-    """Per parent the first ``cap`` labels and the selected ones, then a row ``(more)`` with how many are not shown."""
+def capped_children(counts: DataFrame, parent: str, label: str, selected: Sequence[str] | Column = (), cap: int = MAX_CHILDREN) -> DataFrame:
+    """Per parent the first ``cap`` labels and the selected ones (names, or a condition), then a row ``(more)`` with how many are not shown."""
     place = F.row_number().over(Window.partitionBy(parent).orderBy(natural_key(F.col(label)), label))
     ranked = counts.withColumn("place", place)
-    shown = (F.col("place") <= cap) | F.col(label).isin(*selected) if selected else F.col("place") <= cap
+    chosen = selected if isinstance(selected, Column) else F.col(label).isin(*selected)
+    shown = (F.col("place") <= cap) | F.coalesce(chosen, F.lit(False))
     rest = ranked.where(~shown).groupBy(parent).agg(F.count("*").alias("n")).select(parent, F.lit("(more)").alias(label), "n")
     return ranked.where(shown).select(parent, label, "n").unionByName(rest)
 

@@ -36,14 +36,18 @@ def uses(drawings: DataFrame, visible: DataFrame, bom: DataFrame, kids_limit: in
     A code may have several drawings, all are kept, the drawing itself is not. Drawings that name this one as their
     assembly follow, unless listed already, at most ``kids_limit`` of them by code.
     """
-    targets = visible.where("drawing_no <> ''").select(F.col("drawing_no").alias("code"), F.col("id").alias("target"))
-    named = forward_edges(drawings, bom)
-    found = named.join(targets, "code", "left").withColumn("target", F.when(F.col("target") != F.col("id"), F.col("target")))
-    # a code whose only drawing is the drawing itself stays as a code without target, once
-    direct = found.groupBy("id", "code", "kind").agg(F.collect_set("target").alias("t")).select("id", "code", "kind", F.explode_outer("t").alias("target"))
+    targets = visible.where("drawing_no <> ''").select(F.col("drawing_no").alias("code"), F.col("id").alias("target")).distinct()
+    sized = targets.join(targets.groupBy("code").agg(F.count("*").alias("n")), "code")
+    other = F.when(F.col("target") != F.col("id"), F.col("target"))
+    # a code whose only drawing is the drawing itself stays as a code without target
+    found = forward_edges(drawings, bom).join(sized, "code", "left").where(F.col("target").isNull() | other.isNotNull() | (F.col("n") == 1))
+    direct = found.select("id", "code", "kind", other.alias("target"))
     parents = drawings.where("drawing_no <> ''").select("id", F.col("drawing_no").alias("parent"))
     kids = visible.select(F.col("id").alias("target"), F.col("drawing_no").alias("code"), F.explode("assembly_refs").alias("parent"))
-    reverse = kids.join(parents, "parent").where("target <> id").select("id", "code", F.lit("assembly").alias("kind"), "target").distinct()
+    # the first of a code's drawings, and one more as a drawing is not its own: what the join can bring of a hot code is bounded
+    first = F.row_number().over(Window.partitionBy("parent").orderBy("code", "target"))
+    few = kids.distinct().withColumn("place", first).where(F.col("place") <= kids_limit + 1).drop("place")
+    reverse = few.join(parents, "parent").where("target <> id").select("id", "code", F.lit("assembly").alias("kind"), "target")
     place = F.row_number().over(Window.partitionBy("id").orderBy("code", "target"))
     capped = reverse.withColumn("place", place).where(F.col("place") <= kids_limit).drop("place")
     return direct.unionByName(capped.join(direct.select("id", "target"), ["id", "target"], "left_anti").select("id", "code", "kind", "target"))
@@ -54,15 +58,18 @@ def used_by(drawings: DataFrame, visible: DataFrame, bom: DataFrame, limit: int
     by a note, or as the assembly it names; the first kind counts. The ``OR`` of two equalities is two equi-joins."""
     codes = drawings.where("drawing_no <> ''").select("id", F.col("drawing_no").alias("code"))
     seen = visible.select(F.col("id").alias("user_id"), F.col("drawing_no").alias("user_no"), "note_refs")
-    rows = bom.select(F.col("id").alias("user_id"), F.explode(F.array_distinct(F.array("ref_drawing_no", "part_no"))).alias("code"))
-    by_table = rows.where("code <> ''").join(codes, "code").select("id", "user_id", F.lit(0).alias("rank"))
-    by_note = seen.select("user_id", F.explode("note_refs").alias("code")).join(codes, "code").select("id", "user_id", F.lit(1).alias("rank"))
-    named = drawings.select("id", F.explode("assembly_refs").alias("user_no"))
-    by_assembly = named.join(seen.where("user_no <> ''").select("user_id", "user_no"), "user_no").select("id", "user_id", F.lit(2).alias("rank"))
-    best = by_table.unionByName(by_note).unionByName(by_assembly).where("id <> user_id").groupBy("id", "user_id").agg(F.min("rank").alias("rank"))
-    shown = best.join(seen.select("user_id", "user_no"), "user_id")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("rank", "user_no", "user_id"))
-    kept = shown.withColumn("place", place).where(F.col("place") <= limit)
+    rows = bom.select(F.col("id").alias("user_id"), F.explode(F.array_distinct(F.array("ref_drawing_no", "part_no"))).alias("code")).where("code <> ''").distinct()
+    by_table = rows.join(seen.select("user_id", "user_no"), "user_id").select("code", "user_id", "user_no", F.lit(0).alias("rank"))
+    by_note = seen.select(F.explode("note_refs").alias("code"), "user_id", "user_no", F.lit(1).alias("rank"))
+    users = by_table.unionByName(by_note).groupBy("code", "user_id", "user_no").agg(F.min("rank").alias("rank"))
+    # of the users of a code the first, and one more as a drawing is not its own, before they meet the drawings of that code
+    order = [F.col("rank"), F.col("user_no"), F.col("user_id")]
+    top = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= limit + 1).drop("place")
+    by_code = top(users, "code").join(codes, "code").drop("code")
+    assembled = top(seen.where("user_no <> ''").select("user_id", "user_no", F.lit(2).alias("rank")), "user_no")
+    by_assembly = drawings.select("id", F.explode("assembly_refs").alias("user_no")).distinct().join(assembled, "user_no")
+    best = by_code.unionByName(by_assembly).where("id <> user_id").groupBy("id", "user_id", "user_no").agg(F.min("rank").alias("rank"))
+    kept = best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("place") <= limit)
     return kept.select("id", "user_id", F.element_at(F.array(*map(F.lit, KINDS)), F.col("rank") + 1).alias("kind"), "place")
 
 

@@ -20,13 +20,16 @@ def parts_rollup(rows: DataFrame) -> DataFrame:
 
     rows: drawing, row, order_code, part_no, name, qty, ref, material. The key is the part number, or the name without
     one; name, ref and material are those of the first row by code, drawing and row; a total of 0 is shown as null; the
-    sorted list of drawings is cut to LIST_CHARS characters. Drawings are made distinct before they are listed.
+    sorted list of drawings is cut to LIST_CHARS characters. Only as many drawings of a part are listed as the cut can show.
     """
     keyed = rows.withColumn("key", F.when(F.col("part_no") != "", F.col("part_no")).otherwise(F.col("name"))).where("key <> ''")
     order = F.struct("order_code", "drawing", "row")
     per_drawing = keyed.groupBy("key", "drawing").agg(F.sum(F.coalesce("qty", F.lit(0))).alias("qty"), F.min(F.struct(order.alias("o"), "name", "ref", "material")).alias("first"))
-    out = per_drawing.groupBy("key").agg(F.count("*").alias("n_drawings"), F.sum("qty").alias("qty"), F.min("first").alias("first"), F.sort_array(F.collect_list("drawing")).alias("list"))
-    return out.select(
+    out = per_drawing.groupBy("key").agg(F.count("*").alias("n_drawings"), F.sum("qty").alias("qty"), F.min("first").alias("first"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("drawing"))
+    shown = per_drawing.select("key", "drawing").withColumn("place", place).where(F.col("place") <= LIST_CHARS // 2 + 1)
+    lists = shown.groupBy(F.col("key").alias("l_key")).agg(F.sort_array(F.collect_list("drawing")).alias("list"))
+    return out.join(lists, F.col("key") == F.col("l_key")).select(
         "key", "first.name", "first.ref", "first.material", "n_drawings", F.when(F.col("qty") != 0, F.col("qty")).alias("qty"),
         F.substring(F.array_join("list", ", "), 1, LIST_CHARS).alias("drawings"),
     )
@@ -70,6 +73,13 @@ def transitions(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.groupBy(before.alias("before"), after.alias("after")).agg(F.count("*").alias("n"))
 
 
+def transition_totals(df: DataFrame, before: Column, after: Column, public: Column) -> DataFrame:
+    """One row: how many rows there are, change their class, and become of the public class or stop being of it. ``public``
+    is a class."""
+    gone, come = (before == public) & (after != public), (before != public) & (after == public)
+    return df.agg(F.count("*").alias("n"), F.count_if(~before.eqNullSafe(after)).alias("n_changed"), F.count_if(come).alias("n_published"), F.count_if(gone).alias("n_withdrawn"))
+
+
 def drilldown(df: DataFrame, kind: str, reason: Column, example: str, k: int) -> DataFrame:
     """(kind, total, reason, n, examples) with the first k examples of each reason, in order.
 
@@ -85,9 +95,10 @@ def drilldown(df: DataFrame, kind: str, reason: Column, example: str, k: int) ->
     return joined.select(kind, "total", "reason", "n", "examples")
 
 
-def extension_histogram(df: DataFrame, folder: Column, kind: Column, kinds: list[str]) -> DataFrame:
-    """Counts per folder, a column for each kind."""
-    return df.groupBy(folder.alias("folder")).agg(*[F.count_if(kind == k).alias(f"n_{k}") for k in kinds], F.count("*").alias("n_all"))
+def extension_histogram(df: DataFrame, folder: Column, kind: Column, kinds: list[str], size: Column | None = None) -> DataFrame:
+    """Counts per folder, a column for each kind, and with sizes their sums."""
+    sums = [] if size is None else [*[F.sum(F.when(kind == k, size).otherwise(0)).alias(f"bytes_{k}") for k in kinds], F.sum(size).alias("bytes_all")]
+    return df.groupBy(folder.alias("folder")).agg(*[F.count_if(kind == k).alias(f"n_{k}") for k in kinds], F.count("*").alias("n_all"), *sums)
 
 
 def group_stats(df: DataFrame, path: Column, depth: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import access
 from ..operators import browse as op
+from ..sources import files
 from .registry import query, table
 
 _PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
@@ -125,8 +127,7 @@ UNION ALL SELECT p_brand, '(more)', count(*) FROM r WHERE NOT (place <= 2 OR p_t
 """)
 def tree_two_level_capped(spark, sf_dir):
     counts = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    kinds = [r.p_type for r in table(spark, sf_dir, "part").select("p_type").distinct().where(F.contains("p_type", F.lit("STEEL"))).collect()]
-    return op.capped_children(counts, "p_brand", "p_type", kinds, cap=2)
+    return op.capped_children(counts, "p_brand", "p_type", F.contains("p_type", F.lit("STEEL")), cap=2)
 
 
 @query("""
@@ -145,3 +146,22 @@ SELECT o_custkey, o_orderkey, o_orderpriority, lag(o_orderpriority) OVER (PARTIT
 def heading_on_change(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderdate")
     return op.heading_changes(orders, ["o_orderdate", "o_orderkey"], "o_orderpriority", ["o_custkey"]).drop("o_orderdate")
+
+
+@query(f"""
+WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/' || {_PATH} WHEN 1 THEN '../' || {_PATH} WHEN 2 THEN 'Ｅn/' || {_PATH} WHEN 3 THEN 'de/..x/' || {_PATH} ELSE {_PATH} END AS path FROM pages)
+SELECT page_id, page_id % 5 IN (2, 3) AND NOT contains('/' || path, '/es/') AS is_kept, page_id % 5 > 1 AS is_safe FROM p
+""")
+def crawl_filter(spark, sf_dir):
+    """Which paths a crawl keeps, by folders named without regard to width and case and by parts left out, and which are safe."""
+    which, path = F.col("page_id") % 5, F.col("path")
+    lead = F.when(which == 0, "/").when(which == 1, "../").when(which == 2, "Ｅn/").when(which == 3, "de/..x/").otherwise("")
+    placed = _paths(spark, sf_dir).withColumn("path", F.concat(lead, path))
+    return placed.select("page_id", files.kept(path, ["EN", "ｄｅ"], ["/es/"]).alias("is_kept"), files.is_safe(path).alias("is_safe"))
+
+
+@query("SELECT user_id AS user, 'view' AS action, substr(props, 1, 1000) AS target, ts AS at FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def audit_newest(spark, sf_dir):
+    """The newest entries of an audit log made from events, newest first."""
+    newest = table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
+    return access.audit(newest.select(F.col("user_id").alias("user"), F.col("props").alias("target"), "ts"), "view", F.col("ts"))

@@ -91,10 +91,10 @@ def query_string(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fn.query_string(v=view, q=words).alias("link"))
 
 
-@query("SELECT doc_id, CAST(1 AS INTEGER) AS page_no FROM documents WHERE lang IN ('en', 'de') AND NOT (lang = 'en' AND n_chars > 1000)")
+@query("SELECT doc_id, CAST(1 AS INTEGER) AS page_no FROM documents WHERE NOT (coalesce(lang, '') <> 'de' AND coalesce(n_chars, 0) > 1000)")
 def cache_misses(spark, sf_dir):
-    """Documents as pages: long English ones are cached; German ones are cached in an older version."""
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'de')")
+    """Documents as pages: long ones are cached; German ones are cached in an older version."""
+    docs = table(spark, sf_dir, "documents")
     keyed = docs.select("doc_id", "lang", "n_chars", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text").cast("binary"), 256).alias("sha256"), F.lit(1).alias("page_no"), F.lit(300).alias("dpi"))
     cache = keyed.where("lang = 'de' or n_chars > 1000").select("sha256", "page_no", "dpi", F.when(F.col("lang") == "de", 1).otherwise(2).alias("version"))
     return ingest.cache_misses(keyed, cache, 2).select("doc_id", "page_no")

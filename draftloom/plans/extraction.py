@@ -28,15 +28,60 @@ def _drawings(spark, sf_dir):
     return one.select(F.col("l_orderkey").alias("drawing_id"), F.concat(head, F.col("cells")).alias("items"), rules.alias("vlines"))
 
 
-@query("""
+_ROWS = """
 SELECT l_orderkey AS drawing_id, CAST(n AS INTEGER) AS row, CAST(n AS VARCHAR) AS item_no, part_no, name, qty, 'STEEL' AS material, part_no AS ref_drawing_no, 1.0::DOUBLE AS confidence FROM (
   SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, 'HB' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS part_no,
     'PLATE ' || l_suppkey AS name, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS qty FROM lineitem)
-""")
+"""
+_COLUMNS = ["drawing_id", "row", "item_no", "part_no", "name", "qty", "material", "ref_drawing_no", "confidence"]
+
+
+@query(_ROWS)
 def bom_extract(spark, sf_dir):
     """Orders laid out as drawings and read back as tables of parts."""
-    rows = bom.extract_rows(_drawings(spark, sf_dir))
-    return rows.select("drawing_id", "row", "item_no", "part_no", "name", "qty", "material", "ref_drawing_no", "confidence")
+    return bom.extract_rows(_drawings(spark, sf_dir)).select(*_COLUMNS)
+
+
+@query(_ROWS)
+def bom_header_only(spark, sf_dir):
+    """The same drawings without ruling lines: where the header's words stand tells the columns."""
+    plain = _drawings(spark, sf_dir).withColumn("vlines", F.array().cast("array<struct<x double, y0 double, y1 double>>"))
+    return bom.extract_rows(plain).select(*_COLUMNS)
+
+
+def _scans(spark, sf_dir):
+    """Orders as scans of the known form, read by OCR without a header: a line of words per row, cut by rules; ones that are
+    read as strokes, and no row number in every third row."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    word = lambda text, x, w: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(float(w)).alias("w"), F.lit(10.0).alias("h"))
+    read = F.when(n % 3 > 0, F.array(word(F.translate(n.cast("string"), "1", "l"), 90, 5))).otherwise(F.array())
+    code = F.concat(F.lit("HB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
+    words = [word(code, 105, 40), word(F.lit("PLATE"), 225, 25), word(F.col("l_suppkey").cast("string"), 255, 20), word(F.col("l_quantity").cast("int").cast("string"), 400, 8), word(F.lit("STEEL"), 464, 14)]
+    tokens = F.concat(read, F.array(*words))
+    cell = F.struct(F.array_join(F.transform(tokens, lambda t: t.text), " ").alias("text"), F.lit(90.0).alias("x"), y.alias("y"), F.lit(10.0).alias("h"), F.lit(388.0).alias("w"), F.lit(0.9).alias("conf"), tokens.alias("tokens"))
+    one = line.withColumn("n", number).select("l_orderkey", "n", cell.alias("cell")).groupBy("l_orderkey").agg(F.collect_list("cell").alias("items"), F.max("n").alias("last"))
+    edges = F.array(*[F.lit(100.0 + e) for e in sorted({float(e) for a, b, _ in bom.SCAN_FORM for e in (a, b)})])
+    rules = F.transform(edges, lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y0"), (90 + 25 * F.col("last")).cast("double").alias("y1")))
+    return one.select(F.col("l_orderkey").alias("drawing_id"), "items", rules.alias("vlines"))
+
+
+@query(_ROWS)
+def bom_scan(spark, sf_dir):
+    """Scans without a readable header, by the form: words cut at rules, repaired numbers, rows numbered by their spacing."""
+    return bom.extract_rows(_scans(spark, sf_dir)).select(*_COLUMNS)
+
+
+@query("SELECT p_partkey, f.field, CASE f.field WHEN 'title' THEN 'HOUSE ' || p_name ELSE 'HB' || p_partkey END AS value FROM part, (VALUES ('title'), ('drawing_no')) AS f(field)")
+def attribute_fields(spark, sf_dir):
+    """Attributes of title blocks: tags in any case, blank values passed over, the first value counts, other tags are none."""
+    tag = lambda field: titleblock.FIELD_TAGS[field][0]
+    key = F.col("p_partkey").cast("string")
+    said = [(tag("title").lower(), F.lit(" ")), (tag("title"), F.concat(F.lit(" HOUSE "), "p_name")), (tag("title"), F.lit("OTHER")), (tag("drawing_no"), F.concat(F.lit("HB"), key)), ("NO SUCH TAG", key)]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("pos"), F.lit(t).alias("tag"), v.alias("text")) for n, (t, v) in enumerate(said)]))
+    return titleblock.from_attributes(table(spark, sf_dir, "part").select("p_partkey", each.alias("a")).select("p_partkey", "a.*"), "p_partkey")
 
 
 @query("""

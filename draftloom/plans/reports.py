@@ -99,6 +99,14 @@ def transition_matrix(spark, sf_dir):
     return op.transitions(table(spark, sf_dir, "documents"), F.expr(_V1), F.expr(_V2))
 
 
+@query(f"""
+SELECT count(*) AS n, count(*) FILTER (WHERE before <> after) AS n_changed, count(*) FILTER (WHERE before <> 'prose' AND after = 'prose') AS n_published, count(*) FILTER (WHERE before = 'prose' AND after <> 'prose') AS n_withdrawn
+FROM (SELECT {_V1} AS before, {_V2} AS after FROM documents)
+""")
+def transition_totals(spark, sf_dir):
+    return op.transition_totals(table(spark, sf_dir, "documents"), F.expr(_V1), F.expr(_V2), F.lit("prose"))
+
+
 @query(f"""
 WITH t AS (SELECT {_V1} AS kind, lang AS reason, doc_id FROM documents), c AS (SELECT kind, reason, count(*) AS n FROM t GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind, reason ORDER BY doc_id) AS place FROM t),
@@ -119,6 +127,14 @@ def ext_histogram(spark, sf_dir):
     return op.extension_histogram(table(spark, sf_dir, "pages").select("url"), F.regexp_extract("url", r"^[a-z]+://[^/]*\.([a-z]+)/", 1), lang, ["en", "de", "fr", "es"])
 
 
+@query("""
+SELECT lang AS folder, count(*) FILTER (WHERE source = 'src1') AS n_src1, count(*) FILTER (WHERE source = 'src2') AS n_src2, count(*) AS n_all, CAST(sum(CASE WHEN source = 'src1' THEN n_chars ELSE 0 END) AS BIGINT) AS bytes_src1,
+  CAST(sum(CASE WHEN source = 'src2' THEN n_chars ELSE 0 END) AS BIGINT) AS bytes_src2, CAST(sum(n_chars) AS BIGINT) AS bytes_all FROM documents GROUP BY 1
+""")
+def ext_histogram_bytes(spark, sf_dir):
+    return op.extension_histogram(table(spark, sf_dir, "documents"), F.col("lang"), F.col("source"), ["src1", "src2"], F.col("n_chars"))
+
+
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations)
 SELECT conv_id, string_agg(substr(text, 1, 3000), chr(10) ORDER BY turn) AS body FROM r WHERE place <= 3 GROUP BY conv_id

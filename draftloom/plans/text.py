@@ -196,6 +196,18 @@ def ocr_code_fix(spark, sf_dir):
     return line.select("l_orderkey", "l_linenumber", fn.ocr_item_no(F.concat(misread, behind)).alias("item_no"))
 
 
+@query("""
+SELECT p_partkey, '員数' || p_size || ',5PCS' AS head, p_size || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || '.5' AS qty, 'φ' || p_size || '° plate 5% ±1' AS symbols FROM part
+""")
+def cell_texts(spark, sf_dir):
+    """Keys of headers, first quantities and drawing symbols."""
+    size, low = F.col("p_size").cast("string"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", fn.header_key(F.concat(F.lit(" 員　数 "), size, F.lit("，5 pcs"))).alias("head"), fn.first_quantity(F.concat(F.lit("約 "), size, F.lit(","), low, F.lit(".5 個 7"))).alias("qty"),
+        fn.drawing_symbols(F.concat(F.lit("%%c"), size, F.lit("%%D %%Uplate%%u 5%%% %%p1"))).alias("symbols"),
+    )
+
+
 @query("SELECT doc_id, sha256(text) AS content_key, sha1('p/' || doc_id || '|' || n_chars) AS cache_key FROM documents")
 def content_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_key"), F.sha1(F.concat(F.lit("p/"), F.col("doc_id").cast("string"), F.lit("|"), F.col("n_chars").cast("string")).cast("binary")).alias("cache_key"))
