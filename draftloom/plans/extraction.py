@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from ..operators import bom, titleblock
 from .registry import query, table
 
+
+def _spread(lines):
+    """Lines by order in all shuffle partitions: few bytes, but reading a drawing takes milliseconds, which coalesced partitions
+    would spend in one task."""
+    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+
+
 def _drawings(spark, sf_dir):
     """Orders as drawings: lines as table rows, stacked upward from the header, as in the orders' own numbers."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = _spread(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")))
     w = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     y = 100 + 8 * F.col("n").cast("double")
     cell = lambda text, x, y: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(3.0).alias("h"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("array<struct<text string, x double, y double, w double, h double>>").alias("tokens"))
@@ -53,7 +60,7 @@ def _scans(spark, sf_dir):
     """Orders as scans of the known form, read by OCR without a header: a line of words per row, cut by rules; ones that are
     read as strokes, and no row number in every third row."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    line = _spread(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")))
     n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     word = lambda text, x, w: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(float(w)).alias("w"), F.lit(10.0).alias("h"))
