@@ -126,3 +126,32 @@ def result_entries(payloads: DataFrame, drawing: str, pages: str, bom: str) -> D
     rows = payloads.select("job_id", parsed.alias("p"))
     single = F.array(F.struct(F.lit(1).alias("page_no"), "p.drawing", "p.pages", "p.bom"))
     return rows.select("job_id", F.explode(F.coalesce("p.drawings", single)).alias("entry"))
+
+
+def complete(jobs: DataFrame, files: DataFrame, drawings: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, files, drawings) after results arrived.
+
+    jobs: id, path, state, error; files: path, sha256, status, error; drawings: path, page_no and what entries have; results:
+    job_id, at, sha256, entries (array of structs: page_no and the other columns of drawings). Only results of running jobs
+    count, the first one of a job, and of several jobs of a file the last. Its file is done and holds the result's drawings
+    alone: pages that it does not name go, also all of them; a page without a number is page 1, of a page named twice the
+    last entry stays.
+    """
+    first = results.groupBy("job_id").agg(F.min_by(F.struct("sha256", "entries"), "at").alias("r"))
+    done = jobs.where("state = 'running'").select("id", "path").join(first, F.col("id") == F.col("job_id")).select("id", "path", "r")
+    ended = jobs.join(done.select(F.col("id").alias("done_id")), F.col("id") == F.col("done_id"), "left")
+    has = F.col("done_id").isNotNull()
+    new_jobs = ended.withColumns({"state": F.when(has, "done").otherwise(F.col("state")), "error": F.when(has, "").otherwise(F.col("error"))}).drop("done_id")
+
+    latest = done.groupBy(F.col("path").alias("done_path")).agg(F.max_by("r", "id").alias("r"))
+    stored = files.join(latest.select("done_path", F.substring(F.coalesce("r.sha256", F.lit("")), 1, 64).alias("new_sha")), F.col("path") == F.col("done_path"), "left")
+    known = F.col("done_path").isNotNull()
+    values = {"sha256": F.col("new_sha"), "status": F.lit("done"), "error": F.lit("")}
+    new_files = stored.withColumns({c: F.when(known, v).otherwise(F.col(c)) for c, v in values.items()}).select(*files.columns)
+
+    rest = [c for c in drawings.columns if c not in ("path", "page_no")]
+    entries = latest.select(F.col("done_path").alias("path"), F.posexplode("r.entries").alias("place", "e"))
+    paged = entries.select("path", F.coalesce("e.page_no", F.lit(1)).alias("page_no"), "place", F.struct(*[F.col(f"e.{c}") for c in rest]).alias("d"))
+    pages = paged.groupBy("path", "page_no").agg(F.max_by("d", "place").alias("d")).select("path", "page_no", *[F.col(f"d.{c}") for c in rest])
+    kept = drawings.join(latest.select("done_path"), F.col("path") == F.col("done_path"), "left_anti")
+    return new_jobs, new_files, kept.unionByName(pages)

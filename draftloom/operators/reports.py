@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .browse import crumbs
 
 LIST_CHARS, WORST_ROWS = 1000, 3
+EXPORT_DRAWINGS, LOW_CONFIDENCE = 5000, 0.8
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -35,6 +36,21 @@ def parts_rollup(rows: DataFrame) -> DataFrame:
     )
 
 
+def export_rows(drawings: DataFrame, rows: DataFrame) -> DataFrame:
+    """The detail sheet: rows of the first EXPORT_DRAWINGS drawings that have any, by drawing number, drawing and row.
+
+    drawings: id, drawing_no, title, model; rows: drawing, row, item_no, confidence; more stay. A row without an item number
+    shows its place; rows of low confidence are flagged.
+    """
+    listed = drawings.join(rows.select("drawing"), F.col("id") == F.col("drawing"), "left_semi").orderBy("drawing_no", "id").limit(EXPORT_DRAWINGS)
+    item = F.coalesce(F.nullif("item_no", F.lit("")), F.col("row").cast("string"))
+    shown = listed.join(rows, F.col("id") == F.col("drawing")).withColumns({
+        "item_no": item, "model": F.when(F.col("model") == "_", "").otherwise(F.col("model")),
+        "is_low": F.col("confidence") < LOW_CONFIDENCE, "confidence": F.round("confidence", 2),
+    })
+    return shown.drop("drawing").orderBy("drawing_no", "id", "row")
+
+
 def quality_counters(rows: DataFrame, kind: str, part: Column, good: Column, name: Column, qty: Column, ref: Column, found: Column, drawing: str) -> DataFrame:
     """Counts per kind of rows, filled fields, well-formed parts, references, resolved references and drawings."""
     counts = {"n_part": part != "", "n_good": (part != "") & good, "n_name": name != "", "n_qty": qty.isNotNull(), "n_ref": ref != "", "n_found": (ref != "") & found}

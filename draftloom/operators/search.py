@@ -71,6 +71,13 @@ def search(df: DataFrame, text: Column, words: Sequence[str], dictionary: DataFr
     return df.where(contains_all(norm(text), list(groups.values())))
 
 
+def listing(drawings: DataFrame, kind: str = "") -> DataFrame:
+    """Found drawings as they are listed: none of missing files, those of a known kind if one is asked for, by number,
+    revision and id. Columns: drawing_no, revision, id, kind, status; more stay."""
+    there = drawings.where("status <> 'missing'")
+    return (there.where(F.col("kind") == kind) if kind in ("dxf", "pdf") else there).orderBy("drawing_no", "revision", "id")
+
+
 def enum_or_default(value: str, allowed: Sequence[str], default: str) -> str:
     return value if value in allowed else default
 
