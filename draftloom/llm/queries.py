@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, binary_search, bpe, chat, mixing, quality, simhash, suffix, url_filter, warc
+from . import audio, binary_search, bpe, chat, minmax, mixing, quality, simhash, suffix, url_filter, vector_codes, warc
 from .shared import load, shared_path
 
 
@@ -60,6 +60,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_audio_features(load(spark, sf_dir, "documents"))
 
 
+def op12_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_copies(load(spark, sf_dir, "documents"))
+
+
+def op13_ball_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(load(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -166,5 +174,61 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g
+  FROM d
+), n AS (
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM l
+), s AS (
+  SELECT doc_id, unnest(g) AS g FROM l
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS node, doc_id AS reached FROM d UNION SELECT r.node, e.y FROM r JOIN e ON r.reached = e.x
+)
+SELECT node AS doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, node = min(reached) AS kept FROM r JOIN n ON n.doc_id = node GROUP BY node
+"""
+
+
+def _coded(books: str) -> str:
+    """SQL of the nearest entry of each part among the entries of the table ``books``."""
+    square = " + ".join(f"(p.x{k} - b.x{k}) * (p.x{k} - b.x{k})" for k in range(4))
+    return f"SELECT vec_id, label, part, min(struct_pack(d := d, entry := entry)) AS m FROM (SELECT p.*, entry, {square} AS d FROM p JOIN {books} AS b ON p.part = b.part) GROUP BY ALL"
+
+
+def _books(books: str, coded: str) -> str:
+    """SQL of the entries of ``books`` after they moved to the floor of the mean of their parts."""
+    mean = ", ".join(f"CAST(floor(sum(x{k}) / count(*)) AS BIGINT) AS x{k}" for k in range(4))
+    moved = f"SELECT part, m.entry AS entry, {mean} FROM {coded} JOIN p USING (vec_id, part) GROUP BY part, m.entry"
+    return f"SELECT b.part, b.entry, {', '.join(f'coalesce(n.x{k}, b.x{k}) AS x{k}' for k in range(4))} FROM {books} AS b LEFT JOIN ({moved}) AS n ON b.part = n.part AND b.entry = n.entry"
+
+
+OP13_SQL = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT vec_id, label, part, {", ".join(f"v[4 * part + {k + 1}] AS x{k}" for k in range(4))} FROM k, range(16) AS r(part)
+), b0 AS (
+  SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, x0, x1, x2, x3 FROM p QUALIFY entry < 64
+), c0 AS ({_coded("b0")}), b1 AS ({_books("b0", "c0")}), c1 AS ({_coded("b1")}), b2 AS ({_books("b1", "c1")}), c2 AS ({_coded("b2")}),
+o AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM c2 GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(x0 || ',' || x1 || ',' || x2 || ',' || x3, ',' ORDER BY part, entry)) AS digest FROM b2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM o, h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {
+        "op12_minmax_hashing": OP12_SQL, "op13_ball_tree_codes": OP13_SQL,
+        "op1_chat_formatting": OP1_SQL, "op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL,
+    }
