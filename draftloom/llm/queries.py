@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, binary_search, bpe, chat, minmax, mixing, quality, simhash, suffix, url_filter, vector_codes, warc
+from . import audio, binary_search, bpe, chat, minmax, mixing, quality, repair, simhash, suffix, url_filter, vector_codes, warc
 from .shared import load, shared_path
 
 
@@ -60,6 +60,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.text_audio_features(load(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = load(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(conversations), conversations)
+
+
 def op12_minmax_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_copies(load(spark, sf_dir, "documents"))
 
@@ -174,6 +179,73 @@ SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m
 """
 
 
+def _add(key: str, cost: str, letter: str) -> str:
+    """SQL of a key, ten digits of cost and the letters so far, with one more edit."""
+    return f"lpad(CAST(CAST(substr({key}, 1, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({key}, 11) || '{letter}'"
+
+
+def _stays(key: str, initial: str) -> str:
+    """SQL of a key after a turn that stays: kept, if it has the initial that is due, or reroled, which a system turn can't be."""
+    cut = "CASE WHEN fault = 'cut' THEN 5 ELSE 0 END"
+    kept = f"CASE WHEN fault IN ('', 'cut') AND initial = '{initial}' THEN {_add(key, cut, 'K')} END"
+    return kept if initial == "s" else f"{kept}, CASE WHEN fault IN ('', 'cut') THEN {_add(key, '1 + ' + cut, 'R')} END"
+
+
+def _inserted(rows: str) -> str:
+    """SQL of keys after turns that may be inserted."""
+    user = f"least(k2, {_add('k0', '5', 'I')}, {_add('k1', '5', 'I')}, {_add('k3', '5', 'I')})"
+    return f"SELECT conv, pos, k0, k1, k2, least(k3, {_add('k2', '5', 'I')}) AS k3 FROM (SELECT conv, pos, k0, k1, {user} AS k2, k3 FROM ({rows}))"
+
+
+_BEGIN = "SELECT DISTINCT conv, CAST(0 AS BIGINT) AS pos, '0000000000' AS k0, CAST(NULL AS VARCHAR) AS k1, CAST(NULL AS VARCHAR) AS k2, CAST(NULL AS VARCHAR) AS k3 FROM f"
+_NEXT = f"""
+    SELECT w.conv, f.pos, {_add("k0", "2", "D")} AS k0, least({_add("k1", "2", "D")}, {_stays("k0", "s")}) AS k1,
+      least({_add("k2", "2", "D")}, {_stays("k0", "u")}, {_stays("k1", "u")}, {_stays("k3", "u")}) AS k2,
+      least({_add("k3", "2", "D")}, {_stays("k2", "a")}) AS k3
+    FROM w JOIN f ON w.conv IS NOT DISTINCT FROM f.conv AND f.pos = w.pos + 1"""
+#: Keys k0 to k3: of the ways to each state the cheapest, then the least in ASCII.
+OP11_SQL = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), x AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+), d AS (
+  SELECT conv, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(substr(name, CAST(i AS INTEGER), 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM t, x
+), m AS (
+  SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS time FROM d WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, md5(text)) AS pos, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM m
+), f AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'cut' ELSE '' END AS fault,
+    substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY pos) AS before FROM o
+), w AS (
+  {_inserted(_BEGIN)}
+  UNION ALL
+  {_inserted(_NEXT)}
+), e AS (
+  SELECT w.conv, least(k0, k3) AS key FROM w JOIN (SELECT conv, max(pos) AS pos FROM f GROUP BY conv) AS z ON w.conv IS NOT DISTINCT FROM z.conv AND w.pos = z.pos
+), l AS (
+  SELECT conv, i, substr(key, CAST(10 + i AS INTEGER), 1) AS letter FROM (SELECT conv, key, unnest(range(1, length(key) - 9)) AS i FROM e)
+), n AS (
+  SELECT *, count_if(letter <> 'I') OVER c AS pos, count_if(letter <> 'D') OVER c AS made FROM l WINDOW c AS (PARTITION BY conv ORDER BY i)
+), g AS (
+  SELECT n.*, role, text, max(CASE WHEN made = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv) AS system
+  FROM n LEFT JOIN f ON n.letter <> 'I' AND n.conv IS NOT DISTINCT FROM f.conv AND n.pos = f.pos
+), h AS (
+  SELECT conv, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (made - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS digest
+  FROM g WHERE letter <> 'D' GROUP BY conv
+), s AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'cut') AS truncated,
+    count_if(pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(CAST(substr(key, 1, 10) AS BIGINT), 0) AS cost, coalesce(substr(key, 11), '') AS audit,
+  coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv LEFT JOIN h ON c.conv_id IS NOT DISTINCT FROM h.conv
+"""
+
 OP12_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -229,6 +301,6 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op12_minmax_hashing": OP12_SQL, "op13_ball_tree_codes": OP13_SQL,
+        "op11_conversation_repair": OP11_SQL, "op12_minmax_hashing": OP12_SQL, "op13_ball_tree_codes": OP13_SQL,
         "op1_chat_formatting": OP1_SQL, "op3_warc_revisits": OP3_SQL, "op5_source_mixing": OP5_SQL, "op6_exact_top_k": OP6_SQL, "op9_url_filter": OP9_SQL,
     }
