@@ -25,7 +25,7 @@ def texts(spark, sf_dir):
 
 def test_names():
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(queries.oracle_sql()) < set(names)
 
 
