@@ -1,243 +1,52 @@
-"""Near copies by similarity: all pairs whose word shingles have a Jaccard similarity of 0.8 or more, and their components.
+"""Near copies by similarity: documents whose five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
 SimHash fingerprints of the same shingles, linked by :func:`simhash.links`, give the first candidates. Pairs at 0.8 differ in up
-to 17 of 64 bits, where segments of a ring select nothing; so the others meet under shared rare shingles. Whole sets decide.
+to 17 of 64 bits, where segments of a ring select nothing; so the others meet under bands of :mod:`minmax`. Whole sets decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from .components import connected_components
-from .shared import as_table, drop_table, drop_uses, release_shuffles, small_batches, text_bytes
-from .simhash import SEED
+from . import minmax, simhash
+from .shared import as_table, drop_table, drop_uses, release_shuffles
 
 SHINGLE = 5
-#: The least similarity, 4/5, in whole numbers.
-PART, WHOLE = 4, 5
-#: One document in this many is counted to find frequent shingles; one counted this often is frequent; most that are known.
-SAMPLE, FREQUENT, MOST = 8, 8, 200_000
-#: Fewest bits of a set's sketch, each the parity of the shingles that fall to it. Sketches have twice a set's size or more.
-SKETCH = 1_024
-
-
-def hashed_shingles(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The shingles of a text as 64-bit hashes, repeats included, words as in :func:`simhash.fingerprint`. Too few words: one
-    shingle of all; no words: none."""
-    import xxhash
-
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    pieces = [b" ".join(words)] if len(words) <= shingle else list(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
-    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, len(pieces))
-
-
-def shingles(data: bytes) -> np.ndarray:
-    """The different shingles of a text, sorted."""
-    return np.unique(hashed_shingles(data).view(np.int64))
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many documents of a sample hold, sorted, and in how many of it they are: at most ``MOST``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(data))], ["shingle"])
-
-    sample = small_batches(docs).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select(text_bytes().alias("data")).mapInArrow(run, "shingle long")
-    counts = sample.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    found = counts.orderBy(F.col("n").desc(), "shingle").limit(MOST).toArrow()
-    known, n = found.column(0).to_numpy(), found.column(1).to_numpy()
-    order = np.argsort(known)
-    return known[order], n[order]
-
-
-def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles under which a set meets smaller similar ones: all but four fifths, plus one, in an order that is the same
-    for all sets. Frequent ones come last in it, so that few sets meet. See :func:`own_prefix`."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    often = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        often = np.where(known[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, often))[: n - -(-n * PART // WHOLE) + 1]]
-
-
-def own_prefix(n: Column) -> Column:
-    """How many of the first shingles of a set of ``n`` are enough for larger similar ones to meet it.
-
-    Two similar sets of a >= b shingles share 4/9 (a + b) or more, so 8/9 b or more: of b's shingles, all but that many, plus
-    one, hold the first that both have; and so do all but 4/5 of a's, plus one.
-    """
-    return n - F.ceil(2 * PART * n / (PART + WHOLE)) + 1
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of a set's shingles by their low bits: two sets differ in as many shingles as parities, at least. A sketch whose
-    halves are combined by exclusive or is the sketch of half the width."""
-    width = SKETCH
-    while width < 2 * len(hashes):
-        width *= 2
-    odd = np.bincount(hashes & (width - 1), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text), fp (the SimHash of its shingles), sid (a hash of their set), n (the set's size), sketch,
-    keys (its prefix)."""
-    known, counts = _frequent(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            hashed = [hashed_shingles(t) for t in batch.column(2).to_pylist()]
-            prints = np.array([simhash.vote(h) for h in hashed], np.uint64).view(np.int64)
-            sets = [np.unique(h.view(np.int64)) for h in hashed]
-            sids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(prints), pa.array(sids), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([sketch(s) for s in sets], longs), pa.array([prefix(s, known, counts) for s in sets], longs),
-            ], ["doc_id", "tie", "fp", "sid", "n", "sketch", "keys"])
 
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), text_bytes().alias("data"))
-    return rows.mapInArrow(run, "doc_id long, tie long, fp long, sid long, n long, sketch array<long>, keys array<long>")
 
-
-def _near(a: Column, b: Column) -> Column:
-    return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
-
-
-def _folded(sketch: Column, size: Column) -> Column:
-    """A sketch at the width of one of half as many longs."""
-    return F.when(F.size(sketch) > size, F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(sketch)
-
-
-def _sketches(prints: DataFrame, side: str) -> DataFrame:
-    """The size and sketch of each set, with names that begin with ``side``."""
-    known = prints.select("sid", "n", "sketch").dropDuplicates(["sid"])
-    return known.select(*[F.col(c).alias(f"{side}_{c}") for c in known.columns])
-
-
-def _may_be_alike(a: str, b: str) -> Column:
-    """Whether sizes and sketches leave it open that two sets are similar: it loses no pair. Cheap tests stand first."""
-    n = F.col(f"{a}n") + F.col(f"{b}n")
-    x, y = F.col(f"{a}sketch"), F.col(f"{b}sketch")
-    width = F.least(F.size(x), F.size(y))
-    differ = F.aggregate(F.zip_with(_folded(x, width), _folded(y, width), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
-    return _near(F.col(f"{a}n"), F.col(f"{b}n")) & ((PART + WHOLE) * differ <= (WHOLE - PART) * n)
-
-
-def _alike(docs: DataFrame, prints: DataFrame, close: DataFrame) -> DataFrame:
-    """Those of ``close`` (u, v: sids), a table, that are similar: whole sets decide."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["sid", "hashes"])
-
-    asked = close.select(F.explode(F.array("u", "v")).alias("a_sid")).distinct()
-    one = prints.join(asked, F.col("sid") == F.col("a_sid"), "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("o")).select("sid", F.col("o.doc_id").alias("o_id"), F.col("o.tie").alias("o_tie"))
-    # identical rows are one before they are moved
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_tie"), text_bytes().alias("data")).groupBy("d_id", "d_tie").agg(F.first("data").alias("data"))
-    texts = rows.join(one, F.col("d_id").eqNullSafe(F.col("o_id")) & (F.col("d_tie") == F.col("o_tie"))).select("sid", "data")
-    sets = as_table(texts.mapInArrow(run, "sid long, hashes array<long>"), "sets")
-    release_shuffles(docs.sparkSession)
-    a, b = sets.select(F.col("sid").alias("a_sid"), F.col("hashes").alias("a")), sets.select(F.col("sid").alias("b_sid"), F.col("hashes").alias("b"))
-    both = close.join(a, F.col("u") == F.col("a_sid")).join(b, F.col("v") == F.col("b_sid"))
-    shared, sizes = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    links = as_table(both.where((PART + WHOLE) * shared >= PART * sizes).select("u", "v"), "links")
-    drop_table(sets)
-    release_shuffles(docs.sparkSession)
-    return links
-
-
-def _ordered(u: Column, v: Column) -> list[Column]:
-    return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
-
-
-def _first_pairs(prints: DataFrame, met: DataFrame) -> DataFrame:
-    """Candidates that join most of each component: what pigeonring links, and under each key one set with all others."""
-    of = prints.groupBy("fp").agg(F.min("sid").alias("low"))
-    same = prints.select("fp", "sid").distinct().join(of, "fp").select(F.col("sid").alias("u"), F.col("low").alias("v"))
-    linked = simhash.links(prints)
+def _by_fingerprint(found: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets, as a table: those of one fingerprint with its lowest, and the lowest of linked fingerprints."""
+    sets = found.where("n > 0").select("fp", "sid").distinct()
+    of = as_table(sets.groupBy("fp").agg(F.min("sid").alias("low")), "of-fingerprint")
+    same = sets.join(of, "fp").select(F.col("sid").alias("u"), F.col("low").alias("v"))
+    linked = simhash.links(of)
     of_u, of_v = of.select(F.col("fp").alias("u"), F.col("low").alias("u_low")), of.select(F.col("fp").alias("v"), F.col("low").alias("v_low"))
     across = linked.join(of_u, "u").join(of_v, "v").select(F.col("u_low").alias("u"), F.col("v_low").alias("v"))
-    lowest = met.where("own").groupBy(F.col("key").alias("l_key")).agg(F.min(F.struct("sid", "n")).alias("low"))
-    stars = met.join(lowest, F.col("key") == F.col("l_key")).where(_near(F.col("n"), F.col("low.n"))).select(F.col("sid").alias("u"), F.col("low.sid").alias("v"))
-    every = same.unionByName(across).unionByName(stars).select(*_ordered(F.col("u"), F.col("v"))).where("u > v").distinct()
-    pairs = as_table(every, "pairs")
+    pairs = as_table(same.unionByName(across).where("u <> v"), "pairs")
     drop_uses(linked)
-    both = pairs.join(_sketches(prints, "a"), F.col("u") == F.col("a_sid")).join(_sketches(prints, "b"), F.col("v") == F.col("b_sid"))
-    close = as_table(both.where(_may_be_alike("a_", "b_")).select("u", "v"), "close")
-    drop_table(pairs)
-    return close
-
-
-def _rest_of_pairs(prints: DataFrame, met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates that are not yet in one component: under each key, sets with those of at most their size that own the key.
-
-    The key is the first shingle that two similar sets share, so as many as follow it, in either, have to reach 4/9 of both.
-    Sketches are part of the join's condition, so sets that only share a key make no rows.
-    """
-    placed = as_table(met.join(roots, F.col("sid") == F.col("r_sid"), "left").select("key", "at", "own", "sid", "n", F.coalesce("root", "sid").alias("root")), "placed")
-    mixed = as_table(placed.groupBy(F.col("key").alias("m_key")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("m_key"), "mixed")
-    rows = placed.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(_sketches(prints, "s"), F.col("sid") == F.col("s_sid")).select("key", "at", "own", "sid", "n", "root", F.col("s_sketch").alias("sketch"))
-    rows = as_table(rows, "mixed-rows")
-    a, b = rows.alias("a"), rows.where("own").alias("b")
-    follow = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.n") >= F.col("b.n"))
-    on &= ((PART + WHOLE) * follow >= PART * (F.col("a.n") + F.col("b.n"))) & _may_be_alike("a.", "b.")
-    close = as_table(a.join(b, on).select(*_ordered(F.col("a.sid"), F.col("b.sid"))).distinct(), "close")
-    for table in (placed, mixed, rows):
-        drop_table(table)
-    release_shuffles(prints.sparkSession)
-    return close
+    drop_table(of)
+    return pairs
 
 
 def group(docs: DataFrame) -> DataFrame:
     """doc_id, tie, root (a set of the component) for every row of ``docs``.
 
-    Exact but for collisions of 64-bit hashes: similar sets share a shingle of their prefixes, so they meet under it, and
-    whole sets decide. One set of each key is held against all others first; after that only sets that are not yet in one
-    component are, as more pairs cannot change the components. Null and empty texts and texts without words are one group.
-    Repeated rows stay; an empty table gives an empty result.
+    Complete but for what :func:`minmax.similar_sets` states: whole sets decide, and a pair is missed with a probability of 5 in
+    10^8 at a similarity of 0.8, less above. Null and empty texts and texts without words are one group. Repeated rows stay; very
+    long texts are read whole; other columns are dropped; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    prints = as_table(_prints(docs), "prints")
-    members = prints.select(F.posexplode("keys").alias("at", "key"), "sid", "n").withColumn("own", F.col("at") < own_prefix(F.col("n")))
-    # keys of one row alone are most of them: they go before sets are told apart
-    shared = as_table(members.groupBy(F.col("key").alias("s_key")).agg(F.count("*").alias("rows"), F.max("own").alias("owned")).where("rows > 1 and owned").select("s_key"), "shared")
-    met = as_table(members.join(shared, F.col("key") == F.col("s_key"), "left_semi").distinct(), "met")
-    drop_table(shared)
-    release_shuffles(spark)
-    close = _first_pairs(prints, met)
-    links = _alike(docs, prints, close)
-    drop_table(close)
-    roots = connected_components(links).select(F.col("node").alias("r_sid"), "root")
-    close = _rest_of_pairs(prints, met, roots)
-    roots = connected_components(links.unionByName(_alike(docs, prints, close))).select(F.col("node").alias("r_sid"), "root")
-    drop_table(close)
-    drop_table(met)
-    found = as_table(prints.join(roots, F.col("sid") == F.col("r_sid"), "left").select("doc_id", "tie", F.coalesce("root", "sid").alias("root")), "groups")
-    drop_table(prints)
-    drop_table(links)
-    release_shuffles(spark)
-    return found
+    found = as_table(minmax.prints(docs, SHINGLE, simhash.vote), "prints")
+    first = _by_fingerprint(found)
+    roots = minmax.similar_sets(docs, found, SHINGLE, first).select(F.col("sid").alias("r_sid"), "root")
+    drop_table(first)
+    out = as_table(found.join(roots, F.col("sid") == F.col("r_sid"), "left").select("doc_id", "tie", F.coalesce("root", "sid").alias("root")), "groups")
+    drop_table(found)
+    release_shuffles(docs.sparkSession)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of which one document of each group stays, as in :func:`simhash.keep_one`."""
+    """The rows of ``docs``, all columns as they are, of which one document of each group stays: the smallest doc_id (null
+    last), then by text; of identical rows one. Null and very long texts as in :func:`group`."""
     return simhash.keep_lowest(docs, group(docs))

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from draftloom.llm import similar
+from draftloom.llm import minmax, similar
 from draftloom.llm.shared import load
 from pyspark.sql import functions as F
 from test_pipeline import mixed, repeated
@@ -50,8 +50,7 @@ def crowd(seed):
 
 
 @pytest.mark.parametrize("seed", [2, 1000, 5])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(similar, "SAMPLE", 2)
+def test_groups_are_those_of_brute_force(spark, seed):
     rows = crowd(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lowest = {}
@@ -78,31 +77,13 @@ def test_pipeline_to_its_end(spark, sf_dir):
     assert Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
 
 
-def test_prefixes_meet_at_the_first_shared_shingle():
-    """Every similar pair meets under a key that the smaller set owns, at places that leave enough to share."""
-    rnd = random.Random(3)
-    own = lambda n: n - -(-8 * n // 9) + 1
-    none = np.empty(0, np.int64)
-    for _ in range(400):
-        n = rnd.randint(1, 40)
-        a = np.unique(np.array([rnd.randrange(2**40) for _ in range(n)], np.int64))
-        b = np.unique(np.concatenate([rnd.sample(a.tolist(), rnd.randint(-(-2 * len(a) // 3), len(a))), [rnd.randrange(2**40) for _ in range(rnd.randint(0, 5))]]).astype(np.int64))
-        a, b = sorted((a, b), key=lambda x: -len(x))
-        shared = len(np.intersect1d(a, b))
-        if 9 * shared < 4 * (len(a) + len(b)):
-            continue
-        pa, pb = similar.prefix(a, none, none).tolist(), similar.prefix(b, none, none).tolist()[: own(len(b))]
-        met = [k for k in pa if k in pb and 9 * min(len(a) - pa.index(k), len(b) - pb.index(k)) >= 4 * (len(a) + len(b))]
-        assert met
-
-
 def test_sketches_fold(spark):
     rnd = random.Random(4)
     hashes = np.unique(np.array([rnd.randrange(2**63) for _ in range(600)], np.int64))
-    wide, narrow = similar.sketch(hashes), similar.sketch(hashes[:500])
+    wide, narrow = minmax.sketch(hashes), minmax.sketch(hashes[:500])
     assert len(wide) == 2 * len(narrow) == 32
-    row = spark.createDataFrame([(wide.tolist(),)], "s array<long>").select(similar._folded(F.col("s"), F.lit(16)).alias("s")).first()
+    row = spark.createDataFrame([(wide.tolist(),)], "s array<long>").select(minmax._folded(F.col("s"), F.lit(16)).alias("s")).first()
     assert row.s == (wide[:16] ^ wide[16:]).tolist()
     with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(similar, "SKETCH", 512)
-        assert similar.sketch(hashes[:250]).tolist() == (lambda s: (s[:8] ^ s[8:]).tolist())(np.packbits((np.bincount(hashes[:250] & 1023, minlength=1024) & 1).astype(np.uint8)).view(np.int64))
+        patch.setattr(minmax, "SKETCH", 512)
+        assert minmax.sketch(hashes[:250]).tolist() == (lambda s: (s[:8] ^ s[8:]).tolist())(np.packbits((np.bincount(hashes[:250] & 1023, minlength=1024) & 1).astype(np.uint8)).view(np.int64))
