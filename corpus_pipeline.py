@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from draftloom.llm import bpe, mixing, quality, similar, suffix
-from draftloom.llm.shared import as_table, load
+from draftloom.llm.shared import as_table, drop_table, load
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +47,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = as_table(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, as_table(stage(spark, docs, sf_dir), name)
+        if number:  # a stage's table goes once the next one has read it
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
