@@ -64,11 +64,12 @@ def crumbs(path: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
 
 
-def folder_children(df: DataFrame, path: Column, prefix: str) -> DataFrame:
-    """Counts by the next segment below a prefix; files that lie directly in it are not children."""
-    lead = prefix.strip("/") + "/" if prefix.strip("/") else ""
-    rest = F.substring(path, len(lead) + 1, 1_000_000)
-    inside = df.where(F.startswith(path, F.lit(lead)) & F.contains(rest, F.lit("/")))
+def folder_children(df: DataFrame, path: Column, prefix: str | Column) -> DataFrame:
+    """Counts by the next segment below a prefix, a name or a column; files that lie directly in it are not children."""
+    trimmed = F.trim(prefix if isinstance(prefix, Column) else F.lit(prefix), F.lit("/"))
+    lead = F.when(trimmed == "", "").otherwise(F.concat(trimmed, F.lit("/")))
+    rest = F.substring(path, F.length(lead) + 1, F.length(path))
+    inside = df.where(F.startswith(path, lead) & F.contains(rest, F.lit("/")))
     return inside.groupBy(F.split_part(rest, F.lit("/"), F.lit(1)).alias("label")).agg(F.count("*").alias("n"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import access
 from ..operators import browse as op
+from ..operators import positions
 from ..sources import files
 from .registry import query, table
 
@@ -36,8 +36,8 @@ SELECT l_suppkey, key_no, row_number() OVER (ORDER BY key_no NULLS LAST, first_p
 def list_order_nulls_last(spark, sf_dir):
     code = F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") < 2), F.col("l_returnflag")).otherwise("")
     files = op.collapse(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_orderkey"), code)
-    order = Window.orderBy(F.col("key_no").asc_nulls_last(), "first_page", "l_suppkey")
-    return files.select("l_suppkey", "key_no", F.row_number().over(order).cast("bigint").alias("place"))
+    placed = positions.with_positions(files, [F.col("key_no").asc_nulls_last(), "first_page", "l_suppkey"], name="place")
+    return placed.select("l_suppkey", "key_no", "place")
 
 
 @query("""
@@ -87,8 +87,8 @@ SELECT split_part(rest, '/', 1) AS label, count(*) AS n FROM r WHERE contains(re
 """)
 def folder_children(spark, sf_dir):
     paths = _paths(spark, sf_dir)
-    host = paths.agg(F.min(F.split_part("path", F.lit("/"), F.lit(1))).alias("host")).first()["host"]
-    return op.folder_children(paths, F.col("path"), host or "")
+    first = paths.agg(F.min(F.split_part("path", F.lit("/"), F.lit(1))).alias("host"))
+    return op.folder_children(paths.join(first, F.lit(True)), F.col("path"), F.col("host"))
 
 
 @query(f"""
@@ -110,14 +110,30 @@ def crumbs(spark, sf_dir):
 
 @query(f"""
 WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), l AS (SELECT page_id, regexp_extract(path, '([^/]*)$', 1) AS leaf, regexp_extract(path, '^([^/]*)', 1) AS host FROM p)
-SELECT page_id, leaf, row_number() OVER (PARTITION BY substr(host, 1, 3) ORDER BY CASE WHEN leaf = '' THEN -1 WHEN regexp_matches(leaf, '^[0-9]') THEN 0 ELSE 1 END,
+SELECT page_id, leaf, row_number() OVER (PARTITION BY host ORDER BY CASE WHEN leaf = '' THEN -1 WHEN regexp_matches(leaf, '^[0-9]') THEN 0 ELSE 1 END,
   TRY_CAST(regexp_extract(leaf, '^([0-9]*)', 1) AS BIGINT), lower(leaf), page_id) AS place FROM l
 """)
 def natural_sort(spark, sf_dir):
-    """Rank of URL leaves in natural order within hosts of one prefix."""
-    leaves = _paths(spark, sf_dir).select("page_id", F.regexp_extract("path", "([^/]*)$", 1).alias("leaf"), F.substring("path", 1, 3).alias("host"))
-    order = Window.partitionBy("host").orderBy(op.natural_key(F.col("leaf")), "page_id")
-    return leaves.select("page_id", "leaf", F.row_number().over(order).cast("bigint").alias("place"))
+    """Rank of URL leaves in natural order within each host; a host of very many pages is dealt to many tasks."""
+    leaves = _paths(spark, sf_dir).select("page_id", F.regexp_extract("path", "([^/]*)$", 1).alias("leaf"), F.regexp_extract("path", "^([^/]*)", 1).alias("host"))
+    leaves = leaves.withColumn("key", op.natural_key(F.col("leaf")))
+    return positions.with_positions(leaves, ["key", "page_id"], by=["host"], name="place").select("page_id", "leaf", "place")
+
+
+@query("SELECT o_orderkey, o_orderdate FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE (n - 1) % 7 = 0")
+def every_kth(spark, sf_dir):
+    """Every seventh order by date: a spread sample that a trial run reads."""
+    return positions.every_kth(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 7)
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos FROM lineitem)
+SELECT * FROM n WHERE pos > (SELECT (count(*) - 1) // 50 * 50 FROM lineitem)
+""")
+def last_page(spark, sf_dir):
+    """The last page of all lines by price, asked for by a number beyond the end."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return positions.page(lines, [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 1 << 30, 50)
 
 
 @query("""

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import ingest as op
 from ..streaming import scan
+from ..tables import scratch_path
 from .registry import query, table
 
 
@@ -146,13 +144,6 @@ def _stream_path(sf_dir):
     return f"{sf_dir}/events.parque[t]"
 
 
-def _scratch(spark, name):
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{found.rstrip('/')}/draftloom/{name}-{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='draftloom-')}/{name}"
-
-
 @query("""
 SELECT user_id AS path, CAST(arg_max(event_id, ts) AS BIGINT) AS size, max(ts) AS mtime, 'pending' AS status FROM (
   SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) GROUP BY 1
@@ -160,7 +151,7 @@ SELECT user_id AS path, CAST(arg_max(event_id, ts) AS BIGINT) AS size, max(ts) A
 def stream_scan_upsert(spark, sf_dir):
     """Events as a stream of crawled files, drained in micro-batches into a table: each user's last event."""
     schema = table(spark, sf_dir, "events").schema
-    root = _scratch(spark, "scan")
+    root = scratch_path(spark, "scan")
     to_files = lambda b: b.select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("size"), F.col("ts").alias("mtime"), F.struct("ts", "event_id").alias("arrival"))
     scan.upsert_stream(spark, _stream_path(sf_dir), schema, f"{root}/files", f"{root}/checkpoint", to_files)
     files = scan.latest_version(spark, f"{root}/files")
@@ -171,7 +162,7 @@ def stream_scan_upsert(spark, sf_dir):
 def stream_job_state(spark, sf_dir):
     """Events as actions on jobs through the stateful stream: the last state of each job."""
     schema = table(spark, sf_dir, "events").schema
-    root = _scratch(spark, "jobs")
+    root = scratch_path(spark, "jobs")
     kind = F.col("event_type")
     action = F.when(kind == "view", "claim").when(kind == "click", "claim").when(kind == "error", "fail").otherwise("done")
     stream = spark.readStream.schema(schema).parquet(_stream_path(sf_dir)).select(F.col("user_id").alias("job"), action.alias("action"), F.col("event_id").alias("at"))

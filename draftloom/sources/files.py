@@ -40,13 +40,6 @@ def is_safe(path: Column) -> Column:
     return ~F.startswith(path, F.lit("/")) & ~F.array_contains(F.split(path, "/"), "..")
 
 
-def every_kth(df: DataFrame, order: Column, k: int) -> DataFrame:
-    """Every k-th row in an order, the first included."""
-    from pyspark.sql import Window
-
-    return df.withColumn("n", F.row_number().over(Window.orderBy(order))).where((F.col("n") - 1) % k == 0).drop("n")
-
-
 def export_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for the capped lists that people open."""
     df.coalesce(1).write.option("header", True).mode("overwrite").csv(path)
