@@ -24,10 +24,8 @@ PART, WHOLE = 4, 5
 #: Permutations, and values of a band: the two of two permutations.
 PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
-#: Under one key, sets are compared pair by pair while that is at most this many comparisons a set; else the key gets a further band.
+#: Under one key, sets are compared pair by pair while that is at most this many comparisons a set; else by their rarest shingles.
 PER_SET = 32
-#: Bands of the longest key.
-DEEPEST = 6
 #: Fewest bits of a set's sketch, each the parity of the shingles that fall to it. Sketches have twice a set's size or more.
 SKETCH = 1_024
 
@@ -169,10 +167,10 @@ def _links(close: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """Of ``members`` (key, band, sid) those whose key several sets have, with the smallest of these, as a table."""
+    """Of ``members`` (key, sid) those whose key several sets have, with the smallest of these, as a table."""
     lows = members.groupBy(F.col("key").alias("l_key")).agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
     lows = as_table(lows.select("l_key", "low"), "lows")  # a table, so that Spark can split a hot key of the join with it
-    met = as_table(members.join(lows, F.col("key") == F.col("l_key")).select("key", "band", "sid", "low"), "met")
+    met = as_table(members.join(lows, F.col("key") == F.col("l_key")).select("key", "sid", "low"), "met")
     drop_table(lows)
     return met
 
@@ -186,24 +184,59 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of keys whose sets are not yet in one component, with their roots, and whether a key's open pairs are too many."""
-    placed = as_table(met.join(roots, F.col("sid") == F.col("r_sid"), "left").select("key", "band", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+    """Members of keys whose sets are not yet in one component: with their roots, where the open pairs are at most ``PER_SET`` a
+    set, and the sets alone of more crowded keys."""
+    placed = as_table(met.join(roots, F.col("sid") == F.col("r_sid"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
     of_key = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k_key")).agg(F.sum("c").alias("rows"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"), F.count("*").alias("roots"))
     open_keys = as_table(of_key.where("roots > 1").select("k_key", ((F.col("rows").cast("double") * F.col("rows") - F.col("same")) / 2 > PER_SET * F.col("rows")).alias("crowded")), "open")
-    rows = as_table(placed.join(open_keys, F.col("key") == F.col("k_key")).select("key", "band", "sid", "root", "crowded"), "unsettled")
+    rows = as_table(placed.join(open_keys, F.col("key") == F.col("k_key")).select("key", "sid", "root", "crowded"), "unsettled")
     drop_table(placed)
     drop_table(open_keys)
-    return rows.where("not crowded").drop("crowded"), rows.where("crowded").drop("crowded")
+    return rows.where("not crowded").drop("crowded"), rows.where("crowded").select("sid").distinct()
 
 
-def _with_more(links: DataFrame, roots: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links with those of the table ``more``, and the roots that follow."""
+def _joined_roots(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (r_sid, root) after the links of the table ``more``, whose components are those of the roots they join; it goes."""
     if more.isEmpty():
-        return links, roots
-    every = as_table(links.unionByName(more), "links")
-    for table in (links, roots, more):
+        drop_table(more)
+        return roots
+    of = roots.select(F.col("r_sid").alias("x"), F.col("root").alias("x_root"))
+    ends = more.join(of, F.col("u") == F.col("x"), "left").select(F.coalesce("x_root", "u").alias("u"), "v")
+    ends = ends.join(of, F.col("v") == F.col("x"), "left").select("u", F.coalesce("x_root", "v").alias("v"))
+    onto = as_table(connected_components(ends).select(F.col("node").alias("o_node"), F.col("root").alias("o_root")), "onto")
+    moved = roots.join(onto, F.col("root") == F.col("o_node"), "left").select("r_sid", F.coalesce("o_root", "root").alias("root"))
+    fresh = onto.join(roots, F.col("o_node") == F.col("r_sid"), "left_anti").select(F.col("o_node").alias("r_sid"), F.col("o_root").alias("root"))
+    out = as_table(moved.unionByName(fresh), "roots")
+    for table in (roots, more, onto):
         drop_table(table)
-    return every, as_table(_roots(every), "roots")
+    return out
+
+
+def own_prefix(n: Column) -> Column:
+    """How many of the first shingles of a set of ``n`` are enough for larger similar ones to meet it.
+
+    Two similar sets of a >= b shingles share 4/9 (a + b) or more, so 8/9 b or more: of b's shingles, all but that many, plus
+    one, hold the first that both have; and so do all but 4/5 of a's, plus one.
+    """
+    return n - F.ceil(2 * PART * n / (PART + WHOLE)) + 1
+
+
+def _rare_shingles(whole: DataFrame, crowd: DataFrame) -> DataFrame:
+    """key, at, own, sid, n: the first shingles of each set of ``crowd`` (sid), rarest first by their exact counts in the crowd.
+
+    Similar sets share one of these, and what a set shares with very many others stands last. A shingle of one set alone is no key,
+    but takes a place. A set whose first shingles are common holds little else, and is similar to the like of it.
+    """
+    rows = as_table(whole.join(crowd, "sid", "left_semi").select("sid", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("key")), "crowd")
+    counts = as_table(rows.groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    shared = rows.join(counts, F.col("key") == F.col("c_key")).groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    first = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1 - alone, F.lit(0)).cast("int")))
+    placed = shared.select("sid", "n", alone.alias("alone"), first.alias("k", "s")).select(F.col("s.key").alias("key"), (F.col("alone") + F.col("k")).alias("at"), "sid", "n")
+    out = as_table(placed.withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
+    drop_table(rows)
+    drop_table(counts)
+    return out
 
 
 def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFrame | None = None) -> DataFrame:
@@ -211,14 +244,13 @@ def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFra
 
     Two sets at 0.8 share a band with a probability of 0.41, so they miss all 32 with one of 5 in 10^8. One set of each key
     is held against all others first; what is then not in one component is compared pair by pair, if these are at most
-    ``PER_SET`` comparisons a set. Under a more crowded key, such as that of a passage in very many documents that are otherwise
-    different, sets meet under two bands, those and each later one of theirs, then under three and so on: a similar pair shares 13
-    bands of 32, a chance pair few, so crowds thin out by their share to the fourth power with each band, and no key's work
-    grows with the square of its sets. Keys of ``DEEPEST`` bands are compared whatever their number. ``first``: pairs (u, v) of
-    sets that are candidates too. Exact but for that probability and collisions of 64-bit hashes: whole sets decide.
+    ``PER_SET`` comparisons a set. The sets of more crowded keys, such as that of a passage in very many documents that are
+    otherwise different, meet under their rarest shingles instead, which loses no pair, again one of each key first. Bands cannot
+    tell such sets apart: at 0.6 they share four of 32. ``first``: pairs (u, v) of sets that are candidates
+    too. Exact but for that probability and collisions of 64-bit hashes: whole sets decide.
     """
     sets = as_table(found.where("n > 0").groupBy("sid").agg(F.min_by(F.struct("n", "sketch", "keys"), "tie").alias("s")).select("sid", "s.n", "s.sketch", "s.keys"), "distinct-sets")
-    met = _shared(sets.select(F.posexplode("keys").alias("band", "key"), "sid").select("key", "band", "sid"))
+    met = _shared(sets.select(F.explode("keys").alias("key"), "sid"))
     asked = met.select("sid")
     if first is not None:
         asked = asked.unionByName(first.select(F.col("u").alias("sid"))).unionByName(first.select(F.col("v").alias("sid")))
@@ -226,32 +258,51 @@ def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFra
     stars = met.where("sid > low").select(F.col("sid").alias("u"), F.col("low").alias("v"))
     pairs = (stars if first is None else stars.unionByName(first.select(*_pairs("u", "v")).where("u > v"))).distinct()
     links = _links(_close(pairs, sets), whole)
-    release_shuffles(docs.sparkSession)
     roots = as_table(_roots(links), "roots")
-    for level in range(1, DEEPEST + 1):
-        few, crowded = _unsettled(met, roots)
-        drop_table(met)
-        if level == DEEPEST:
-            few, crowded = few.unionByName(crowded), crowded.limit(0)
-        if not few.isEmpty():
-            rows = as_table(few.join(_named(sets, "s"), F.col("sid") == F.col("s_sid")).select("key", "sid", "root", F.col("s_n").alias("n"), F.col("s_sketch").alias("sketch")), "few")
-            a, b = rows.alias("a"), rows.alias("b")
-            on = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") > F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & may_be_alike("a.", "b.")
-            close = as_table(a.join(b, on).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct(), "close")
-            drop_table(rows)
-            links, roots = _with_more(links, roots, _links(close, whole))
-        if crowded.isEmpty():
-            break
-        longer = crowded.join(sets.select(F.col("sid").alias("k_sid"), "keys"), F.col("sid") == F.col("k_sid"))
-        longer = longer.select("key", F.col("band").alias("last"), "sid", F.posexplode("keys").alias("band", "with")).where("band > last")
-        met = _shared(longer.select(F.xxhash64("key", "with").alias("key"), "band", "sid"))
-        stars = met.where("sid > low").select(F.col("sid").alias("u"), F.col("low").alias("v")).distinct()
-        links, roots = _with_more(links, roots, _links(_close(stars, sets), whole))
-    for table in (sets, whole, links):
+    drop_table(links)
+    few, crowd = _unsettled(met, roots)
+    drop_table(met)
+    if not few.isEmpty():
+        rows = as_table(few.join(_named(sets, "s"), F.col("sid") == F.col("s_sid")).select("key", "sid", "root", F.col("s_n").alias("n"), F.col("s_sketch").alias("sketch")), "few")
+        a, b = rows.alias("a"), rows.alias("b")
+        on = (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") > F.col("b.sid")) & (F.col("a.root") != F.col("b.root")) & may_be_alike("a.", "b.")
+        close = as_table(a.join(b, on).select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")).distinct(), "close")
+        drop_table(rows)
+        roots = _joined_roots(roots, _links(close, whole))
+    if not crowd.isEmpty():
+        rare = _rare_shingles(whole, crowd)
+        lows = rare.where("own").groupBy(F.col("key").alias("l_key")).agg(F.min(F.struct("sid", "n")).alias("low"))
+        lows = as_table(lows.select("l_key", F.col("low.sid").alias("l_sid"), F.col("low.n").alias("l_n")), "lows")
+        stars = rare.join(lows, (F.col("key") == F.col("l_key")) & (F.col("sid") != F.col("l_sid")) & near_sizes(F.col("n"), F.col("l_n")))
+        roots = _joined_roots(roots, _links(_close(stars.select(*_pairs("sid", "l_sid")).distinct(), sets), whole))
+        roots = _joined_roots(roots, _links(_open_pairs(rare, roots, sets), whole))
+        drop_table(lows)
+        drop_table(rare)
+    for table in (sets, whole):
         drop_table(table)
     return roots.select(F.col("r_sid").alias("sid"), "root")
 
 
+def _open_pairs(rare: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that are not yet in one component, as a table: under each key, sets with those of at most their size that own it.
+
+    The key is the first shingle that two similar sets share, so as many as follow it, in either, have to reach 4/9 of both.
+    Sketches are part of the join's condition, so sets that only share a key make no rows.
+    """
+    placed = as_table(rare.join(roots, F.col("sid") == F.col("r_sid"), "left").select("key", "at", "own", "sid", "n", F.coalesce("root", "sid").alias("root")), "placed")
+    mixed = as_table(placed.groupBy(F.col("key").alias("m_key")).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("owned")).where("low < high and owned").select("m_key"), "mixed")
+    rows = placed.join(mixed, F.col("key") == F.col("m_key"), "left_semi").join(sets.select(F.col("sid").alias("s_sid"), "sketch"), F.col("sid") == F.col("s_sid"))
+    rows = as_table(rows.select("key", "at", "own", "sid", "n", "root", "sketch"), "mixed-rows")
+    a, b = rows.alias("a"), rows.where("own").alias("b")
+    follow = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.n") >= F.col("b.n"))
+    on &= ((PART + WHOLE) * follow >= PART * (F.col("a.n") + F.col("b.n"))) & may_be_alike("a.", "b.")
+    close = as_table(a.join(b, on).select(*_pairs("a.sid", "b.sid")).distinct(), "close")
+    for table in (placed, mixed, rows):
+        drop_table(table)
+    return close
+
+
 def near_copies(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id, n_shingles (the size of the set), component_id, kept for every row of ``docs`` (doc_id, text).
 
