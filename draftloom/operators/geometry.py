@@ -11,6 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+from .graph import chain
+
+#: Gaps between boundaries that one window looks at.
+CELL = 256
+
 
 def islands(df: DataFrame, group: Sequence[str], order: Sequence[Column], starts: Column, name: str = "island") -> DataFrame:
     """Number the runs of rows in an order: a row for which ``starts`` holds begins a new one. ``starts`` may use lag()."""
@@ -60,6 +66,31 @@ def distinct_boundaries(values: Column, tolerance: Column) -> Column:
     return F.aggregate(F.array_sort(values), first, lambda kept, v: F.when((F.size(kept) == 0) | (v - F.element_at(kept, -1) > tolerance), F.concat(kept, F.array(v))).otherwise(kept))
 
 
+def boundaries(df: DataFrame, group: Sequence[str], value: str, gap: float) -> DataFrame:
+    """(group, value): of each group's values, in order, those further than ``gap`` from the last one kept, the first one included.
+
+    Each value's next is the least value beyond the gap; what is kept is the chain from the first value. The next one is looked
+    for in cells of ``CELL`` gaps, each a window of its own, and else is the first of the next cells, so a large group is many
+    tasks' work; its chain is followed by doubling.
+    """
+    keys = list(group)
+    values = written(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")).distinct(), "values")
+    cell = lambda c: F.floor(c / (gap * CELL))
+    target = F.col("v") + gap
+    asked = values.select(*keys, cell(target).alias("cell"), target.alias("at"), F.lit(0).alias("kind"), "v", F.lit(None).cast("double").alias("w"))
+    there = values.select(*keys, cell(F.col("v")).alias("cell"), F.col("v").alias("at"), F.lit(1).alias("kind"), "v", F.col("v").cast("double").alias("w"))
+    # from above, a value is seen by what stands strictly below it
+    seen = Window.partitionBy(*keys, "cell").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = asked.unionByName(there).withColumn("next", F.last("w", ignorenulls=True).over(seen)).where("kind = 0").select(*keys, "v", F.col("cell").alias("t_cell"), "next")
+    cells = values.groupBy(*keys, cell(F.col("v")).alias("cell")).agg(F.min("v").alias("low"))
+    along = Window.partitionBy(*keys).orderBy("cell")
+    later = cells.select(*keys, "cell", *[F.lead(c, n).over(along).alias(f"{c}_{n}") for c in ("cell", "low") for n in (1, 2)])
+    placed = inside.withColumn("cell", cell(F.col("v"))).join(later, [*keys, "cell"])
+    beyond = F.when(F.col("cell_1") > F.col("t_cell"), F.col("low_1")).otherwise(F.col("low_2"))
+    successors = placed.select(*keys, "v", F.coalesce("next", beyond).alias("next"))
+    return chain(successors, values.groupBy(*keys).agg(F.min("v").alias("v")), keys, "v", "next").select(*keys, F.col("v").alias(value))
+
+
 def tolerance_mode(df: DataFrame, group: Sequence[str], value: str, tolerance: float) -> DataFrame:
     """Per group the value with most values within the tolerance of it; ties give the smaller. A range frame counts the
     neighbours, so no pairs are made."""

@@ -29,17 +29,6 @@ def local_time_format(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(local, "yyyy-MM-dd HH:mm").alias("local_time"))
 
 
-@query("""
-WITH d(id, w, h, scale) AS (VALUES (1, 400.0, 277.0, 1.0), (2, 150.0, 100.0, 1.0), (3, 9000.0, 6000.0, 30.0), (4, 5000.0, 2000.0, 1.0), (5, 100.0, 190.0, 1.0))
-SELECT id, CASE id WHEN 1 THEN 'A3' WHEN 2 THEN 'A4' WHEN 3 THEN 'A3' WHEN 4 THEN '' ELSE 'A4' END AS paper, h > w AS portrait,
-  CAST(CASE id WHEN 3 THEN 30.0 WHEN 4 THEN 5000.0 / 420.0 ELSE 1.0 END AS DOUBLE) AS factor, id <> 4 AS exact FROM d
-""")
-def sheet_fallback(spark, sf_dir):
-    rows = [(1, 400.0, 277.0, None), (2, 150.0, 100.0, None), (3, 9000.0, 6000.0, 30.0), (4, 5000.0, 2000.0, None), (5, 100.0, 190.0, None)]
-    drawings = spark.createDataFrame(rows, "id int, w double, h double, scale double")
-    return geometry.sheet_of(drawings, "id", drawings.where("id = 1"), F.col("scale"))
-
-
 @query("""
 WITH r AS (SELECT l_orderkey AS g, l_linenumber AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) AS m, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS top,
   min(l_linenumber) OVER (PARTITION BY l_orderkey) AS low FROM lineitem)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bitmap, sheets
 from ..operators import geometry as op
 from .registry import query, table
 
@@ -63,9 +64,52 @@ k AS (SELECT g, min(v) AS v FROM o GROUP BY g UNION ALL SELECT k.g, (SELECT min(
 SELECT g AS c_nationkey, CAST(count(*) AS INTEGER) AS n, max(v) AS last FROM k GROUP BY g
 """)
 def boundary_greedy_dedupe(spark, sf_dir):
-    values = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set(F.round("c_acctbal")).alias("v"))
-    kept = values.select("c_nationkey", op.distinct_boundaries(F.col("v"), F.lit(100.0)).alias("kept"))
-    return kept.select("c_nationkey", F.size("kept").alias("n"), F.element_at("kept", -1).alias("last"))
+    kept = op.boundaries(table(spark, sf_dir, "customer").select("c_nationkey", F.round("c_acctbal").alias("v")), ["c_nationkey"], "v", 100.0)
+    return kept.groupBy("c_nationkey").agg(F.count("*").cast("int").alias("n"), F.max("v").alias("last"))
+
+
+@query("""
+WITH RECURSIVE px AS (SELECT DISTINCT l_suppkey AS page, l_linenumber * 2 - l_partkey % 2 AS c, unnest(range(CAST(l_quantity AS BIGINT), CAST(l_quantity AS BIGINT) + 2 + l_orderkey % 9)) AS y FROM lineitem WHERE l_returnflag <> 'R'),
+g AS (SELECT page, c, y, y - row_number() OVER (PARTITION BY page, c ORDER BY y) AS run FROM px),
+s AS (SELECT page, c, min(y) AS first, max(y) AS last, row_number() OVER () AS id FROM g GROUP BY page, c, run HAVING count(*) >= 6),
+e AS (SELECT a.id AS u, b.id AS v FROM s AS a JOIN s AS b ON a.page = b.page AND a.c <> b.c AND abs(a.c - b.c) <= 2 AND a.first <= b.last AND b.first <= a.last),
+r AS (SELECT id AS node, id AS reached FROM s UNION SELECT r.node, e.v FROM r JOIN e ON r.reached = e.u),
+k AS (SELECT node, min(reached) AS root FROM r GROUP BY node)
+SELECT page, CAST((min(c) + max(c) + 1) / 2 AS DOUBLE) AS x, min(first) AS first, max(last) AS last, count(*) AS n_strokes FROM s JOIN k ON id = node GROUP BY page, root
+""")
+def ruling_lines(spark, sf_dir):
+    """Lines of suppliers as dark pixels of a bitmap each: rules of strokes that touch."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
+    top = F.col("l_quantity").cast("bigint")
+    pixels = lines.select(F.col("l_suppkey").alias("page"), (F.col("l_linenumber") * 2 - F.col("l_partkey") % 2).alias("c"), F.explode(F.sequence(top, top + 1 + F.col("l_orderkey") % 9)).alias("y")).distinct()
+    return bitmap.ruling_lines(pixels, ["page"], "c", "y", F.lit(True), 6)
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS g, CAST(200 + 25 * (o_orderkey % 30) AS DOUBLE) AS w, CAST(150 + 20 * (o_custkey % 35) AS DOUBLE) AS h FROM orders)
+SELECT g, 'block' AS origin, w AS w, h AS h FROM b WHERE g % 3 = 0 UNION ALL SELECT g, 'polyline', w, h FROM b WHERE g % 2 = 0
+UNION ALL SELECT g, 'level', w, CASE WHEN g % 5 < 3 AND g % 2 = 0 THEN 0 ELSE h END FROM b WHERE g % 5 < 3 OR g % 2 = 0 UNION ALL SELECT g, 'upright', w, h FROM b WHERE (g % 5 < 3) <> (g % 2 = 0)
+""")
+def frame_candidates(spark, sf_dir):
+    """Orders as drawings with a frame that is a block, a closed polyline, or four lines beside shorter ones. Sides drawn twice are the two
+    longest lines of their way, and enclose nothing."""
+    return sheets.frame_candidates(_entities(spark, sf_dir), "g").select("g", "origin", "w", "h")
+
+
+@query("""
+WITH b AS (SELECT o_orderkey AS g, CAST(200 + 25 * (o_orderkey % 30) AS DOUBLE) AS w, CAST(150 + 20 * (o_custkey % 35) AS DOUBLE) AS h FROM orders),
+p(paper, pw, ph, n) AS (VALUES ('A4', 297.0, 210.0, 1), ('A3', 420.0, 297.0, 2), ('A2', 594.0, 420.0, 3), ('A1', 841.0, 594.0, 4), ('A0', 1189.0, 841.0, 5)),
+o AS (SELECT paper, pw, ph, false AS portrait FROM p UNION ALL SELECT paper, ph, pw, true FROM p),
+f AS (SELECT g, arg_max(struct_pack(paper, portrait), struct_pack(a := w * h, b := paper, c := portrait)) AS s FROM b JOIN o ON w BETWEEN pw * 0.87 AND pw * 1.01 AND h BETWEEN ph * 0.87 AND ph * 1.01 GROUP BY g),
+k AS (SELECT g, arg_min(paper, n) AS paper FROM b JOIN p ON greatest(w, h) <= pw AND least(w, h) <= ph GROUP BY g)
+SELECT b.g, coalesce(f.s.paper, k.paper, '') AS paper, CASE WHEN f.g IS NOT NULL THEN f.s.portrait ELSE w < h END AS portrait,
+  CAST(CASE WHEN f.g IS NULL AND k.g IS NULL THEN greatest(greatest(w, h) / 420.0, least(w, h) / 297.0) ELSE 1.0 END AS DOUBLE) AS factor, f.g IS NOT NULL OR k.g IS NOT NULL AS exact
+FROM b LEFT JOIN f ON b.g = f.g LEFT JOIN k ON b.g = k.g
+""")
+def sheet_fallback(spark, sf_dir):
+    """The sheets of these drawings: by a frame that fits, else by what holds all, else shrunk."""
+    entities = _entities(spark, sf_dir)
+    return op.sheet_of(sheets.extents(entities, "g"), "g", sheets.frame_candidates(entities, "g").select("g", "w", "h"), F.lit(None).cast("double"))
 
 
 @query("""
@@ -185,3 +229,21 @@ SELECT conv_id, count(*) AS n_pages, count(*) FILTER (WHERE role = 'assistant')
 """)
 def page_set_split(spark, sf_dir):
     return op.is_page_set(table(spark, sf_dir, "conversations"), "conv_id", F.col("role") == "assistant")
+
+
+def _entities(spark, sf_dir):
+    """Entities of orders as drawings: all of one size, some with a block or a closed polyline of it, some with its four sides as lines, and
+    two short lines and a triangle in each."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    zero, w, h, g = F.lit(0.0), F.col("w"), F.col("h"), F.col("g")
+    corners = [at(zero, zero), at(w, zero), at(w, h), at(zero, h)]
+    one = lambda kind, closed, *points: F.struct(F.lit(kind).alias("kind"), F.lit(closed).alias("closed"), F.array(*points).alias("points"))
+    sides = F.array(*[one("LINE", False, a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
+    none = F.slice(sides, 1, 0)
+    short = F.array(one("LINE", False, at(F.lit(5.0), F.lit(7.0)), at(F.lit(60.0), F.lit(7.0))), one("LINE", False, at(zero, zero), at(w, h)), one("LWPOLYLINE", False, at(F.lit(1.0), F.lit(1.0)), at(F.lit(9.0), F.lit(5.0)), at(F.lit(4.0), F.lit(8.0))))
+    parts = F.concat(
+        short, F.when(g % 3 == 0, F.array(one("INSERT", False, corners[0], corners[2]))).otherwise(none),
+        F.when(g % 2 == 0, F.array(one("LWPOLYLINE", True, *corners))).otherwise(none), F.when(g % 5 < 3, sides).otherwise(none),
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("g"), (200 + 25 * (F.col("o_orderkey") % 30)).cast("double").alias("w"), (150 + 20 * (F.col("o_custkey") % 35)).cast("double").alias("h"))
+    return orders.select("g", F.explode(parts).alias("e")).select("g", "e.*")

@@ -158,22 +158,31 @@ def stream_scan_upsert(spark, sf_dir):
     return files.select(F.col("path").cast("bigint").alias("path"), "size", "mtime", "status")
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT (epoch_us(max(ts)) // 1000 - 3600000) * 1000 + 999 AS now FROM events),
+e AS (
+  SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n, epoch_us(ts) AS us,
+    CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'done' WHEN 'error' THEN 'fail' ELSE 'requeue' END AS action
+  FROM events, w WHERE epoch_us(ts) <= now
+), s AS (
+  SELECT DISTINCT job, CAST(0 AS BIGINT) AS n, 'queued' AS state, CAST(0 AS BIGINT) AS attempts, CAST(-1 AS BIGINT) AS since FROM e
+  UNION ALL
+  SELECT job, n, CASE WHEN state = 'queued' AND action = 'claim' THEN 'running' WHEN state = 'running' AND action = 'done' THEN 'done' WHEN state = 'running' AND action = 'fail' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END
+      WHEN state IN ('failed', 'done') AND action = 'requeue' THEN 'queued' ELSE state END,
+    CASE WHEN state = 'queued' AND action = 'claim' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN (state = 'queued' AND action = 'claim') OR (state = 'running' AND action IN ('done', 'fail')) OR (state IN ('failed', 'done') AND action = 'requeue') THEN us ELSE since END
+  FROM (SELECT e.job, e.n, e.us, e.action, s.attempts, CASE WHEN s.state = 'running' AND us - since > 1800000000 THEN 'queued' ELSE s.state END AS state,
+    CASE WHEN s.state = 'running' AND us - since > 1800000000 THEN since + 1800000000 ELSE since END AS since FROM s JOIN e ON e.job = s.job AND e.n = s.n + 1)
+), l AS (SELECT job, arg_max(state, n) AS state, arg_max(attempts, n) AS attempts, arg_max(since, n) AS since FROM s GROUP BY job)
+SELECT job, CASE WHEN state = 'running' AND now - since > 1800000000 THEN 'queued' ELSE state END AS state, attempts, CASE WHEN state = 'running' AND now - since > 1800000000 THEN since + 1800000000 ELSE since END AS since FROM l, w WHERE since >= 0
+""")
 def stream_job_state(spark, sf_dir):
-    """Events as actions on jobs through the stateful stream: the last state of each job."""
-    schema = table(spark, sf_dir, "events").schema
-    root = scratch_path(spark, "jobs")
+    """Events as actions on jobs through the stateful stream: the state of each job an hour before the last event."""
     kind = F.col("event_type")
-    action = F.when(kind == "view", "claim").when(kind == "click", "claim").when(kind == "error", "fail").otherwise("done")
-    stream = spark.readStream.schema(schema).parquet(_stream_path(sf_dir)).select(F.col("user_id").alias("job"), action.alias("action"), F.col("event_id").alias("at"))
-    out = f"{root}/out"
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
-
-    scan.job_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/b=*")
-    return op.last_wins(rows, "job", [F.col("batch")]).drop("batch")
+    action = F.when(kind == "view", "claim").when(kind == "click", "done").when(kind == "error", "fail").otherwise("requeue")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(_stream_path(sf_dir))
+    with scan.with_timers(spark):
+        return scan.drained(scan.job_states(stream.select(F.col("user_id").alias("job"), action.alias("action"), F.col("ts").alias("at"), F.col("event_id").alias("event"))), "job", scratch_path(spark, "jobs"))
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

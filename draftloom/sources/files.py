@@ -14,10 +14,10 @@ def crawl(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
     """(path, size, mtime) of the files below a folder; the content column is pruned, so files are only listed.
 
     ``include`` names folders directly below the root, compared without regard to width and case; files that lie in the root
-    itself are then left out. ``exclude`` are parts of ``/path``.
+    itself are then left out. ``exclude`` are parts of ``/path``. Without ``extensions`` all files are listed.
     """
     either = ",".join(x for e in extensions for x in (e.lower(), e.upper()))
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}").load(root).select("path", "length", "modificationTime")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{either}}}" if extensions else "*").load(root).select("path", "length", "modificationTime")
     lead = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.concat(F.lit("^\\Q"), lead, F.lit("\\E/*")), F.lit(""))
     rows = listed.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

@@ -1,8 +1,10 @@
 """Operators on small cases that the tables do not have."""
 
 import datetime as dt
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from draftloom.operators import access, browse, geometry, ingest, relations, search, titleblock
@@ -79,16 +81,34 @@ def test_job_state_machine():
     assert run(["claim", "fail"] * 3 + ["requeue", "claim"]) == ("running", 4)
 
 
-def test_streamed_states_and_versions(spark, sf_dir):
-    from draftloom.plans import ingest as plans
-
-    rows = plans.stream_job_state(spark, sf_dir).collect()
-    events = sorted(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type").collect(), key=lambda r: r.event_id)
-    want = {}
-    for e in events:
-        action = {"view": "claim", "click": "claim", "error": "fail"}.get(e.event_type, "done")
-        want[e.user_id] = scan.advance(*want.get(e.user_id, ("queued", 0)), action)
-    assert {r.job: (r.state, r.attempts) for r in rows} == want
+def settled(events, now):
+    """{job: (state, attempts, since)} of events (job, action, at, event) up to ``now``, one after another."""
+    out = {}
+    for job, action, at, _ in sorted(events, key=lambda e: (e[2], e[3])):
+        if at > now:
+            break
+        was = scan.leased(out.get(job, ("queued", 0, -1)), at)
+        state, attempts = scan.advance(was[0], was[1], action)
+        out[job] = was if (state, attempts) == was[:2] else (state, attempts, at)
+    return {job: found for job, found in ((j, scan.leased(v, now)) for j, v in out.items()) if found[2] >= 0}
+
+
+@pytest.mark.parametrize("files", [1, 7])
+def test_streamed_states_do_not_depend_on_micro_batches(spark, tmp_path, files):
+    """Events that are out of order by up to 50 minutes, within and across micro-batches of a file each; leases end between them."""
+    rnd = random.Random(files)
+    start = 1_700_000_000_000_000
+    events = [(rnd.randrange(12), rnd.choice(["claim", "claim", "done", "fail", "requeue"]), start + k * 240_000_000 + rnd.randrange(240_000_000), k) for k in range(400)]
+    arrivals = sorted(events, key=lambda e: e[2] + rnd.randrange(50 * 60_000_000))
+    size = -(-len(arrivals) // files)
+    for n in range(files):
+        df = spark.createDataFrame(arrivals[n * size : (n + 1) * size], "job long, action string, us long, event long")
+        df.select("job", "action", F.timestamp_micros("us").alias("at"), "event").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("job long, action string, at timestamp, event long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    with scan.with_timers(spark):
+        rows = scan.drained(scan.job_states(stream), "job", f"{tmp_path}/out").collect()
+    now = (max(e[2] for e in events) // 1_000 - 3_600_000) * 1_000 + 999
+    assert {r.job: tuple(r)[1:] for r in rows} == settled(events, now)
 
 
 def test_greedy_boundaries_and_votes(spark):
