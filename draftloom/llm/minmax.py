@@ -3,6 +3,7 @@
 Each permutation of the shingles gives two values of a set, its minimum and its maximum, so 64 permutations make a signature of
 128 values, whose share of equal ones estimates the similarity without bias and varies less than with 128 minima. Sets
 meet under bands of four values; sizes, parity sketches and at last whole sets decide, so nothing that is linked is wrong.
+Joins whose sides grow with the documents ask for a merge join, so that a plan is the same for any size.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def _whole_sets(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: in
     one = found.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("o"))
     one = as_table(one.select("sid", F.col("o.doc_id").alias("o_id"), F.col("o.tie").alias("o_tie")), "asked")
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("d_id"), F.xxhash64("text").alias("d_tie"), text_bytes().alias("data"))
-    texts = rows.join(one, F.col("d_id").eqNullSafe(F.col("o_id")) & (F.col("d_tie") == F.col("o_tie"))).select("sid", "data")
+    texts = rows.hint("merge").join(one, F.col("d_id").eqNullSafe(F.col("o_id")) & (F.col("d_tie") == F.col("o_tie"))).select("sid", "data")
     # rows of one id and text are the same set: one of them is enough, and few are such
     sets = as_table(texts.mapInArrow(run, "sid long, hashes array<long>").dropDuplicates(["sid"]), "sets")
     drop_table(one)
@@ -160,7 +161,7 @@ def _whole_sets(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: in
 def _links(close: DataFrame, whole: DataFrame) -> DataFrame:
     """Those of ``close`` whose whole sets are similar, as a table; ``close`` goes."""
     a, b = whole.select(F.col("sid").alias("a_sid"), F.col("hashes").alias("a")), whole.select(F.col("sid").alias("b_sid"), F.col("hashes").alias("b"))
-    both = close.join(a, F.col("u") == F.col("a_sid")).join(b, F.col("v") == F.col("b_sid"))
+    both = close.join(a.hint("merge"), F.col("u") == F.col("a_sid")).join(b.hint("merge"), F.col("v") == F.col("b_sid"))
     found = as_table(both.where((PART + WHOLE) * F.size(F.array_intersect("a", "b")) >= PART * (F.size("a") + F.size("b"))).select("u", "v"), "links")
     drop_table(close)
     return found
@@ -170,7 +171,7 @@ def _shared(members: DataFrame) -> DataFrame:
     """Of ``members`` (key, sid) those whose key several sets have, with the smallest of these, as a table."""
     lows = members.groupBy(F.col("key").alias("l_key")).agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
     lows = as_table(lows.select("l_key", "low"), "lows")  # a table, so that Spark can split a hot key of the join with it
-    met = as_table(members.join(lows, F.col("key") == F.col("l_key")).select("key", "sid", "low"), "met")
+    met = as_table(members.hint("merge").join(lows, F.col("key") == F.col("l_key")).select("key", "sid", "low"), "met")
     drop_table(lows)
     return met
 
@@ -229,7 +230,7 @@ def _rare_shingles(whole: DataFrame, crowd: DataFrame) -> DataFrame:
     """
     rows = as_table(whole.join(crowd, "sid", "left_semi").select("sid", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("key")), "crowd")
     counts = as_table(rows.groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    shared = rows.join(counts, F.col("key") == F.col("c_key")).groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    shared = rows.hint("merge").join(counts, F.col("key") == F.col("c_key")).groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     first = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1 - alone, F.lit(0)).cast("int")))
     placed = shared.select("sid", "n", alone.alias("alone"), first.alias("k", "s")).select(F.col("s.key").alias("key"), (F.col("alone") + F.col("k")).alias("at"), "sid", "n")
