@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,26 @@ def _segment(code: Column, k: int, width: int) -> Column:
     return F.call_function("shiftrightunsigned", code, F.lit(k * width)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def segments_for(codes: int) -> int:
-    """Segments of about log2(codes) bits: 64 / 2^j, so that a segment's value has a few codes."""
-    for m in (16, 8, 4):
-        if codes <= 1 << (BITS // m + 2):
-            return m
-    return 2
+def expected_cost(codes: int, segments: int, k: int = TOP) -> float:
+    """Probes of a query, and codes that they meet, in ``segments`` segments, for ``codes`` codes that are spread evenly.
+
+    The k-th code is then about at the distance within which k of them lie, and rounds go on until that is covered: round r
+    has C(width, r) probes a segment, and a value of a segment has its share of the codes. Codes that lie closer need fewer
+    rounds, whatever the segments.
+    """
+    width, near, within = BITS // segments, 0, 0
+    while near < BITS:
+        within += math.comb(BITS, near)
+        if codes * within >= k << BITS:
+            break
+        near += 1
+    rounds = min(near // segments, width)
+    return segments * sum(math.comb(width, r) for r in range(rounds + 1)) * (1 + codes / (1 << width))
+
+
+def segments_for(codes: int, k: int = TOP) -> int:
+    """The number of segments with the least expected cost."""
+    return min((16, 8, 4, 2), key=lambda m: (expected_cost(codes, m, k), m))
 
 
 def flip_masks(spark: SparkSession, width: int, flips: int) -> DataFrame:
@@ -61,7 +77,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     per_code = Window.partitionBy("code").orderBy(F.col("id").asc_nulls_last())
     few = known.withColumn("n", F.row_number().over(per_code)).where(F.col("n") <= k)
     index = as_table(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))).alias("ids")), "codes")
-    m = segments or segments_for(index.count())
+    m = segments or segments_for(index.count(), k)
     width = BITS // m
     # segment and value in one long: joins by one long are the leanest that Spark has
     joint = lambda segment, value: F.call_function("shiftleft", segment.cast("long"), F.lit(width)).bitwiseOR(value) if m > 2 else value * 2 + segment

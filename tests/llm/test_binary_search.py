@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from draftloom.llm import binary_search
@@ -42,5 +44,23 @@ def test_sign_code(spark):
     assert got == [-1, 0, 0b10001, None, 0]
 
 
-def test_segments_follow_the_number_of_codes():
-    assert [binary_search.segments_for(n) for n in (0, 60, 500, 200_000, 10**7)] == [16, 16, 8, 4, 2]
+def test_segments_follow_the_expected_cost():
+    assert [binary_search.segments_for(n) for n in (1, 500, 200_000, 1 << 18, (1 << 18) + 1, 10**7, 10**10)] == [16, 8, 4, 4, 4, 4, 2]
+    for n in (10**5, (1 << 18) + 1, 10**6, 10**7, 10**9):
+        assert binary_search.expected_cost(n, binary_search.segments_for(n)) < n / 2
+        more, fewer = (binary_search.expected_cost(int(n * f), binary_search.segments_for(int(n * f))) for f in (1.1, 0.9))
+        assert more < 3 * fewer  # no number of codes at which the work jumps
+
+
+def test_more_codes_than_two_to_the_eighteen(spark):
+    """Random codes, the worst there are: as brute force, and fewer probes than codes."""
+    rnd = np.random.default_rng(1)
+    codes = rnd.integers(-(1 << 63), (1 << 63) - 1, (1 << 18) + 5_000)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(codes)), "code": codes}))
+    got = {}
+    for r in binary_search.search(df, df.where("id < 5"), 10).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.id))
+    for q in range(5):
+        distance = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int)
+        order = np.lexsort((np.arange(len(codes)), distance))[:10]
+        assert sorted(got[q]) == [(distance[k], k) for k in order]
