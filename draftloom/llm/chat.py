@@ -87,7 +87,9 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
     settled = fresh = as_table(free, "chat-levels")
     while not waiting.isEmpty():
         known = fresh.select(F.col("head").alias("up"), F.col("level").alias("up_level"))
+        before = waiting
         waiting = as_table(waiting.join(known, "up", "left").select("call_id", "up", "dist", F.coalesce("level", F.col("up_level") + F.col("dist")).alias("level")), "chat-open")
+        drop_table(before)
         ready = waiting.groupBy("call_id").agg(F.max("level").alias("deep"), F.count_if(F.col("level").isNull()).alias("missing")).where("missing = 0")
         fresh = as_table(ready.select(F.col("call_id").alias("head"), (F.col("deep") + 1).alias("level")), "chat-levels")
         if fresh.isEmpty():
@@ -100,9 +102,13 @@ def levels(calls: DataFrame, depends: DataFrame) -> DataFrame:
 
 
 def _join_known(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Left join on call_id; rows without one do not enter the join, where they would all meet in one task."""
+    """Left hash join on call_id; rows without one do not enter it, where they would all meet in one task.
+
+    ``other`` has one row a call_id, so the hash table of a partition has a bound however often an id is asked for, and Spark
+    splits partitions of the asking side that are too large.
+    """
     without = rows.where("call_id is null").select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in other.dtypes])
-    return rows.where("call_id is not null").join(other, F.col("call_id") == F.col(key), "left").unionByName(without)
+    return rows.where("call_id is not null").join(other.hint("shuffle_hash"), F.col("call_id") == F.col(key), "left").unionByName(without)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Schema], depends: DataFrame | None = None) -> DataFrame:

@@ -83,3 +83,10 @@ def test_conversations(spark):
 def test_empty(spark):
     calls, results, depends = chat.conversation_calls(frame(spark, [], "conv_id long, turn long, role string, text string"))
     assert chat.link_calls(calls, results, chat.QUERY_SCHEMAS, depends).count() == 0
+
+
+def test_results_meet_calls_in_hash_joins(spark):
+    calls = frame(spark, [(1, 0, "c1", "say", '{"text": "x"}', 9)], CALLS)
+    results = frame(spark, [(1, 1, "c1", "y", "x")], RESULTS)
+    plan = chat.link_calls(calls, results, SCHEMAS)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
