@@ -68,28 +68,29 @@ class Codec:
         self.byte_of[[ord(c) for c in chars]] = np.arange(256)
         self.decimal = [str(k) for k in range(size)]
         self.whole = list(range(size))  # one object for each id, whatever remembers it
-        self.path, self.pattern, self.ranks, self._exact = path, pattern, ranks, None
+        self.stand_in = Classes(pattern).stand_in
+        self.spans = regex.compile(pattern).finditer
 
-    def exact(self):
-        """The rank files' own library, loaded where a text needs it."""
-        if self._exact is None:
-            import tiktoken
-
-            self._exact = tiktoken.Encoding(self.path, pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
-        return self._exact
+    def pieces_of(self, text: str) -> list[str]:
+        """The matches of the pattern. Where a character's class has changed since Unicode 3.2, and so may differ between libraries,
+        a character that has the class it has for the rank files' library stands in for it while the text is split."""
+        changed = late_characters(text)
+        if not changed:
+            return self.split(text)
+        return [text[m.start() : m.end()] for m in self.spans(text.translate({ord(c): self.stand_in(c) for c in changed}))]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text. The pieces of all texts meet the library once; those met before are remembered."""
-        pieces = [self.split(t) if is_settled(t) else None for t in texts]
-        new = set(chain.from_iterable(p for p in pieces if p)).difference(self.pieces)
+        pieces = [self.pieces_of(t) for t in texts]
+        new = set(chain.from_iterable(pieces)).difference(self.pieces)
         if len(self.pieces) + len(new) > CACHED_PIECES:
             self.pieces = {}
-            new = set(chain.from_iterable(p for p in pieces if p))
+            new = set(chain.from_iterable(pieces))
         ordered = list(new)
         for piece, found in zip(ordered, self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False), strict=True):
             self.pieces[piece] = tuple(map(self.whole.__getitem__, found.ids))
         of = self.pieces.__getitem__
-        return [self.exact().encode_ordinary(t) if p is None else list(chain.from_iterable(map(of, p))) for p, t in zip(pieces, texts, strict=True)]
+        return [list(chain.from_iterable(map(of, p))) for p in pieces]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The characters that the tokens are spelled in, put back to bytes. Unknown ids raise IndexError; ids that end inside
@@ -130,10 +131,38 @@ def _char_settled(c: str) -> bool:
     return was != "Cn" and was == unicodedata.category(c)
 
 
-def is_settled(text: str) -> bool:
-    """Whether the classes of all its characters have been the same since Unicode 3.2, so that every regular expression
-    library splits the text alike. Other texts (new scripts, emoji) are split and encoded by the rank files' own library."""
-    return not _LATE.search(text) or all(_char_settled(c) for c in set(text) if c > "\u052f")
+def late_characters(text: str) -> set[str]:
+    """Characters whose class has changed since Unicode 3.2: new scripts, emoji."""
+    return {c for c in set(text) if c > "\u052f" and not _char_settled(c)} if _LATE.search(text) else set()
+
+
+class Classes:
+    """The classes that a pattern names, as the rank files' library sees them, asked one character at a time."""
+
+    def __init__(self, pattern: str):
+        self.names = sorted(set(regex.findall(r"\\[pP]\{\^?\w+\}|\\s", pattern)))
+        self._stand_ins: dict[tuple[bool, ...], str] | None = None
+        self._known: dict[str, str] = {}
+
+    def _build(self) -> None:
+        import tiktoken
+
+        # with a pattern of one class, a character has ids if it is of that class
+        one_byte = {bytes([b]): b for b in range(256)}
+        self._ask = [tiktoken.Encoding(name, pat_str=name, mergeable_ranks=one_byte, special_tokens={}) for name in self.names]
+        own = [regex.compile(name) for name in self.names]
+        self._stand_ins = {}
+        for c in map(chr, range(0x80, 0x3100)):
+            if _char_settled(c):
+                self._stand_ins.setdefault(tuple(o.match(c) is not None for o in own), c)
+
+    def stand_in(self, c: str) -> str:
+        """A character of the same classes for which libraries agree. A pattern with a class that none has is an error."""
+        if c not in self._known:
+            if self._stand_ins is None:
+                self._build()
+            self._known[c] = self._stand_ins[tuple(bool(a.encode_ordinary(c)) for a in self._ask)]
+        return self._known[c]
 
 
 @lru_cache(4)

@@ -29,6 +29,16 @@ def test_same_as_the_rank_library(text):
     assert len(offsets) == len(ids) and own.split_tokens(ids, text.encode()) == sum(b > c for (_, b), (c, _) in zip(offsets, offsets[1:]))
 
 
+def test_every_late_character_is_split_alike():
+    """All characters whose class changed, between letters, digits, blanks and marks, through the tokenizers library alone."""
+    own = bpe.Codec(PATH, P.PATTERN)
+    late = [c for c in map(chr, [*range(0x530, 0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE0200)]) if not bpe._char_settled(c)]
+    assert len(late) > 50_000
+    for start in range(0, len(late), 2_000):
+        text = "".join(f"a{c} {c}{c}1{c}.{c}'s " for c in late[start : start + 2_000])
+        assert own.encode([text])[0] == EXACT.encode_ordinary(text)
+
+
 def test_offsets_inside_split_characters():
     own = bpe.codec(PATH, P.PATTERN)
     text = "ab 😀 é"
