@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 MTIME_TOLERANCE, STALE_AFTER = "INTERVAL 1 SECOND", "INTERVAL 30 MINUTES"
@@ -155,3 +155,26 @@ def complete(jobs: DataFrame, files: DataFrame, drawings: DataFrame, results: Da
     pages = paged.groupBy("path", "page_no").agg(F.max_by("d", "place").alias("d")).select("path", "page_no", *[F.col(f"d.{c}") for c in rest])
     kept = drawings.join(latest.select("done_path"), F.col("path") == F.col("done_path"), "left_anti")
     return new_jobs, new_files, kept.unionByName(pages)
+
+
+def changed_in_runs(changes: DataFrame, runs: DataFrame, longest: int = 1800) -> DataFrame:
+    """Changes (path, at) that fall into a run (path, started, ended) of the same file, with both rows' columns: what the run saw is
+    already old, so the file has to be queued again. From the start on, up to before the end.
+
+    Both sides meet in cells of ``longest`` seconds, a run in each one that it touches, so a file of very many changes and runs is
+    many small groups; a run no longer than that touches two.
+    """
+    cell = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (longest * 1_000_000))
+    during = runs.withColumnRenamed("path", "run_path").withColumn("cell", F.explode(F.sequence(cell(F.col("started")), cell(F.col("ended")))))
+    at = changes.withColumn("at_cell", cell(F.col("at")))
+    met = at.join(during, (F.col("path") == F.col("run_path")) & (F.col("at_cell") == F.col("cell")) & (F.col("at") >= F.col("started")) & (F.col("at") < F.col("ended")))
+    return met.drop("run_path", "cell", "at_cell")
+
+
+def written_with_totals(rows: DataFrame, path: str, /, **totals: Column) -> DataFrame:
+    """Write ``rows`` as Parquet and return one row of totals that were counted as they were written: no second pass over them."""
+    seen = Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in totals.items()]).write.mode("overwrite").parquet(path)
+    found = seen.get
+    kinds = rows.limit(0).agg(*[c.alias(n) for n, c in totals.items()]).schema
+    return rows.sparkSession.createDataFrame([tuple(found[n] for n in totals)], kinds)

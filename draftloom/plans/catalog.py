@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse, desk, extra, extraction, geometry, ingest, relations, reports, search, text  # noqa: F401
+from . import browse, crawl, desk, extra, extraction, geometry, ingest, relations, reports, search, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "queries", "oracle_sql"]
