@@ -12,9 +12,9 @@ from .graph import chain
 TARGET_CHARS = 1000
 
 
-def audit(rows: DataFrame, action: str, at: Column) -> DataFrame:
-    """What is appended to the audit log for rows of user and target."""
-    return rows.select("user", F.lit(action).alias("action"), F.substring("target", 1, TARGET_CHARS).alias("target"), at.alias("at"))
+def audit(rows: DataFrame, action: str | Column, at: Column) -> DataFrame:
+    """What is appended to the audit log for rows of user and target; ``action``: one for all, or a column."""
+    return rows.select("user", (action if isinstance(action, Column) else F.lit(action)).alias("action"), F.substring("target", 1, TARGET_CHARS).alias("target"), at.alias("at"))
 
 
 def set_group(members: DataFrame, user: int, group: str) -> DataFrame:

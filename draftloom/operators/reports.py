@@ -78,6 +78,13 @@ def worst(rows: DataFrame, key: str, bad: Column, no_name: Column, n: int) -> Da
     return per.where(F.col("n_rows") >= WORST_ROWS).orderBy(F.desc("bad_ratio"), F.desc("no_name_ratio"), F.desc("n_rows"), F.desc(key)).limit(n)
 
 
+def worst_missing(rows: DataFrame, key: str, filled: Column, n: int) -> DataFrame:
+    """Keys with at least WORST_ROWS rows, by how many rows are not filled, their share, rows and key, all descending."""
+    per = rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.count_if(~F.coalesce(filled, F.lit(False))).alias("n_missing"))
+    share = 1 - (F.col("n_rows") - F.col("n_missing")) / F.col("n_rows")
+    return per.where(F.col("n_rows") >= WORST_ROWS).withColumn("missing_ratio", share).orderBy(F.desc("n_missing"), F.desc("missing_ratio"), F.desc("n_rows"), F.desc(key)).limit(n)
+
+
 def failure_summary(failed: DataFrame, error: Column, at: Column, top: int = 8) -> DataFrame:
     """Failures by the first line of the error, cut to 80 characters; the most frequent first, ties by text."""
     line = F.when(F.coalesce(error, F.lit("")) == "", "(none)").otherwise(F.substring(F.split_part(error, F.lit("\n"), F.lit(1)), 1, 80))
@@ -111,6 +118,16 @@ def drilldown(df: DataFrame, kind: str, reason: Column, example: str, k: int) ->
     return joined.select(kind, "total", "reason", "n", "examples")
 
 
+def kind_folders(df: DataFrame, kind: str, path: Column, depth: int = 3, top: int = 15) -> DataFrame:
+    """(kind, folder, n): the folders of each kind with most files, ties by name, files counted at most ``depth`` levels deep; blank for
+    files that lie in no folder."""
+    parts = F.split(path, "/")
+    folder = F.array_join(F.slice(parts, F.lit(1), F.least(F.lit(depth), F.size(parts) - 1)), "/")
+    counts = df.groupBy(kind, folder.alias("folder")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(kind).orderBy(F.desc("n"), "folder"))
+    return counts.withColumn("place", place).where(F.col("place") <= top).drop("place")
+
+
 def extension_histogram(df: DataFrame, folder: Column, kind: Column, kinds: list[str], size: Column | None = None) -> DataFrame:
     """Counts per folder, a column for each kind, and with sizes their sums."""
     sums = [] if size is None else [*[F.sum(F.when(kind == k, size).otherwise(0)).alias(f"bytes_{k}") for k in kinds], F.sum(size).alias("bytes_all")]

@@ -30,16 +30,20 @@ def local_time_format(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT l_orderkey AS g, l_linenumber AS k, count(*) OVER (PARTITION BY l_orderkey) AS n, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) AS m, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS top,
-  min(l_linenumber) OVER (PARTITION BY l_orderkey) AS low FROM lineitem)
-SELECT g, CAST(10 AS DOUBLE) AS x0, CAST(40 AS DOUBLE) AS x1, CAST(3 AS DOUBLE) AS h, CAST(k * 8.0 AS DOUBLE) AS y FROM r WHERE n = m AND top - low = n - 1 AND n >= 3
+WITH r AS (SELECT l_orderkey AS g, l_linenumber * 8.0 + CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 2 THEN 3.5 ELSE 0 END AS y FROM lineitem),
+a AS (SELECT *, y - lag(y) OVER (PARTITION BY g ORDER BY y) AS gap, min(y) OVER (PARTITION BY g) AS first FROM r),
+p AS (SELECT *, median(CASE WHEN gap > 1.5 THEN gap END) OVER (PARTITION BY g) AS pitch FROM a),
+k AS (SELECT *, round((y - first) / pitch) AS k FROM p),
+f AS (SELECT g, regr_slope(y, k) AS slope, regr_intercept(y, k) AS zero, count(*) AS n, count(DISTINCT k) AS m FROM k GROUP BY g),
+e AS (SELECT k.*, f.slope, f.zero, f.n, coalesce(n >= 3 AND m = n AND slope BETWEEN 0.9 * pitch AND 1.1 * pitch, false) AS even FROM k JOIN f USING (g))
+SELECT g, CAST(10 AS DOUBLE) AS x0, CAST(40 AS DOUBLE) AS x1, CAST(round(CASE WHEN n >= 3 THEN least(3.0, coalesce(CASE WHEN even THEN slope ELSE pitch END, 9) / 1.8) ELSE 3.0 END, 6) AS DOUBLE) AS h,
+  CAST(round(CASE WHEN even THEN zero + slope * k ELSE y END, 6) AS DOUBLE) AS y FROM e
 """)
 def quantity_regions(spark, sf_dir):
-    """Orders with consecutive line numbers as tables with even rows."""
+    """All orders as tables: lines as rows, evenly spaced or not, with gaps and rows at one height."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"))
-    even = lines.groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("k").alias("m"), F.max("k").alias("top"), F.min("k").alias("low")).where("n = m and top - low = n - 1 and n >= 3").select("g")
-    rows = lines.join(even, "g").select("g", (F.col("k") * 8.0).cast("double").alias("y"), F.lit(3.0).alias("h"))
-    spans = even.select("g", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for c, a, b in (("qty", 10.0, 20.0), ("qty2", 20.0, 40.0), ("name", 0.0, 10.0))])).alias("s")).select("g", "s.*")
+    rows = lines.select("g", (F.col("k") * 8.0 + F.when((F.col("g") % 3 == 0) & (F.col("k") == 2), 3.5).otherwise(0.0)).alias("y"), F.lit(3.0).alias("h"))
+    spans = lines.select("g").distinct().select("g", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for c, a, b in (("qty", 10.0, 20.0), ("qty2", 20.0, 40.0), ("name", 0.0, 10.0))])).alias("s")).select("g", "s.*")
     found = geometry.quantity_regions(rows, ["g"], spans)
     return found.withColumns({"h": F.round("h", 6), "y": F.round("y", 6)})
 
@@ -65,10 +69,28 @@ def ocr_reading_order(spark, sf_dir):
     return placed.select("g", "id", "place")
 
 
-@query("SELECT t, s::DOUBLE AS s FROM (VALUES ('図番双は&番', 0.6), ('名', 0.0), ('図番又は品番', 1.0), ('ik/赴格', 0.0), ('又は', 0.0), ('', 0.0)) AS v(t, s)")
+@query("""
+WITH p AS (SELECT p_partkey, substr('図番双は&番赴格又品', CAST(1 + p_partkey % 10 AS INTEGER), CAST(p_size % 7 AS INTEGER)) || substr('図番又は品番', CAST(1 + p_partkey % 6 AS INTEGER), CAST(p_partkey % 4 AS INTEGER)) AS t FROM part),
+c AS (SELECT *, len(list_distinct(list_filter(string_split(t, ''), lambda x: x IN ('図', '番', '又', 'は', '品')))) AS n FROM p)
+SELECT p_partkey, t, CAST(CASE WHEN n >= 2 AND n / 5 >= 0.5 THEN n / 5 ELSE 0 END AS DOUBLE) AS s FROM c
+""")
 def header_likeness(spark, sf_dir):
-    rows = [(t,) for t in ("図番双は&番", "名", "図番又は品番", "ik/赴格", "又は", "")]
-    return spark.createDataFrame(rows, "t string").select("t", F.round(fn.header_likeness(F.col("t"), "図番又は品番"), 4).alias("s"))
+    """Part names as header words read by OCR, with letters of the real one in part."""
+    k = F.col("p_partkey")
+    read = lambda text, at, n: F.substr(F.lit(text), (1 + at).cast("int"), n.cast("int"))
+    words = table(spark, sf_dir, "part").select("p_partkey", F.concat(read("図番双は&番赴格又品", k % 10, F.col("p_size") % 7), read("図番又は品番", k % 6, k % 4)).alias("t"))
+    return words.select("p_partkey", "t", F.round(fn.header_likeness(F.col("t"), "図番又は品番"), 4).alias("s"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'a b/' || o_orderkey END AS q, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE NULL END AS v FROM orders
+""")
+def query_values(spark, sf_dir):
+    """Links of orders, built and read again."""
+    k = F.col("o_orderkey")
+    link = fn.query_string(q=F.when(k % 3 == 0, F.concat(F.lit("a b/"), k.cast("string"))), v=F.when(k % 2 == 0, F.col("o_orderpriority")))
+    values = fn.query_values(link)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.try_element_at(values, F.lit("q")).alias("q"), F.try_element_at(values, F.lit("v")).alias("v"))
 
 
 @query("""

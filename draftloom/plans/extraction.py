@@ -117,13 +117,13 @@ def field_precedence(spark, sf_dir):
 
 
 @query("""
-SELECT CAST(g AS BIGINT) AS g, f.field, CASE f.field WHEN 'title' THEN 'HOUSE ' || g WHEN 'drawing_no' THEN 'HB' || lpad(CAST(g AS VARCHAR), 6, '0') WHEN 'scale' THEN '1/30' ELSE '2022.10.03' END AS value
-FROM range(50) AS r(g) CROSS JOIN (VALUES ('title'), ('drawing_no'), ('scale'), ('drawn_date')) AS f(field)
+SELECT p_partkey AS g, f.field, CASE f.field WHEN 'title' THEN 'HOUSE ' || p_partkey WHEN 'drawing_no' THEN 'HB' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 'scale' THEN '1/30' ELSE '2022.10.03' END AS value
+FROM part CROSS JOIN (VALUES ('title'), ('drawing_no'), ('scale'), ('drawn_date')) AS f(field)
 """)
 def title_block_labels(spark, sf_dir):
-    """Labels with values right of and below them, inline, and a part table's header that is none."""
+    """Parts as drawings: labels with values right of and below them, inline, and a part table's header that is none."""
     rows = [("NAME", 0.0, 20.0), ("HOUSE {g}", 4.0, 17.0), ("DRAWING NO", 40.0, 20.0), ("HB{p}", 60.0, 20.0), ("SCALE：1/30", 0.0, 5.0), ("年月日 2022. 10. 03", 40.0, 5.0), ("品番", 0.0, 60.0), ("名称", 10.0, 60.0), ("数量", 20.0, 60.0), ("WRONG", 12.0, 57.0)]
-    g = spark.range(50).select(F.col("id").alias("g"))
+    g = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("g"))
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("id"), F.lit(t).alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(2.0).alias("h")) for n, (t, x, y) in enumerate(rows)]))
     items = g.select("g", cells.alias("i")).select("g", "i.*").withColumn("text", F.replace(F.replace("text", F.lit("{g}"), F.col("g").cast("string")), F.lit("{p}"), F.lpad(F.col("g").cast("string"), 6, "0")))
     return titleblock.from_labels(items, "g")

@@ -183,30 +183,32 @@ _EDGES = [0.0, 20.0, 138.0, 188.0, 208.0, 248.0, 268.0, 298.0]
 
 
 @query("""
-WITH g AS (SELECT CAST(k AS BIGINT) AS g FROM range(200) AS r(k)), e(edge) AS (VALUES (0.0), (20.0), (138.0), (188.0), (208.0), (248.0), (268.0), (298.0))
-SELECT g, CAST(g * 3 AS DOUBLE) AS shift, CAST(1.0 AS DOUBLE) AS scale, CAST(8 AS BIGINT) AS hits FROM g WHERE g % 5 <> 0
+SELECT c_custkey AS g, CAST(c_custkey % 500 * 3 AS DOUBLE) AS shift, CAST(1.0 AS DOUBLE) AS scale, CAST(8 AS BIGINT) AS hits FROM customer WHERE c_custkey % 5 <> 0
 """)
 def template_fit(spark, sf_dir):
-    """Made-up drawings with the lines of a form among others; every fifth lacks one line and so does not fit."""
-    g = spark.range(200).select(F.col("id").alias("g"))
+    """Customers as drawings with the lines of a form among others; every fifth lacks one line and so does not fit."""
+    g = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("g"))
     edge = F.explode(F.array(*map(F.lit, _EDGES)))
-    form = g.select("g", edge.alias("edge")).where("g % 5 <> 0 OR edge <> 248.0").select("g", (F.col("edge") + F.col("g") * 3).alias("x"))
-    noise = g.select("g", F.explode(F.array(F.lit(1000.0), F.lit(1300.0), F.lit(1501.0))).alias("x"))
+    form = g.select("g", edge.alias("edge")).where("g % 5 <> 0 OR edge <> 248.0").select("g", (F.col("edge") + F.col("g") % 500 * 3).alias("x"))
+    noise = g.select("g", F.explode(F.array(F.lit(11000.0), F.lit(11300.0), F.lit(11501.0))).alias("x"))
     return op.template_fits(form.unionByName(noise), ["g"], _EDGES, (1, 2), tolerance=0.5)
 
 
 @query("""
-WITH r(id, w, h, scale) AS (VALUES (1, 400.0, 277.0, NULL), (2, 594.0, 420.0, 30.0), (3, 277.0, 400.0, NULL), (4, 12000.0, 8310.0, 30.0), (5, 50.0, 40.0, 10.0), (1, 280.0, 200.0, NULL)),
+WITH r AS (SELECT o_custkey AS id, CAST(200 + 25 * (o_orderkey % 30) AS DOUBLE) * f AS w, CAST(150 + 20 * (o_orderkey % 35) AS DOUBLE) * f AS h, CASE WHEN f > 1 THEN f END AS scale
+  FROM (SELECT *, CAST(CASE WHEN o_custkey % 4 = 0 THEN 30 ELSE 1 END AS DOUBLE) AS f FROM orders)),
 p(paper, a, b) AS (VALUES ('A4', 297.0, 210.0), ('A3', 420.0, 297.0), ('A2', 594.0, 420.0), ('A1', 841.0, 594.0), ('A0', 1189.0, 841.0)),
 o AS (SELECT paper, a AS pw, b AS ph, false AS portrait FROM p UNION ALL SELECT paper, b, a, true FROM p),
-f AS (SELECT *, 1.0 AS factor FROM r UNION SELECT *, coalesce(scale, 1.0) FROM r),
-m AS (SELECT id, paper, portrait, CAST(factor AS DOUBLE) AS factor, row_number() OVER (PARTITION BY id ORDER BY factor = 1 DESC, w * h / factor / factor DESC, paper DESC) AS n FROM f JOIN o
-  ON w / factor BETWEEN pw * 0.87 AND pw * 1.01 AND h / factor BETWEEN ph * 0.87 AND ph * 1.01)
+f AS (SELECT *, CAST(1.0 AS DOUBLE) AS factor FROM r UNION SELECT *, coalesce(scale, 1.0) FROM r),
+m AS (SELECT id, paper, portrait, factor, row_number() OVER (PARTITION BY id ORDER BY factor = 1 DESC, (w / factor) * (h / factor) DESC, paper DESC, portrait DESC) AS n FROM f JOIN o
+  ON w / factor BETWEEN pw * (1 - 0.13) AND pw * (1 + 0.01) AND h / factor BETWEEN ph * (1 - 0.13) AND ph * (1 + 0.01))
 SELECT id, paper, portrait, factor FROM m WHERE n = 1
 """)
 def paper_fit(spark, sf_dir):
-    rows = [(1, 400.0, 277.0, None), (2, 594.0, 420.0, 30.0), (3, 277.0, 400.0, None), (4, 12000.0, 8310.0, 30.0), (5, 50.0, 40.0, 10.0), (1, 280.0, 200.0, None)]
-    return op.paper_fit(spark.createDataFrame(rows, "id int, w double, h double, scale double"), "id", F.col("scale"))
+    """Orders as frames of their customer's drawing; those of every fourth are drawn at thirty times their size."""
+    times, k = F.when(F.col("o_custkey") % 4 == 0, 30.0).otherwise(1.0), F.col("o_orderkey")
+    rects = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), ((200 + 25 * (k % 30)).cast("double") * times).alias("w"), ((150 + 20 * (k % 35)).cast("double") * times).alias("h"), F.when(times > 1, times).alias("scale"))
+    return op.paper_fit(rects, "id", F.col("scale"))
 
 
 @query("""

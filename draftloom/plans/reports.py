@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import access
 from ..operators import reports as op
 from .registry import query, table
 
@@ -144,10 +145,33 @@ def first3_pages_concat(spark, sf_dir):
 
 
 @query("""
-SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users, max(ts) AS latest FROM events GROUP BY 1
+SELECT event_type AS action, count(*) AS n, count(DISTINCT user_id) AS n_users, count(DISTINCT substr(props, 1, 1000)) AS n_targets, max(ts) AS latest FROM events GROUP BY 1
 """)
 def audit_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), F.max("ts").alias("latest"))
+    """Entries of the audit log by action."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("props").alias("target"), "event_type", "ts")
+    log = access.audit(events, F.col("event_type"), F.col("ts"))
+    return log.groupBy("action").agg(F.count("*").alias("n"), F.count_distinct("user").alias("n_users"), F.count_distinct("target").alias("n_targets"), F.max("at").alias("latest"))
+
+
+@query("""
+SELECT l_orderkey, count(*) AS n_rows, count_if(l_quantity <= 10) AS n_missing, 1 - (count(*) - count_if(l_quantity <= 10)) / count(*) AS missing_ratio FROM lineitem
+GROUP BY 1 HAVING count(*) >= 3 ORDER BY 3 DESC, 4 DESC, 2 DESC, 1 DESC LIMIT 50
+""".replace("count_if(l_quantity <= 10) AS n_missing", "CAST(count_if(l_quantity <= 10) AS BIGINT) AS n_missing"))
+def worst_missing(spark, sf_dir):
+    """Orders with most lines without a quantity, as which small ones count."""
+    return op.worst_missing(table(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_quantity") > 10, 50)
+
+
+@query("""
+WITH p AS (SELECT page_id % 4 AS kind, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/') AS parts FROM pages),
+c AS (SELECT kind, array_to_string(parts[1:least(2, len(parts) - 1)], '/') AS folder, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT kind, folder, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, folder) AS place FROM c) WHERE place <= 15
+""")
+def type_folders(spark, sf_dir):
+    """The folders with most pages of each kind, two levels deep."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return op.kind_folders(table(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("kind"), "url"), "kind", path, 2)
 
 
 @query("""

@@ -39,10 +39,20 @@ def search_and_or_synonym(spark, sf_dir):
     return hits.join(seen, "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("toxic") == 1).alias("n_toxic"))
 
 
-@query(f"WITH asked(word) AS (VALUES ('der'), ('insult'), ('neuter'), ('unknown')), {_EXPAND_SQL} SELECT word, term FROM terms")
+@query("""
+WITH asked AS (SELECT DISTINCT lower(p_brand) AS word FROM part WHERE p_size > 25 UNION SELECT lower(c_mktsegment) FROM customer),
+known AS (SELECT DISTINCT lower(p_brand) AS term, lower(p_type) AS canonical FROM part WHERE p_size % 5 > 0),
+names AS (SELECT term AS name, canonical FROM known UNION SELECT canonical, canonical FROM known),
+canon AS (SELECT DISTINCT word, canonical FROM asked JOIN names ON name = word),
+members AS (SELECT canonical, term FROM known UNION SELECT canonical, canonical FROM known)
+SELECT word, term FROM canon JOIN members USING (canonical) UNION SELECT word, word FROM asked
+""")
 def synonym_expand(spark, sf_dir):
-    asked = spark.createDataFrame([("DER",), ("insult",), ("neuter",), ("unknown",), ("",)], "word string")
-    return op.expand_terms(asked, _dictionary(spark))
+    """Brands and market segments as words; brands are terms of the types they come in, approved by most parts."""
+    part = table(spark, sf_dir, "part")
+    dictionary = part.select(F.col("p_brand").alias("term"), F.col("p_type").alias("canonical"), (F.col("p_size") % 5 > 0).alias("approved"))
+    asked = part.where("p_size > 25").select(F.col("p_brand").alias("word")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("word")))
+    return op.expand_terms(asked, dictionary)
 
 
 @query("SELECT page_id, url FROM pages WHERE starts_with(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/en/')")
@@ -52,15 +62,16 @@ def path_prefix_filter(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE n_name = (SELECT min(n_name) FROM nation WHERE n_regionkey = 1)
+WITH p AS (SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s(selector) AS (VALUES (''), ('ASIA'), ('EUROPE/NATION_3'), ('ASIA/NATION_3'), ('NOWHERE'))
+SELECT selector, n_name, count(*) AS n FROM p, s WHERE selector = '' OR r_name = selector OR (contains(selector, '/') AND n_name = split_part(selector, '/', 2)) GROUP BY 1, 2
 """)
 def two_level_selector(spark, sf_dir):
+    """Customers by region and nation, as several selectors choose them; a second level counts alone."""
     customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    first = nation.where("n_regionkey = 1").join(region, F.col("n_regionkey") == F.col("r_regionkey")).agg(F.min(F.struct("n_name", "r_name")).alias("s"))
-    chosen = first.select(F.concat_ws("/", "s.r_name", "s.n_name").alias("selector"))
-    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return placed.join(chosen, F.concat_ws("/", "r_name", "n_name") == F.col("selector")).select("c_custkey", "c_name", "n_name")
+    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name", "n_name").agg(F.count("*").alias("n"))
+    chosen = [F.when(op.two_level(F.col("r_name"), F.col("n_name"), s), F.lit(s)) for s in ("", "ASIA", "EUROPE/NATION_3", "ASIA/NATION_3", "NOWHERE")]
+    return placed.select(F.explode(F.array_compact(F.array(*chosen))).alias("selector"), "n_name", "n").groupBy("selector", "n_name").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY event_type")

@@ -93,9 +93,14 @@ def filename_rules(spark, sf_dir):
     return rows.select("p_partkey", "f.*")
 
 
-@query("SELECT s, CASE s WHEN '1/30' THEN 30.0 WHEN 'S=1:25' THEN 25.0 WHEN '１／１０' THEN 10.0 WHEN '2/1' THEN 0.5 END::DOUBLE AS d FROM (VALUES ('1/30'), ('S=1:25'), ('１／１０'), ('NTS'), ('2/1'), ('')) AS v(s)")
+@query("""
+WITH o AS (SELECT o_orderkey, 1 + o_custkey % 50 AS n FROM orders)
+SELECT o_orderkey, CAST(CASE o_orderkey % 6 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 4 THEN 1 / n END AS DOUBLE) AS d FROM o
+""")
 def scale_denominator(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in ("1/30", "S=1:25", "１／１０", "NTS", "2/1", "")], "s string").select("s", fn.scale_denominator(fn.nfkc(F.col("s"))).alias("d"))
+    k, n = F.col("o_orderkey") % 6, (1 + F.col("o_custkey") % 50).cast("string")
+    said = F.when(k == 0, F.concat(F.lit("1/"), n)).when(k == 1, F.concat(F.lit("S=1:"), n)).when(k == 2, F.concat(F.lit("１／"), n)).when(k == 3, "NTS").when(k == 4, F.concat(n, F.lit("/1"))).otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fn.scale_denominator(fn.nfkc(said)).alias("d"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) END AS value FROM orders")
@@ -113,13 +118,17 @@ def _hit_sql(words):
     return f"list_filter({words!r}, lambda w: contains(body, w))"
 
 
+def _words_sql(words):
+    return f"list_filter({_hit_sql(words)}, lambda w: NOT list_bool_or(list_transform({_hit_sql(words)}, lambda o: o <> w AND contains(o, w))))"
+
+
 def _kept_sql(words):
-    return f"len(list_filter({_hit_sql(words)}, lambda w: NOT list_bool_or(list_transform({_hit_sql(words)}, lambda o: o <> w AND contains(o, w)))))"
+    return f"len({_words_sql(words)})"
 
 
 @query(f"""
 WITH d AS (SELECT doc_id, source, lang, substr(lower(text), 1, 6000) AS body, n_chars FROM documents),
-h AS (SELECT *, {", ".join(f"{_kept_sql(w)} AS c{n}" for n, w in enumerate(_KINDS.values()))}, {_kept_sql(_TITLE)} AS titled FROM d),
+h AS (SELECT *, {", ".join(f"{_kept_sql(w)} AS c{n}, {_words_sql(w)} AS w{n}" for n, w in enumerate(_KINDS.values()))}, {_kept_sql(_TITLE)} AS titled FROM d),
 t AS (SELECT *, greatest(c0, c1, c2, c3) AS top, CASE greatest(c0, c1, c2, c3) WHEN c0 THEN 'contract' WHEN c1 THEN 'application' WHEN c2 THEN 'site' ELSE 'general' END AS best FROM h)
 SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'contract' WHEN source = 'src3' THEN 'site' WHEN doc_id % 49 = 0 THEN 'drawing'
     WHEN lang = 'es' AND n_chars > 1000 THEN CASE WHEN top > 0 THEN best ELSE 'other' END
@@ -128,7 +137,10 @@ SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'contract' WHEN source = 'src3' TH
   CASE WHEN doc_id % 50 = 0 THEN 'file name: contract' WHEN source = 'src3' THEN 'folder: site' WHEN doc_id % 49 = 0 THEN 'file name: drawing'
     WHEN lang = 'es' AND n_chars > 1000 THEN CASE WHEN top > 0 THEN 'several pages: body' ELSE 'several pages' END
     WHEN source = 'src5' THEN CASE WHEN top > 0 THEN 'document folder: body' WHEN doc_id % 2 = 0 AND titled >= 2 THEN 'document folder: code and title block' ELSE 'document folder' END
-    WHEN doc_id % 2 = 0 AND (lang = 'fr' OR n_chars > 2000) THEN 'code' WHEN top >= 2 THEN 'body' WHEN lang = 'de' THEN 'dxf' WHEN doc_id % 2 = 0 THEN 'code, unsure' WHEN titled >= 2 THEN 'title block' ELSE 'no hint' END AS reason
+    WHEN doc_id % 2 = 0 AND (lang = 'fr' OR n_chars > 2000) THEN 'code' WHEN top >= 2 THEN 'body' WHEN lang = 'de' THEN 'dxf' WHEN doc_id % 2 = 0 THEN 'code, unsure' WHEN titled >= 2 THEN 'title block' ELSE 'no hint' END AS reason,
+  CASE WHEN doc_id % 50 = 0 THEN 'idiot' WHEN source = 'src3' THEN 'und der@und der' WHEN doc_id % 49 = 0 THEN 'assembly'
+    WHEN top > 0 AND ((lang = 'es' AND n_chars > 1000) OR source = 'src5' OR (top >= 2 AND NOT (doc_id % 2 = 0 AND (lang = 'fr' OR n_chars > 2000)) AND NOT (lang = 'es' AND n_chars > 1000)))
+    THEN array_to_string((CASE best WHEN 'contract' THEN w0 WHEN 'application' THEN w1 WHEN 'site' THEN w2 ELSE w3 END)[1:3], '・') ELSE '' END AS words
 FROM t
 """)
 def doc_type_cascade(spark, sf_dir):
@@ -143,7 +155,7 @@ def doc_type_cascade(spark, sf_dir):
         F.when(F.col("lang") == "es", "pdf").when(F.col("lang") == "de", "DXF").otherwise("txt"), F.lower("text"), F.when(F.col("n_chars") > 1000, 3).otherwise(1), F.lit(False),
         _KINDS, ["assembly"], _TITLE, ["papers"],
     )
-    return docs.select("doc_id", found.alias("f")).select("doc_id", "f.doc_type", "f.reason")
+    return docs.select("doc_id", found.alias("f")).select("doc_id", "f.doc_type", "f.reason", "f.words")
 
 
 _NESTED = ["the", "thea", "then", "there", "an", "and", "andthe"]
@@ -179,6 +191,17 @@ def search_text_build(spark, sf_dir):
     return joined.select("o_orderkey", F.lower(text).alias("body"))
 
 
+@query(r"""
+WITH c AS (SELECT doc_id, lower(regexp_replace(substr(text, 1, 6000), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) AS one, lower(regexp_replace(substr(source || text, 1, 6000), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g')) AS two FROM documents)
+SELECT doc_id, md5(replace('d' || doc_id || CASE WHEN one <> '' THEN ' ' || one ELSE '' END || CASE WHEN two <> '' THEN ' ' || two ELSE '' END, 'ß', 'ss')) AS digest FROM c
+""")
+def page_search_text(spark, sf_dir):
+    """Documents as two pages each, of which 6,000 characters are searched."""
+    docs = table(spark, sf_dir, "documents")
+    text = fn.search_text(F.concat(F.lit("d"), F.col("doc_id").cast("string")), pages=F.array("text", F.concat("source", "text")))
+    return docs.select("doc_id", F.md5(F.lower(text).cast("binary")).alias("digest"))
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN d = '' THEN '' ELSE CAST(CAST(d AS BIGINT) AS VARCHAR) END AS item_no FROM (
   SELECT l_orderkey, l_linenumber, regexp_replace(translate(said, 'Il|!Oo', '111100'), '\\D', '', 'g') AS d FROM (

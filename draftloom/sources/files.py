@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import nfkc, strip
+from ..functions.text import casefold, nfkc, strip
 
 
 def crawl(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] = (), extensions: Sequence[str] = ("dxf", "pdf")) -> DataFrame:
@@ -25,7 +25,7 @@ def crawl(spark: SparkSession, root: str, include: Sequence[str] = (), exclude:
 
 
 def kept(path: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:
-    fold = lambda c: F.lower(strip(nfkc(c)))
+    fold = lambda c: casefold(strip(nfkc(c)))
     out = F.lit(True)
     if include:
         wanted = F.array(*[fold(F.lit(i)) for i in include])

@@ -89,12 +89,25 @@ def classified(spark):
     schema = "k int, path string, code string, source string, confidence double, kind string, text string, pages int, is_page boolean"
     df = spark.createDataFrame([(k, *c) for k, (c, _) in enumerate(CASES)], schema)
     names = ("path", "code", "source", "confidence", "kind", "text", "pages", "is_page")
-    return {r.k: (r.f.doc_type, r.f.reason) for r in df.select("k", rules.classify(*map(F.col, names)).alias("f")).collect()}
+    return {r.k: tuple(r.f) for r in df.select("k", rules.classify(*map(F.col, names)).alias("f")).collect()}
 
 
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_rule_cascade(classified, k):
-    assert classified[k] == CASES[k][1]
+    assert classified[k][:2] == CASES[k][1]
+
+
+def test_words_of_rules(classified):
+    words = {0: "契約書", 1: "敷地@敷地", 2: "組立図", 3: "工程表", 9: "見積・御中"}
+    assert {k: w for k, (_, _, w) in classified.items() if w} == words
+
+
+def test_folding_pages_and_queries(spark):
+    assert values(spark, ["Straße", "ＡÉ", "ABC", ""], fn.casefold) == ["strasse", "ａé", "abc", ""]
+    pages = spark.createDataFrame([(["a " + "x" * 7000, "  ", "ｂ\nc"],), ([],), (None,)], "p array<string>")
+    got = [r.t for r in pages.select(fn.search_text(F.lit("n1"), pages=F.col("p")).alias("t")).collect()]
+    assert got == ["N1 A " + "X" * 5998 + " B\nC", "N1", "N1"]
+    assert values(spark, ["?q=a+b%2Fc&v=&q=%E5%9B%B3", "", "x", "%zz=1&k=a=b"], fn.query_values) == [{"q": "図", "v": ""}, {}, {"x": ""}, {"k": "a=b"}]
 
 
 def test_manual_type_stays(spark):
