@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bom, titleblock
+from ..operators import bom, scans, titleblock
 from .registry import query, table
 
 
@@ -57,28 +57,30 @@ def bom_header_only(spark, sf_dir):
 
 
 def _scans(spark, sf_dir):
-    """Orders as scans of the known form, read by OCR without a header: a line of words per row, cut by rules; ones that are
-    read as strokes, and no row number in every third row."""
+    """Orders as scans of the known form: words that OCR has read, a line a row, with ones read as strokes, codes read with dots, the
+    number and the part as one word in every fourth row, and no number in every third; and the rules of the form."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    line = _spread(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")))
-    n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    word = lambda text, x, w: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(float(w)).alias("w"), F.lit(10.0).alias("h"))
-    read = F.when(n % 3 > 0, F.array(word(F.translate(n.cast("string"), "1", "l"), 90, 5))).otherwise(F.array())
+    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("n", number)
+    n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     code = F.concat(F.lit("HB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
-    words = [word(code, 105, 40), word(F.lit("PLATE"), 225, 25), word(F.col("l_suppkey").cast("string"), 255, 20), word(F.col("l_quantity").cast("int").cast("string"), 400, 8), word(F.lit("STEEL"), 464, 14)]
-    tokens = F.concat(read, F.array(*words))
-    cell = F.struct(F.array_join(F.transform(tokens, lambda t: t.text), " ").alias("text"), F.lit(90.0).alias("x"), y.alias("y"), F.lit(10.0).alias("h"), F.lit(388.0).alias("w"), F.lit(0.9).alias("conf"), tokens.alias("tokens"))
-    one = line.withColumn("n", number).select("l_orderkey", "n", cell.alias("cell")).groupBy("l_orderkey").agg(F.collect_list("cell").alias("items"), F.max("n").alias("last"))
-    edges = F.array(*[F.lit(100.0 + e) for e in sorted({float(e) for a, b, _ in bom.SCAN_FORM for e in (a, b)})])
-    rules = F.transform(edges, lambda x: F.struct(x.alias("x"), F.lit(0.0).alias("y0"), (90 + 25 * F.col("last")).cast("double").alias("y1")))
-    return one.select(F.col("l_orderkey").alias("drawing_id"), "items", rules.alias("vlines"))
+    dotted = F.when(n % 5 == 1, F.concat_ws(".", F.substring(code, 1, 4), F.substring(code, 5, 2), F.substring(code, 7, 2))).otherwise(code)
+    said = F.translate(n.cast("string"), "1", "l")
+    both = (n % 4 == 3) & (n % 3 > 0) & (n < 10)
+    word = lambda text, x, w: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w"))
+    read = F.when((n % 3 > 0) & ~both, F.array(word(said, 90, 5))).otherwise(F.slice(F.array(word(said, 90, 5)), 1, 0))
+    parts = F.when(both, F.array(word(F.concat(said, code), 95, 45))).otherwise(F.array(word(dotted, 105, 40)))
+    others = [word(F.lit("PLATE"), 225, 25), word(F.col("l_suppkey").cast("string"), 255, 20), word(F.col("l_quantity").cast("int").cast("string"), 400, 8), word(F.lit("STEEL"), 464, 14)]
+    words = line.select(F.col("l_orderkey").alias("drawing_id"), n.alias("line"), y.alias("y"), F.lit(10.0).alias("h"), F.posexplode(F.concat(read, parts, F.array(*others))).alias("n", "t")).select("drawing_id", "line", "n", "t.text", "t.x", "y", "t.w", "h")
+    edges = F.explode(F.array(*[F.lit(100.0 + e) for e in scans.EDGES]))
+    rules = line.groupBy(F.col("l_orderkey").alias("drawing_id")).agg(F.max("n").alias("last")).select("drawing_id", "last", edges.alias("x")).select("drawing_id", "x", F.lit(0.0).alias("low"), (90 + 25 * F.col("last")).cast("double").alias("high"))
+    return words, rules
 
 
 @query(_ROWS)
 def bom_scan(spark, sf_dir):
-    """Scans without a readable header, by the form: words cut at rules, repaired numbers, rows numbered by their spacing."""
-    return bom.extract_rows(_scans(spark, sf_dir)).select(*_COLUMNS)
+    """Scans without a readable header, by the form: words cut at rules and borders, repaired codes, rows numbered by their spacing."""
+    return scans.form_rows(*_scans(spark, sf_dir), ["drawing_id"]).select(*_COLUMNS)
 
 
 @query("SELECT p_partkey, f.field, CASE f.field WHEN 'title' THEN 'HOUSE ' || p_name ELSE 'HB' || p_partkey END AS value FROM part, (VALUES ('title'), ('drawing_no')) AS f(field)")

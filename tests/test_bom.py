@@ -1,8 +1,10 @@
 """Part tables from made-up layouts."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from draftloom.operators import bom
+from draftloom.functions import text as fn
+from draftloom.operators import bom, scans
 
 HEAD = [("NO.", 2), ("図 番 又 は 品 番", 16), ("名称/規格", 66), ("員 数", 121), ("材質", 141), ("厚さ", 161), ("幅", 181), ("長さ", 201)]
 COLUMNS = ("item_no", "part_no", "name", "qty", "material", "thickness", "width", "length")
@@ -75,47 +77,67 @@ def test_branch_quantities_become_a_note():
     assert (row["qty"], row["note"], row["length"]) == ("3", "枝番別の員数: - / 3 / - / 5", "100")
 
 
-def test_ocr_lines_are_cut_at_rules():
+def words_frame(spark, lines):
+    """Words of OCR lines as rows. lines: lists of (text, x, y, w, h)."""
+    rows = [(1, k, n, *map(str, word[:1]), *map(float, word[1:])) for k, line in enumerate(lines) for n, word in enumerate(line)]
+    return spark.createDataFrame(rows, "g int, line int, n int, text string, x double, y double, w double, h double")
+
+
+def rules_frame(spark, rules):
+    return spark.createDataFrame([(1, *map(float, r)) for r in rules], "g int, x double, low double, high double")
+
+
+def test_ocr_lines_are_cut_at_rules(spark):
     items, rules = table(ROWS, ruled=True)
-    out = []
-    for line in bom.lines_of(bom.to_items(items, ())):
-        words = [{"text": w, "x": i.x + 0.01 * n, "y": i.y, "w": i.w, "h": i.h} for i in line for n, w in enumerate(i.text.split())]
-        out.append({"text": " ".join(w["text"] for w in words), "x": words[0]["x"], "y": line[0].y, "h": 3.0, "tokens": words})
-    assert cells(bom.extract(out, rules)) == cells(bom.extract(items, rules))
+    lines = [[(w, i.x + 0.01 * n, i.y, i.w, i.h) for i in line for n, w in enumerate(i.text.split())] for line in bom.lines_of(bom.to_items(items))]
+    found = scans.word_cells(words_frame(spark, lines), rules_frame(spark, rules), ["g"]).collect()
+    assert cells(bom.extract([r.asDict() for r in found], rules)) == cells(bom.extract(items, rules))
 
 
-def test_scans_are_read_by_the_form():
+def test_scans_are_read_by_the_form(spark):
     h, unit = 8.0, 1.01
     at = lambda e: 70 + unit * e
-    word = lambda t, x, y: {"text": t, "x": x, "y": y, "h": h, "tokens": [{"text": t, "x": x, "y": y, "w": 5.0 * len(t), "h": h}]}
+    word = lambda t, x, y: [(t, x, y, 5.0 * len(t), h)]
     rules = [(at(e), 100.0, 280.0) for e in (-24, -12, 0, 118, 296, 362, 380)] + [(at(e), 110.0, 280.0) for e in (314, 326, 409, 444)]
     items = [word("図番双は&番", at(20), 104.0), word("Q.R.S.T.0.0.4.4.1.0", at(1), 121.0), word("I", at(-10), 123.0), word("テスト", at(120), 121.0), word("2", at(300), 121.0)]
     items += [word("12QRSTO04411", at(-11), 137.0), word("テスト板", at(120), 137.0), word("C02", at(364), 137.0), word("QRST00442.0", at(1), 153.0), word("部品", at(120), 153.0)]
-    rows = bom.extract(items, rules)
+    rows = scans.form_rows(words_frame(spark, items), rules_frame(spark, rules), ["g"]).orderBy("row").collect()
     assert [(r["item_no"], r["part_no"], r["name"], r["qty"], r["material"]) for r in rows] == [
         ("1", "QRST004410", "テスト", "2", ""), ("2", "QRST004411", "テスト板", "", "C02"), ("3", "QRST004420", "部品", "", ""),
     ]
+    assert [(r.row, r.ref_drawing_no, r.confidence) for r in rows] == [(1, "QRST004410", 0.9), (2, "QRST004411", 0.9), (3, "QRST004420", 0.8)]
+
+
+def test_a_part_that_runs_into_its_name_is_cut(spark):
+    rules = [(70 + e, 100.0, 200.0) for e in (-24, -12, 0, 118, 296, 362, 380, 409)]
+    lines = [[("12", 60.0, 121.0, 8.0, 8.0)], [("QRST004410テスト板", 130.0, 121.0, 18 * 6.5, 8.0)], [("3", 370.0, 121.0, 5.0, 8.0)]]
+    row = scans.form_rows(words_frame(spark, lines), rules_frame(spark, rules), ["g"]).first()
+    assert (row.part_no, row["name"], row.qty) == ("QRST004410", "テスト板", "3")
 
 
-def test_form_needs_its_edges():
-    edges = [500 + e for e in (-24, -10, 0, 119, 330, 409, 444)]
-    columns = {c: (a, b) for a, b, c in bom.form_layout(edges)}
-    assert columns["part_no"] == (500, 619) and abs(columns["qty"][0] - 797) < 5
-    assert bom.form_layout([500, 560, 700, 745, 760, 900, 930, 1000]) is None
+def test_form_needs_its_edges(spark):
+    place = lambda edges: scans.form_places(rules_frame(spark, [(e, 0.0, 200.0) for e in edges]).withColumn("h", F.lit(8.0)), ["g"]).collect()
+    found = place([500 + e for e in (-24, -10, 0, 119, 330, 409, 444)])
+    assert [(round(r.shift), round(r.scale, 1), r.head, r.top) for r in found] == [(500, 1.0, 12.0, 200.0)]
+    assert place([500, 560, 700, 745, 760, 900, 930, 1000]) == []
 
 
-def test_ocr_repairs():
+def test_ocr_repairs(spark):
     codes = {"HB.C.1.D.5.0.0.1.1": "HBCID50011", "004400.8.0.0.2": "0044008002", "HBXPO20244": "HBXP020244", "0411-NO.5X18W": "0411-NO.5X18W", "HBXP.020244": "HBXP020244", "ABC123456|": "ABC123456"}
-    assert {c: bom.ocr_code(c) for c in codes} == codes
-    assert [bom.ocr_number(x) for x in ("I", "04", "|", "13", "O", "x")] == ["1", "4", "1", "13", "0", ""]
+    df = spark.createDataFrame([(c,) for c in codes], "t string")
+    assert {r.t: r.c for r in df.select("t", scans.repaired_code(F.col("t")).alias("c")).collect()} == codes
+    numbers = spark.createDataFrame([(x,) for x in ("I", "04", "|", "13", "O", "x")], "t string")
+    assert [r.c for r in numbers.select(fn.ocr_item_no(F.col("t")).alias("c")).collect()] == ["1", "4", "1", "13", "0", ""]
 
 
-def test_parent_assembly():
+def test_parent_assembly(spark):
     items = [text("組 立 図 番", 0, 0), text("QRST000010 1", -2, 6), text("QRST000099", 80, 0), text("QRST000011", 0, -8)]
     assert bom.assembly_refs(items) == ["QRST000010"]
     assert bom.assembly_refs(items, "QRST000010") == []
-    scan = [text("組立図番", 0, 0, 8.0), text("Q.R.S.0.0,1.2,0,4.41", 0, 9, 8.0)]
-    assert bom.assembly_refs(scan, scan=True) == ["QRS0012044"]
+    rows = [(1, 0, "組立図番", 0.0, 0.0, 32.0, 8.0), (1, 1, "Q.R.S.0.0,1.2,0,4.41", 0.0, 9.0, 90.0, 8.0), (1, 2, "QRS0099999", 300.0, 0.0, 50.0, 8.0)]
+    df = spark.createDataFrame(rows, "g int, cell int, text string, x double, y double, w double, h double")
+    assert [(r.place, r.code) for r in scans.parent_codes(df, ["g"], bom.ASSEMBLY_LABEL).collect()] == [(1, "QRS0012044")]
+    assert scans.parent_codes(df, ["g"], bom.ASSEMBLY_LABEL, "QRS0012044").count() == 0
 
 
 def test_rows_of_a_table_of_drawings(spark):
