@@ -222,21 +222,30 @@ def own_prefix(n: Column) -> Column:
     return n - F.ceil(2 * PART * n / (PART + WHOLE)) + 1
 
 
-def _rare_shingles(whole: DataFrame, crowd: DataFrame) -> DataFrame:
-    """key, at, own, sid, n: the first shingles of each set of ``crowd`` (sid), rarest first by their exact counts in the crowd.
-
-    Similar sets share one of these, and what a set shares with very many others stands last. A shingle of one set alone is no key,
-    but takes a place. A set whose first shingles are common holds little else, and is similar to the like of it.
+def _rare_shingles(whole: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, at, own, sid, n: the first shingles of each set of ``crowd`` (sid), those that tell it from others first.
+
+    The order is the same for all sets: shingles of one component alone, which join nothing, then others, rarest first by their exact
+    counts in the crowd. Similar sets share one of the first, and what a set shares with very many others stands last. Only shingles of
+    several components are keys, the rest take a place each; where shingles of one set alone fill all places, which is so for most sets that
+    share a passage and nothing else, the set needs no more: it has no similar one. A set whose first shingles are common
+    holds little else, and is similar to the like of it.
     """
-    rows = as_table(whole.join(crowd, "sid", "left_semi").select("sid", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("key")), "crowd")
-    counts = as_table(rows.groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("c")).where("c > 1"), "counts")
-    shared = rows.hint("merge").join(counts, F.col("key") == F.col("c_key")).groupBy("sid", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared"))
-    alone = F.col("n") - F.size("shared")
-    first = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1 - alone, F.lit(0)).cast("int")))
-    placed = shared.select("sid", "n", alone.alias("alone"), first.alias("k", "s")).select(F.col("s.key").alias("key"), (F.col("alone") + F.col("k")).alias("at"), "sid", "n")
-    out = as_table(placed.withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
-    drop_table(rows)
-    drop_table(counts)
+    sized = whole.join(crowd, "sid", "left_semi").join(roots, F.col("sid") == F.col("r_sid"), "left")
+    sized = as_table(sized.select("sid", F.size("hashes").cast("long").alias("n"), F.coalesce("root", "sid").alias("root"), "hashes"), "crowd")
+    counts = sized.select("sid", "root", F.explode("hashes").alias("c_key")).groupBy("c_key").agg(F.count("*").alias("c"), F.min("sid").alias("one"), (F.min("root") < F.max("root")).alias("joins"))
+    counts = as_table(counts, "counts")
+    alone = counts.where("c = 1").groupBy(F.col("one").alias("a_sid")).agg(F.count("*").alias("alone"))
+    places = F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1
+    needy = as_table(sized.join(alone, F.col("sid") == F.col("a_sid"), "left").where(F.coalesce("alone", F.lit(0)) < places).select("sid", "n", places.alias("places"), "hashes"), "needy")
+    asked = needy.select("sid", "n", "places", F.explode("hashes").alias("key"))
+    shared = asked.hint("merge").join(counts.where("joins").select("c_key", "c"), F.col("key") == F.col("c_key"))
+    firsts = shared.groupBy("sid", "n", "places").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared")).withColumn("before", F.col("n") - F.size("shared"))
+    each = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("places") - F.col("before"), F.lit(0)).cast("int")))
+    keyed = firsts.select("sid", "n", "before", each.alias("k", "s")).select(F.col("s.key").alias("key"), (F.col("before") + F.col("k")).alias("at"), "sid", "n")
+    out = as_table(keyed.withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
+    for table in (sized, counts, needy):
+        drop_table(table)
     return out
 
 
@@ -271,7 +280,7 @@ def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFra
         drop_table(rows)
         roots = _joined_roots(roots, _links(close, whole))
     if not crowd.isEmpty():
-        rare = _rare_shingles(whole, crowd)
+        rare = _rare_shingles(whole, crowd, roots)
         lows = rare.where("own").groupBy(F.col("key").alias("l_key")).agg(F.min(F.struct("sid", "n")).alias("low"))
         lows = as_table(lows.select("l_key", F.col("low.sid").alias("l_sid"), F.col("low.n").alias("l_n")), "lows")
         stars = rare.join(lows, (F.col("key") == F.col("l_key")) & (F.col("sid") != F.col("l_sid")) & near_sizes(F.col("n"), F.col("l_n")))
