@@ -60,12 +60,6 @@ def merge_intervals(df: DataFrame, group: Sequence[str], start: str, end: str, g
     return runs.groupBy(*group, "run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("run")
 
 
-def distinct_boundaries(values: Column, tolerance: Column) -> Column:
-    """Sorted array without values within the tolerance of the last one kept."""
-    first = F.array().cast("array<double>")
-    return F.aggregate(F.array_sort(values), first, lambda kept, v: F.when((F.size(kept) == 0) | (v - F.element_at(kept, -1) > tolerance), F.concat(kept, F.array(v))).otherwise(kept))
-
-
 def boundaries(df: DataFrame, group: Sequence[str], value: str, gap: float) -> DataFrame:
     """(group, value): of each group's values, in order, those further than ``gap`` from the last one kept, the first one included.
 

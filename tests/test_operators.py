@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from draftloom.operators import access, browse, geometry, ingest, relations, search, titleblock
-from draftloom.sources import dxf, files, images
+from draftloom.operators import access, bitmap, browse, geometry, ingest, relations, search, titleblock
+from draftloom.sources import dxf, files
 from draftloom.streaming import scan
 
 
@@ -112,8 +112,8 @@ def test_streamed_states_do_not_depend_on_micro_batches(spark, tmp_path, files):
 
 
 def test_greedy_boundaries_and_votes(spark):
-    one = spark.range(1).select(geometry.distinct_boundaries(F.array(*map(F.lit, [3.0, 1.0, 1.5, 2.4, 2.6])), F.lit(1.0)).alias("k"))
-    assert one.first().k == [1.0, 2.4]
+    one = spark.createDataFrame([(1, v) for v in (3.0, 1.0, 1.5, 2.4, 2.6)], "g int, v double")
+    assert sorted(r.v for r in geometry.boundaries(one, ["g"], "v", 1.0).collect()) == [1.0, 2.4]
     rows = spark.createDataFrame([(1, 4, 0), (1, 5, 1), (1, 9, 2), (2, 7, 0), (3, None, 0)], "g int, n int, p int")
     assert {r.g: (r["shift"], r.votes) for r in geometry.vote_offset(rows, ["g"], F.col("n"), F.col("p")).collect()} == {1: (4, 2), 2: (1, 1)}
 
@@ -156,17 +156,24 @@ def test_drawing_files(spark, tmp_path):
     assert [r.ok for r in spark.createDataFrame([("a/b",), ("/a",), ("a/../b",)], "p string").select(files.is_safe(F.col("p")).alias("ok")).collect()] == [True, False, False]
 
 
-def test_bitmaps():
+def test_bitmaps(spark):
+    def pixels(bitmap):
+        rows, columns = np.nonzero(bitmap)
+        return spark.createDataFrame([(1, int(c), int(r)) for r, c in zip(rows, columns)], "page int, c int, y int")
+
     page = np.zeros((600, 400), bool)
     page[100:500, 50:53] = True
     for r in range(100, 500):
         page[r, 200 + (r - 100) // 100 : 203 + (r - 100) // 100] = True
     page[10:20, 300] = True
-    assert [round(x) for x, _, _ in images.vertical_rules(page, dpi=150)] == [51, 202]
+    least = int(bitmap.LEAST_MM * 150 / bitmap.MM_PER_INCH)
+    rules = bitmap.ruling_lines(pixels(page), ["page"], "c", "y", F.lit(True), least).collect()
+    assert sorted((r.x, r["first"], r["last"]) for r in rules) == [(51.5, 100, 499), (203.0, 100, 499)]
     cell = np.zeros((60, 100), bool)
+    ones = lambda: [r.x for r in bitmap.lone_ones(pixels(cell), ["page"], "c", "y", F.lit(True), F.lit(60)).collect()]
     cell[:, 5] = True
-    assert images.lone_one(cell) is None
+    assert ones() == []
     cell[15:48, 60:64] = True
-    assert round(images.lone_one(cell)) == 62
+    assert ones() == [61.5]
     cell[20:40, 80:99] = True
-    assert images.lone_one(cell) is None
+    assert ones() == []
