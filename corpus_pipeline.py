@@ -12,28 +12,32 @@ from draftloom.llm.shared import as_table, drop_table, load
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, ties at the threshold included, by their whole text alone. Null and empty texts
+    are scored like others; null ids stay; repeated rows are judged alike."""
     return quality.keep_good(docs, load(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more. The smallest doc_id stays, null last,
+    then by text; of identical rows one. Null texts, empty ones and texts without words are one group; long ones are read whole."""
     return similar.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that repeat."""
+    """Texts without the byte strings that repeat anywhere, all their places cut, whole characters kept. Null and empty texts stay as
+    they are, emptied ones stay as empty rows; null ids stay."""
     return suffix.cut_repeats(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix has them, by training position."""
+    """Documents as often as the mix has them, by training position. Empty and null texts have no words and go; null sources are one
+    source, the last; repeated rows count each time; equal places follow a hash of id and text."""
     plan = as_table(mixing.mix(docs), "mix")
     return mixing.materialize(docs, plan)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of what they decode to."""
+    """doc_id, n_tokens, ids and the digest of what they decode to, a row for each of docs; no text, no ids. Long texts are encoded whole."""
     import public_tokenizers
 
     return bpe.encode_rows(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
