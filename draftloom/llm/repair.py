@@ -245,7 +245,8 @@ def edits(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     blocks = as_table(_blocks(cells), "blocks")
     found = _edits(blocks).withColumnRenamed("conv_id", "e_id")
     missing = cells.where("turn is not null").select("conv_id", "turn").distinct().groupBy(F.col("conv_id").alias("g_id")).agg((F.max("turn") - F.min("turn") + 1 - F.count("*")).alias("gaps"))
-    every = (ids.select("conv_id") if ids is not None else cells.select("conv_id")).distinct()
+    every = cells.select("conv_id")
+    every = (every if ids is None else every.unionByName(ids.select("conv_id"))).distinct()
     joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("e_id")), "left").join(missing, F.col("conv_id").eqNullSafe(F.col("g_id")), "left")
     out = as_table(joined.select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in NUMBERS], F.coalesce("audit", F.lit("")).alias("audit")), "edits")
     for table in (cells, blocks):
