@@ -171,7 +171,7 @@ def _shared(members: DataFrame) -> DataFrame:
     """Of ``members`` (key, sid) those whose key several sets have, with the smallest of these, as a table."""
     lows = members.groupBy(F.col("key").alias("l_key")).agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high")
     lows = as_table(lows.select("l_key", "low"), "lows")  # a table, so that Spark can split a hot key of the join with it
-    met = as_table(members.hint("merge").join(lows, F.col("key") == F.col("l_key")).select("key", "sid", "low"), "met")
+    met = as_table(members.hint("merge").join(lows, F.col("key") == F.col("l_key")).select("key", "sid", "low").distinct(), "met")
     drop_table(lows)
     return met
 
@@ -259,12 +259,16 @@ def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFra
     tell such sets apart: at 0.6 they share four of 32. ``first``: pairs (u, v) of sets that are candidates
     too. Exact but for that probability and collisions of 64-bit hashes: whole sets decide.
     """
-    sets = as_table(found.where("n > 0").groupBy("sid").agg(F.min_by(F.struct("n", "sketch", "keys"), "tie").alias("s")).select("sid", "s.n", "s.sketch", "s.keys"), "distinct-sets")
-    met = _shared(sets.select(F.explode("keys").alias("key"), "sid"))
+    rows = found.where("n > 0")
+    met = _shared(rows.select(F.explode("keys").alias("key"), "sid"))
     asked = met.select("sid")
     if first is not None:
         asked = asked.unionByName(first.select(F.col("u").alias("sid"))).unionByName(first.select(F.col("v").alias("sid")))
-    whole = _whole_sets(docs, found, asked.distinct(), shingle)
+    asked = as_table(asked.distinct(), "asked-sets")
+    # most sets share no key: what follows reads the others alone
+    sets = rows.select("sid", "n", "sketch", "tie").hint("merge").join(asked, "sid", "left_semi").groupBy("sid").agg(F.min_by(F.struct("n", "sketch"), "tie").alias("s"))
+    sets = as_table(sets.select("sid", "s.n", "s.sketch"), "shared-sets")
+    whole = _whole_sets(docs, found, asked, shingle)
     stars = met.where("sid > low").select(F.col("sid").alias("u"), F.col("low").alias("v"))
     pairs = (stars if first is None else stars.unionByName(first.select(*_pairs("u", "v")).where("u > v"))).distinct()
     links = _links(_close(pairs, sets), whole)
@@ -288,7 +292,7 @@ def similar_sets(docs: DataFrame, found: DataFrame, shingle: int, first: DataFra
         roots = _joined_roots(roots, _links(_open_pairs(rare, roots, sets), whole))
         drop_table(lows)
         drop_table(rare)
-    for table in (sets, whole):
+    for table in (sets, whole, asked):
         drop_table(table)
     return roots.select(F.col("r_sid").alias("sid"), "root")
 
