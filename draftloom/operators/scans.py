@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..tables import written
 from . import geometry, reports
 
 # The columns of the known form in its own units, from the left border of the part column; the place of that column
@@ -145,7 +146,7 @@ def form_rows(words: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFra
     gap = F.col("y") - F.lag("y").over(over.orderBy("y"))
     spaced = rows.withColumn("gap", gap).withColumn("pitch", F.least(F.median("gap").over(over), 1.5 * F.min("gap").over(over)))
     position = F.coalesce(F.round((F.col("y") - F.min("y").over(over)) / F.col("pitch")), F.lit(0.0)).cast("int")
-    placed = spaced.withColumn("position", position)
+    placed = written(spaced.withColumn("position", position), "scan-rows")  # read for the votes and for the rows
     votes = geometry.vote_offset(placed, key, F.col("read").try_cast("int"), F.col("position"))
     numbered = placed.join(votes.select(*key, "shift"), list(key), "left").withColumn("number", F.col("position") + F.coalesce("shift", F.lit(1)))
     out = numbered.withColumn("item_no", F.when(F.col("number") >= 1, F.col("number").cast("string")).otherwise(F.col("read")))
