@@ -105,7 +105,8 @@ def contained(points: DataFrame, spans: DataFrame, at: Column, prefer: Sequence[
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], distance: Column, eligible: Column, key: Sequence[str], value: Column, ties: Sequence[Column]) -> DataFrame:
     """For each row of ``left`` the eligible row of ``right`` at the smallest distance, ties in order: key, value, distance."""
-    pairs = left.join(right, list(on)).where(eligible)
+    # both sides may be exploded from a small table, which looks small to Spark: neither is broadcast
+    pairs = left.join(right.hint("merge"), list(on)).where(eligible)
     return pairs.groupBy(*key).agg(F.min(F.struct(distance.alias("d"), *[t.alias(f"t{n}") for n, t in enumerate(ties)], value.alias("value"))).alias("s")).select(*key, "s.value", F.col("s.d").alias("distance"))
 
 
@@ -151,11 +152,12 @@ def template_fits(lines: DataFrame, group: Sequence[str], edges: Sequence[float]
     the lines of one group, and only those at about the right distance are kept.
     """
     wide = edges[unit[1]] - edges[unit[0]]
+    # lines that were exploded from a small table look small to Spark, but grow with it: they are never broadcast
     a, b = lines.select(*group, F.col("x").alias("xa")), lines.select(*group, F.col("x").alias("xb"))
-    pairs = a.join(b, list(group)).where((F.col("xb") - F.col("xa")).between(wide * (1 - ratio), wide * (1 + ratio)))
+    pairs = a.join(b.hint("merge"), list(group)).where((F.col("xb") - F.col("xa")).between(wide * (1 - ratio), wide * (1 + ratio)))
     placed = pairs.withColumn("scale", (F.col("xb") - F.col("xa")) / wide).withColumn("shift", F.col("xa") - F.col("scale") * edges[unit[0]])
     want = placed.withColumn("edge", F.explode(F.array(*map(F.lit, edges)))).withColumn("target", F.col("shift") + F.col("scale") * F.col("edge"))
-    error = want.join(lines, list(group)).groupBy(*group, "xa", "xb", "scale", "shift", "edge").agg(F.min(F.abs(F.col("x") - F.col("target"))).alias("error"))
+    error = want.join(lines.hint("merge"), list(group)).groupBy(*group, "xa", "xb", "scale", "shift", "edge").agg(F.min(F.abs(F.col("x") - F.col("target"))).alias("error"))
     fits = error.groupBy(*group, "xa", "xb", "scale", "shift").agg(F.count_if(F.col("error") <= tolerance).alias("hits"), F.sum(F.least("error", F.lit(tolerance))).alias("total"))
     best = F.max(F.struct("hits", (-F.round("total", 6)).alias("e"), (-F.col("xa")).alias("a"), "shift", "scale")).alias("s")
     return fits.groupBy(*group).agg(best).select(*group, F.round("s.shift", 4).alias("shift"), F.round("s.scale", 6).alias("scale"), F.col("s.hits").alias("hits")).where(F.col("hits") >= least)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bitmap, sheets
 from ..operators import geometry as op
+from ..tables import dealt
 from .registry import query, table
 
 
@@ -191,7 +192,7 @@ def template_fit(spark, sf_dir):
     edge = F.explode(F.array(*map(F.lit, _EDGES)))
     form = g.select("g", edge.alias("edge")).where("g % 5 <> 0 OR edge <> 248.0").select("g", (F.col("edge") + F.col("g") % 500 * 3).alias("x"))
     noise = g.select("g", F.explode(F.array(F.lit(11000.0), F.lit(11300.0), F.lit(11501.0))).alias("x"))
-    return op.template_fits(form.unionByName(noise), ["g"], _EDGES, (1, 2), tolerance=0.5)
+    return op.template_fits(dealt(form.unionByName(noise), ["g"], 11 * g.count()), ["g"], _EDGES, (1, 2), tolerance=0.5)
 
 
 @query("""

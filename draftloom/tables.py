@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +22,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, by: Sequence[str], rows: int, each: int = 200_000) -> DataFrame:
+    """``df`` dealt by hash of ``by`` to about ``each`` of its ``rows`` a task. Adaptive execution joins shuffled partitions by
+    their bytes, and numbers that compress well would be few tasks that sort very many rows; it leaves these as they are."""
+    return df.repartition(max(-(-rows // each), df.sparkSession.sparkContext.defaultParallelism), *by)

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftloom.functions import text as fn
-from draftloom.operators import access, bitmap, geometry, graph, ingest, positions, sheets
+from draftloom.operators import access, bitmap, geometry, graph, ingest, positions, sheets, titleblock
 from draftloom.sources import listing
+from draftloom.tables import dealt
 
 
 def test_positions_with_a_hot_group(spark):
@@ -143,3 +144,21 @@ def test_changes_in_runs_and_totals(spark, tmp_path):
     assert sorted((r.id, r.run) for r in met.collect()) == [(1, 1), (2, 1), (2, 2)] and met.columns == ["path", "at", "id", "started", "ended", "run"]
     totals = ingest.written_with_totals(changes, f"{tmp_path}/t", n=F.count("*"), last=F.max("id"), none=F.sum(F.when(F.lit(False), 1)))
     assert [tuple(r) for r in totals.collect()] == [(5, 5, None)] and spark.read.parquet(f"{tmp_path}/t").count() == 5
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_exploded_sides_are_never_broadcast(spark):
+    g = spark.range(3).select(F.col("id").alias("g"))
+    lines = g.select("g", F.explode(F.array(*[F.lit(float(x)) for x in (0, 10, 20, 30)])).alias("x"))
+    assert "Broadcast" not in _plan(geometry.template_fits(lines, ["g"], [0.0, 10.0, 20.0], (0, 1), least=3))
+    texts = F.explode(F.array(*[F.struct(F.lit(n).alias("id"), F.lit(t).alias("text"), F.lit(x).alias("x"), F.lit(0.0).alias("y"), F.lit(2.0).alias("h")) for n, (t, x) in enumerate([("NAME", 0.0), ("HOUSE", 9.0)])]))
+    found = titleblock.from_labels(g.select("g", texts.alias("i")).select("g", "i.*"), "g")
+    assert "Broadcast" not in _plan(found) and sorted(map(tuple, found.collect())) == [(n, "title", "HOUSE") for n in range(3)]
+
+
+def test_rows_are_dealt_by_number(spark):
+    parts = dealt(spark.range(1000), ["id"], 1000, each=50)
+    assert parts.rdd.getNumPartitions() == 20 and parts.count() == 1000
