@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, norm_keep_case
+from ..tables import dealt, written
 from . import geometry
 
 FIELDS = ("drawing_no", "revision", "title", "model", "material", "scale", "drawn_date", "sheet_title", "sheet_no", "job_no", "file_title")
@@ -55,8 +56,10 @@ def from_labels(items: DataFrame, key: str) -> DataFrame:
     ``label: value`` in one text comes first, then dates right after their label, then the nearest value right of or below a
     label. A label on a line with two more header words, one of them of a part table, heads a table and is none.
     """
-    # normalised once, before the joins: the only Python on this path
+    # normalised once, as a table that the joins read: the only Python on this path
     known = items.select(key, "id", norm_keep_case(F.col("text")).alias("text"), "x", "y", F.greatest("h", F.lit(1e-6)).alias("h")).withColumn("upper", F.upper("text"))
+    known = written(known, "texts")
+    known = dealt(known, [key], known.count())
     words = sorted({w for ws in FIELD_LABELS.values() for w in ws}, key=lambda w: (-len(w), w))
     pattern = "(?i)^(" + "|".join(w.replace(".", r"\.") for w in words) + r")\s*:\s*(.+)$"
     inline = known.select(key, "id", F.try_element_at(_lookup(FIELD_LABELS), F.upper(F.regexp_extract("text", pattern, 1))).alias("field"), F.regexp_extract("text", pattern, 2).alias("value"), F.lit(0).alias("rank"), F.lit(0.0).alias("distance"))
@@ -66,10 +69,12 @@ def from_labels(items: DataFrame, key: str) -> DataFrame:
     labels = F.array(*[F.lit(w) for w in words])
     marked = known.withColumn("is_label", F.array_contains(labels, bare)).withColumn("is_form", bare.isin(*FORM_WORDS) | (bare == ""))
     heads = F.array_contains(F.array_union(labels, F.array(*map(F.lit, TABLE_WORDS))), F.col("o.upper"))
-    row = marked.where("is_label").alias("l").join(known.alias("o"), (F.col(f"l.{key}") == F.col(f"o.{key}")) & (F.abs(F.col("o.y") - F.col("l.y")) < 0.6 * F.col("l.h")))
+    # merge joins: items exploded from a small table look small to Spark, but grow with it
+    row = marked.where("is_label").alias("l").join(known.alias("o").hint("merge"), (F.col(f"l.{key}") == F.col(f"o.{key}")) & (F.abs(F.col("o.y") - F.col("l.y")) < 0.6 * F.col("l.h")))
     of_table = row.groupBy(F.col(f"l.{key}").alias("t_key"), F.col("l.id").alias("t_id")).agg(F.count_if(heads).alias("n"), F.count_if(F.col("o.upper").isin(*TABLE_WORDS)).alias("m")).where("n >= 3 and m > 0")
-    usable = marked.join(of_table, (F.col(key) == F.col("t_key")) & (F.col("id") == F.col("t_id")), "left_anti")
-    near = geometry.label_values(usable.unionByName(marked.join(usable.select(key, "id"), [key, "id"], "left_anti").withColumn("is_label", F.lit(False)).withColumn("is_form", F.lit(True))), [key], F.col("is_label"), F.col("is_form"))
+    heading = F.col("t_key").isNotNull()
+    told = marked.join(of_table.hint("merge"), (F.col(key) == F.col("t_key")) & (F.col("id") == F.col("t_id")), "left").withColumns({"is_label": F.col("is_label") & ~heading, "is_form": F.col("is_form") | heading})
+    near = geometry.label_values(told, [key], F.col("is_label"), F.col("is_form"))
     beside = near.select(key, F.col("l_id").alias("id"), F.try_element_at(_lookup(FIELD_LABELS), F.upper(F.regexp_replace("label", ":+$", ""))).alias("field"), "value", F.lit(2).alias("rank"), "distance")
     every = inline.unionByName(dated).unionByName(beside).where("field is not null and value <> ''")
     best = every.groupBy(key, "field").agg(F.min(F.struct("rank", "id", "value")).alias("s")).select(key, "field", "s.value")
