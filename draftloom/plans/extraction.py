@@ -6,19 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bom, scans, titleblock
+from ..tables import dealt
 from .registry import query, table
 
 
-def _spread(lines):
-    """Lines by order in all shuffle partitions: few bytes, but reading a drawing takes milliseconds, which coalesced partitions
-    would spend in one task."""
-    return lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+def _lines(spark, sf_dir):
+    """Lines by order, a bounded number a task: few bytes, but reading a drawing takes a part of a millisecond."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return dealt(lines, ["l_orderkey"], lines.count())
 
 
 def _drawings(spark, sf_dir):
     """Orders as drawings: lines as table rows, stacked upward from the header, as in the orders' own numbers."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    line = _spread(table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")))
+    line = _lines(spark, sf_dir)
     w = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     y = 100 + 8 * F.col("n").cast("double")
     cell = lambda text, x, y: F.struct(text.alias("text"), F.lit(float(x)).alias("x"), y.alias("y"), F.lit(3.0).alias("h"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("array<struct<text string, x double, y double, w double, h double>>").alias("tokens"))

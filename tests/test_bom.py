@@ -151,3 +151,12 @@ def test_rows_of_a_table_of_drawings(spark):
     rows = bom.extract_rows(df).orderBy("drawing_id", "row").collect()
     assert [(r.drawing_id, r.row, r.part_no) for r in rows] == [(d, n + 1, r[1]) for d in (1, 2) for n, r in enumerate(ROWS)]
     assert {r.part_no: float(r.qty) for r in bom.summed_quantity(bom.extract_rows(df)).collect()} == {"QRST004410": 4, "P": 2, "0411-TAPE-W": 24}
+
+
+def test_fields_come_as_flat_arrays(spark):
+    items, rules = table(ROWS, ruled=True)
+    schema = "drawing_id int, items array<struct<text string, x double, y double, h double>>, vlines array<struct<x double, y0 double, y1 double>>"
+    df = spark.createDataFrame([(1, [(i["text"], i["x"], i["y"], i["h"]) for i in items] + [None], rules), (2, [], []), (3, None, None), (4, [(i["text"], i["x"], i["y"], i["h"]) for i in items], None)], schema)
+    found = bom.extract_rows(df)
+    assert "tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.drawing_id, r.row, r.part_no) for r in found.collect()) == [(d, n, r[1]) for d in (1, 4) for n, r in enumerate(ROWS, 1)]
