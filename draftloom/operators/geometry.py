@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import dealt, written
 from .graph import chain
 
 #: Gaps between boundaries that one window looks at.
@@ -231,14 +231,19 @@ def quantity_regions(rows: DataFrame, group: Sequence[str], spans: DataFrame) ->
     fitted through them if its slope is within a tenth of the median gap; the text height is at most gap / 1.8.
     """
     region = spans.where(F.col("column").rlike(r"^qty\d*$")).groupBy(*group).agg(F.min("lo").alias("x0"), F.max("hi").alias("x1"))
+    # all is windows over one order, so a task sorts its rows once; regions are dealt as the rows are
+    n_rows = rows.count()
+    rows, region = dealt(rows, group, n_rows), dealt(region, group, n_rows)
     order = Window.partitionBy(*group).orderBy("y")
     whole = Window.partitionBy(*group)
     gaps = rows.withColumn("gap", F.col("y") - F.lag("y").over(order)).withColumn("first", F.min("y").over(whole))
     spaced = gaps.withColumn("pitch", F.median(F.when(F.col("gap") > 0.5 * F.col("h"), F.col("gap"))).over(whole))
     placed = spaced.withColumn("k", F.round((F.col("y") - F.col("first")) / F.col("pitch")))
-    fit = placed.groupBy(*group).agg(F.regr_slope("y", "k").alias("slope"), F.regr_intercept("y", "k").alias("at"), F.count("*").alias("n"), F.count_distinct("k").alias("m"))
-    joined = placed.join(fit, list(group)).join(region, list(group))
-    even = (F.col("n") >= 3) & (F.col("m") == F.col("n")) & F.col("slope").between(0.9 * F.col("pitch"), 1.1 * F.col("pitch"))
+    # k grows with y: it is distinct in all rows if each is above the one before
+    above = F.count_if(F.col("k").isNotNull() & (F.col("k_before").isNull() | (F.col("k") > F.col("k_before")))).over(whole)
+    fit = placed.withColumn("k_before", F.lag("k").over(order)).withColumns({"slope": F.regr_slope("y", "k").over(whole), "at": F.regr_intercept("y", "k").over(whole), "n": F.count("*").over(whole), "m": above})
+    joined = fit.join(region.hint("merge"), list(group))
+    even = F.coalesce((F.col("n") >= 3) & (F.col("m") == F.col("n")) & F.col("slope").between(0.9 * F.col("pitch"), 1.1 * F.col("pitch")), F.lit(False))
     pitch = F.when(even, F.col("slope")).otherwise(F.col("pitch"))
     height = F.when(F.col("n") >= 3, F.least(F.col("h"), pitch / 1.8)).otherwise(F.col("h"))
     return joined.select(*group, "x0", "x1", height.alias("h"), F.when(even, F.col("at") + F.col("slope") * F.col("k")).otherwise(F.col("y")).alias("y"))

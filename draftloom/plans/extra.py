@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import geometry, ingest
+from ..tables import dealt
 from .registry import query, table
 
 
@@ -43,7 +44,7 @@ def quantity_regions(spark, sf_dir):
     """All orders as tables: lines as rows, evenly spaced or not, with gaps and rows at one height."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("k"))
     rows = lines.select("g", (F.col("k") * 8.0 + F.when((F.col("g") % 3 == 0) & (F.col("k") == 2), 3.5).otherwise(0.0)).alias("y"), F.lit(3.0).alias("h"))
-    spans = lines.select("g").distinct().select("g", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for c, a, b in (("qty", 10.0, 20.0), ("qty2", 20.0, 40.0), ("name", 0.0, 10.0))])).alias("s")).select("g", "s.*")
+    spans = dealt(lines.select("g"), ["g"], lines.count()).distinct().select("g", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for c, a, b in (("qty", 10.0, 20.0), ("qty2", 20.0, 40.0), ("name", 0.0, 10.0))])).alias("s")).select("g", "s.*")
     found = geometry.quantity_regions(rows, ["g"], spans)
     return found.withColumns({"h": F.round("h", 6), "y": F.round("y", 6)})
 

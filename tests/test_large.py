@@ -162,3 +162,18 @@ def test_exploded_sides_are_never_broadcast(spark):
 def test_rows_are_dealt_by_number(spark):
     parts = dealt(spark.range(1000), ["id"], 1000, each=50)
     assert parts.rdd.getNumPartitions() == 20 and parts.count() == 1000
+
+
+def test_quantity_regions_sort_once(spark):
+    ys = {1: [0.0, 8.0, 16.0, 24.0], 2: [0.0, 8.0, 8.5, 24.0], 3: [5.0], 4: [None, 0.0, 8.0, 16.0]}
+    rows = spark.createDataFrame([(g, y, 3.0) for g, v in ys.items() for y in v], "g int, y double, h double")
+    spans = spark.createDataFrame([(g, c, a, b) for g in ys for c, a, b in (("qty", 1.0, 2.0), ("qty2", 2.0, 4.0), ("name", 0.0, 1.0))], "g int, column string, lo double, hi double")
+    found = geometry.quantity_regions(rows, ["g"], spans)
+    plan = _plan(found)
+    assert plan.count("Sort [g") <= 2 and "Broadcast" not in plan
+    got = {}
+    for r in found.orderBy("g", F.col("y").asc_nulls_first()).collect():
+        assert (r.x0, r.x1) == (1.0, 4.0)
+        got.setdefault(r.g, []).append((r.y, r.h))
+    assert [y for y, _ in got[1]] == pytest.approx(ys[1]) and got[2] == [(y, 3.0) for y in ys[2]] and got[3] == [(5.0, 3.0)]
+    assert [y for y, _ in got[4]] == ys[4]
