@@ -30,6 +30,7 @@ SELECT l_orderkey, CAST(line AS BIGINT) AS line, count(*) AS n FROM i GROUP BY 1
 """)
 def text_lines(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("y"), F.col("l_quantity").alias("h"))
+    items = dealt(items, ["l_orderkey"], items.count())
     return op.text_lines(items, ["l_orderkey"], ["l_linenumber", "l_partkey"]).groupBy("l_orderkey", "line").agg(F.count("*").alias("n"))
 
 
