@@ -113,3 +113,10 @@ def test_folding_pages_and_queries(spark):
 def test_manual_type_stays(spark):
     df = spark.createDataFrame([("site", True, "other"), ("site", False, "other"), ("site", None, None)], "c string, f boolean, n string")
     assert [r.t for r in df.select(rules.apply_type(F.col("c"), F.col("f"), F.col("n")).alias("t")).collect()] == ["site", "other", "other"]
+
+
+def test_long_texts_reach_python_a_few_at_a_time(spark):
+    df = spark.createDataFrame([("ｱ",), ("A B C D E F",), (None,)], "t string")
+    found = df.select(fn.nfkc(F.col("t")).alias("n"), fn.compact_codes(F.col("t")).alias("c"), fn.casefold(F.col("t")).alias("f"))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("ア", "ｱ", "ｱ"), ("A B C D E F", "ABCDEF", "a b c d e f"), ("", None, None)]
