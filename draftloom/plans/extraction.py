@@ -59,9 +59,8 @@ def bom_header_only(spark, sf_dir):
 def _scans(spark, sf_dir):
     """Orders as scans of the known form: words that OCR has read, a line a row, with ones read as strokes, codes read with dots, the
     number and the part as one word in every fourth row, and no number in every third; and the rules of the form."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    line = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("n", number)
+    line = _lines(spark, sf_dir).withColumn("n", number)
     n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     code = F.concat(F.lit("HB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
     dotted = F.when(n % 5 == 1, F.concat_ws(".", F.substring(code, 1, 4), F.substring(code, 5, 2), F.substring(code, 7, 2))).otherwise(code)
