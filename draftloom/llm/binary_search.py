@@ -24,30 +24,37 @@ def sign_code(embedding: Column) -> Column:
     return F.when(F.size(embedding) > BITS, wide).when(embedding.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
-def _segment(code: Column, k: int, width: int) -> Column:
-    return F.call_function("shiftrightunsigned", code, F.lit(k * width)).bitwiseAND(F.lit((1 << width) - 1))
+def widths(segments: int) -> list[int]:
+    """Bits of each segment: where their number doesn't divide ``BITS``, the first have one more."""
+    return [BITS // segments + (s < BITS % segments) for s in range(segments)]
+
+
+def _segments(code: Column, m: int) -> list[Column]:
+    wide = widths(m)
+    return [F.call_function("shiftrightunsigned", code, F.lit(sum(wide[:s]))).bitwiseAND(F.lit((1 << w) - 1)) for s, w in enumerate(wide)]
 
 
 def expected_cost(codes: int, segments: int, k: int = TOP) -> float:
     """Probes of a query, and codes that they meet, in ``segments`` segments, for ``codes`` codes that are spread evenly.
 
     The k-th code is then about at the distance within which k of them lie, and rounds go on until that is covered: round r
-    has C(width, r) probes a segment, and a value of a segment has its share of the codes. Codes that lie closer need fewer
-    rounds, whatever the segments.
+    has C(width, r) probes a segment, the last round in as many segments as are left to cover, and a value of a segment has
+    its share of the codes. Codes that lie closer need fewer rounds, whatever the segments.
     """
-    width, near, within = BITS // segments, 0, 0
+    near, within = 0, 0
     while near < BITS:
         within += math.comb(BITS, near)
         if codes * within >= k << BITS:
             break
         near += 1
-    rounds = min(near // segments, width)
-    return segments * sum(math.comb(width, r) for r in range(rounds + 1)) * (1 + codes / (1 << width))
+    rounds = [near // segments + (s <= near % segments) for s in range(segments)]
+    return sum(sum(math.comb(w, r) for r in range(n)) * (1 + codes / (1 << w)) for w, n in zip(widths(segments), rounds, strict=True))
 
 
 def segments_for(codes: int, k: int = TOP) -> int:
-    """The number of segments with the least expected cost."""
-    return min((16, 8, 4, 2), key=lambda m: (expected_cost(codes, m, k), m))
+    """The number of segments with the least expected cost. From 8 to 4 each number counts: halving it makes segments twice as
+    wide at once, and probes grow with the power of the width."""
+    return min((16, 8, 7, 6, 5, 4, 2), key=lambda m: (expected_cost(codes, m, k), m))
 
 
 def flip_masks(spark: SparkSession, width: int, flips: int) -> DataFrame:
@@ -65,7 +72,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
 
     Codes are cut into m segments. Round r looks up, for each query that is still open and each segment, the values that
     differ from the query's in exactly r bits. After it every code at a distance below m * (r + 1) has been met, since it
-    differs in r bits or fewer in some segment. A query is closed once it has k rows within that distance. Equal codes
+    differs in r bits or fewer in some segment. A query is closed once it has k rows within that distance. A query whose k-th
+    row so far is at distance b needs only the first b - m * r + 1 segments of the round: a code within b differs in r bits or fewer in one
+    of them, or in fewer than r in some segment, which was met before. Equal codes
     are one index entry with its k smallest ids, so a code that very many rows share is met once. A code is counted at
     the first segment and round that meet it, and only if it is no further than the k-th row so far. Queries with equal codes are searched once.
 
@@ -78,10 +87,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     few = known.withColumn("n", F.row_number().over(per_code)).where(F.col("n") <= k)
     index = as_table(few.groupBy("code").agg(F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id"))).alias("ids")), "codes")
     m = segments or segments_for(index.count(), k)
-    width = BITS // m
+    wide = widths(m)
+    width = wide[0]
     # segment and value in one long: joins by one long are the leanest that Spark has
     joint = lambda segment, value: F.call_function("shiftleft", segment.cast("long"), F.lit(width)).bitwiseOR(value) if m > 2 else value * 2 + segment
-    keys = index.select("code", "ids", F.posexplode(F.array(*[_segment(F.col("code"), s, width) for s in range(m)])).alias("segment", "value"))
+    keys = index.select("code", "ids", F.posexplode(F.array(*_segments(F.col("code"), m))).alias("segment", "value"))
     keys = keys.select("code", "ids", "segment", joint(F.col("segment"), F.col("value")).alias("key"))
     keys = as_table(keys, "index")
     asked = queries.where("code is not null").select(F.col("id").cast("long").alias("query_id"), F.col("code").alias("q_code"))
@@ -91,13 +101,14 @@ def search(rows: DataFrame, queries: DataFrame, k: int = TOP, segments: int | No
     order = Window.partitionBy("q_code").orderBy("distance", F.col("id").asc_nulls_last())
     for r in range(width + 1):
         masks = flip_masks(spark, width, r)
-        near = open_codes.select("q_code", "bound", F.posexplode(F.array(*[_segment(F.col("q_code"), s, width) for s in range(m)])).alias("q_segment", "q_key"))
+        near = open_codes.select("q_code", "bound", F.posexplode(F.array(*_segments(F.col("q_code"), m))).alias("q_segment", "q_key")).where(F.col("q_segment") <= F.col("bound") - m * r)
         # the masks are at most C(width, r) rows, whatever the input: they are broadcast where Spark finds them small
-        probes = near.join(masks, F.lit(True)).select("q_code", "bound", joint(F.col("q_segment"), F.col("q_key").bitwiseXOR(F.col("mask"))).alias("probe"))
+        fits = F.lit(True) if wide[-1] == width else (F.col("q_segment") < BITS % m) | (F.col("mask") < (1 << wide[-1]))
+        probes = near.join(masks, fits).select("q_code", "bound", joint(F.col("q_segment"), F.col("q_key").bitwiseXOR(F.col("mask"))).alias("probe"))
         # Spark takes the exploded probes for small and would broadcast them; both sides grow with the input, so both are shuffled
         met = probes.hint("merge").join(keys, F.col("probe") == F.col("key"))
         differ = F.col("q_code").bitwiseXOR(F.col("code"))
-        parts = [F.bit_count(_segment(differ, s, width)) for s in range(m)]
+        parts = [F.bit_count(part) for part in _segments(differ, m)]
         # nothing beyond the k-th distance so far can be among the k; both conditions are part of the join
         first = F.bit_count(differ) <= F.col("bound")
         for s in range(m):
