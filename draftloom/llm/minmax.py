@@ -27,6 +27,8 @@ PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
 #: Under one key, sets are compared pair by pair while that is at most this many comparisons a set; else by their rarest shingles.
 PER_SET = 32
+#: Shingles of the most sets of a crowd, which are looked up in each set's row.
+COMMON = 1_024
 #: Fewest bits of a set's sketch, each the parity of the shingles that fall to it. Sketches have twice a set's size or more.
 SKETCH = 1_024
 
@@ -229,7 +231,8 @@ def _rare_shingles(whole: DataFrame, crowd: DataFrame, roots: DataFrame) -> Data
     counts in the crowd. Similar sets share one of the first, and what a set shares with very many others stands last. Only shingles of
     several components are keys, the rest take a place each; where shingles of one set alone fill all places, which is so for most sets that
     share a passage and nothing else, the set needs no more: it has no similar one. A set whose first shingles are common
-    holds little else, and is similar to the like of it.
+    holds little else, and is similar to the like of it. The ``COMMON`` most common keys are one list, in order, that is met with each
+    set in its row, so a passage that a crowd shares is not a row of each set and shingle; only rarer keys are joined.
     """
     sized = whole.join(crowd, "sid", "left_semi").join(roots, F.col("sid") == F.col("r_sid"), "left")
     sized = as_table(sized.select("sid", F.size("hashes").cast("long").alias("n"), F.coalesce("root", "sid").alias("root"), "hashes"), "crowd")
@@ -238,13 +241,19 @@ def _rare_shingles(whole: DataFrame, crowd: DataFrame, roots: DataFrame) -> Data
     alone = counts.where("c = 1").groupBy(F.col("one").alias("a_sid")).agg(F.count("*").alias("alone"))
     places = F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1
     needy = as_table(sized.join(alone, F.col("sid") == F.col("a_sid"), "left").where(F.coalesce("alone", F.lit(0)) < places).select("sid", "n", places.alias("places"), "hashes"), "needy")
-    asked = needy.select("sid", "n", "places", F.explode("hashes").alias("key"))
-    shared = asked.hint("merge").join(counts.where("joins").select("c_key", "c"), F.col("key") == F.col("c_key"))
-    firsts = shared.groupBy("sid", "n", "places").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("shared")).withColumn("before", F.col("n") - F.size("shared"))
+    most = counts.where("joins").orderBy(F.desc("c"), F.desc("c_key")).limit(COMMON).agg(F.array_sort(F.collect_list(F.struct("c", "c_key"))).alias("m"))
+    most = as_table(most.select(F.col("m.c_key").alias("most")), "most")
+    met = needy.join(F.broadcast(most), F.lit(True))  # one row
+    asked = met.select("sid", F.explode(F.array_except("hashes", "most")).alias("key"))
+    rarer = asked.hint("merge").join(counts.where("joins").select("c_key", "c"), F.col("key") == F.col("c_key"))
+    rarer = rarer.groupBy(F.col("sid").alias("r_sid")).agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("rarer"))
+    common = met.select("sid", "n", "places", F.array_intersect("most", "hashes").alias("common"))
+    both = common.join(rarer, F.col("sid") == F.col("r_sid"), "left")
+    firsts = both.select("sid", "n", "places", F.concat(F.coalesce("rarer.key", F.expr("array()")), "common").alias("shared")).withColumn("before", F.col("n") - F.size("shared"))
     each = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("places") - F.col("before"), F.lit(0)).cast("int")))
-    keyed = firsts.select("sid", "n", "before", each.alias("k", "s")).select(F.col("s.key").alias("key"), (F.col("before") + F.col("k")).alias("at"), "sid", "n")
+    keyed = firsts.select("sid", "n", "before", each.alias("k", "key")).select("key", (F.col("before") + F.col("k")).alias("at"), "sid", "n")
     out = as_table(keyed.withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
-    for table in (sized, counts, needy):
+    for table in (sized, counts, needy, most):
         drop_table(table)
     return out
 

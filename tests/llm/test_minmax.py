@@ -113,3 +113,17 @@ def test_a_passage_of_many_texts_is_no_square(spark, monkeypatch):
         assert all(r.kept for r in minmax.near_copies(df).collect())
         sizes.append(seen.get("met", 0) + seen.get("few", 0) + seen.get("close", 0))
     assert sizes[1] < 8 * sizes[0]
+
+
+@pytest.mark.parametrize("common", [0, 7])
+def test_common_shingles_are_looked_up_in_the_row(spark, monkeypatch, common):
+    """As all pairs, whichever keys of a crowd are a list that meets each set in its row, and that list is bounded."""
+    seen = []
+    as_table = minmax.as_table
+    monkeypatch.setattr(minmax, "as_table", lambda df, name: [t := as_table(df, name), seen.append(t.first().most) if name == "most" else None][0])
+    monkeypatch.setattr(minmax, "COMMON", common)
+    monkeypatch.setattr(minmax, "PER_SET", 0)
+    rows = crowd(3, 80)
+    got = minmax.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
+    assert [len(m) for m in seen] == [common]
