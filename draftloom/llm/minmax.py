@@ -27,8 +27,8 @@ PERMUTATIONS, BAND = 64, 4
 BANDS = 2 * PERMUTATIONS // BAND
 #: Under one key, sets are compared pair by pair while that is at most this many comparisons a set; else by their rarest shingles.
 PER_SET = 32
-#: Shingles of the most sets of a crowd, which are looked up in each set's row.
-COMMON = 1_024
+#: Shingles of the most sets of a crowd, which are looked up in each set's row, and shingles that a task counts at once to find them.
+COMMON, COUNTED = 1_024, 1 << 20
 #: Fewest bits of a set's sketch, each the parity of the shingles that fall to it. Sketches have twice a set's size or more.
 SKETCH = 1_024
 
@@ -224,23 +224,104 @@ def own_prefix(n: Column) -> Column:
     return n - F.ceil(2 * PART * n / (PART + WHOLE)) + 1
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, c of shingles that sets of several components have (root, hashes), counted in runs of about ``COUNTED`` shingles."""
+
+    def counted(sets: list[np.ndarray], roots: list[int]) -> pa.RecordBatch:
+        keys, of = np.concatenate(sets), np.repeat(np.array(roots, np.int64), [len(s) for s in sets])
+        order = np.argsort(keys)
+        keys, of = keys[order], of[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+        several = np.minimum.reduceat(of, starts) < np.maximum.reduceat(of, starts)
+        c = np.diff(starts, append=len(keys))
+        return pa.RecordBatch.from_arrays([pa.array(keys[starts][several]), pa.array(c[several])], ["key", "c"])
+
+    sets, roots, held = [], [], 0
+    for batch in batches:
+        for root, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            sets.append(hashes.values.to_numpy())
+            roots.append(root)
+            held += len(sets[-1])
+            if held >= COUNTED:
+                yield counted(sets, roots)
+                sets, roots, held = [], [], 0
+    if held:
+        yield counted(sets, roots)
+
+
+def places(n: Column) -> Column:
+    """How many of the first shingles of a set of ``n``, in any order that is the same for all sets, hold one of those that it shares
+    with a similar set: these are 4/5 of it or more."""
+    return n - F.ceil(PART * n / WHOLE) + 1
+
+
+def _firsts(sized: DataFrame) -> DataFrame:
+    """key, at, sid, n, hot: the first shingles of the sets of ``sized`` (sid, n, root, hashes) that sets of other components have
+    among their first, as a table.
+
+    In this order the shingles that most sets have stand last, as far as ``COMMON`` of them, and others in the order of their
+    hashes; so a set makes a row for a fifth of its shingles, whatever it shares with very many others. Counts, which are of runs of sets,
+    decide about the order alone. Keys of many sets that are not known as common are ``hot``.
+    """
+    late = small_batches(sized.select("root", "hashes")).mapInArrow(_repeated, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    ranked = np.array([r.key for r in late.orderBy(F.desc("c"), F.desc("key")).limit(COMMON).collect()][::-1], np.int64)
+    by_key = np.argsort(ranked)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, known = [], []
+            for count, hashes in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                hashes = hashes.values.to_numpy()
+                common = np.isin(hashes, ranked)
+                keys.append(np.concatenate([hashes[~common], ranked[np.sort(by_key[np.searchsorted(ranked[by_key], hashes[common])])]])[:count])
+                known.append(len(hashes) - int(common.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(known, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["sid", "n", "root", "known", "keys"])
+
+    rows = small_batches(sized.select("sid", "n", "root", places(F.col("n")).alias("count"), "hashes"))
+    rows = rows.mapInArrow(firsts, "sid long, n long, root long, known long, keys array<long>").select("sid", "n", "root", "known", F.posexplode("keys").alias("at", "key"))
+    rows = as_table(rows.select("sid", "n", "root", F.col("at").cast("long").alias("at"), "key", (F.col("at") >= F.col("known")).alias("common")), "firsts")
+    joining = rows.groupBy(F.col("key").alias("j_key")).agg(F.count("*").alias("c"), F.max("common").alias("common"), (F.min("root") < F.max("root")).alias("joins")).where("joins")
+    # a table, so that Spark can split a hot key of the join with it
+    joining = as_table(joining.select("j_key", (~F.col("common") & (F.col("c") > 2 * PER_SET)).alias("hot")), "joining")
+    out = as_table(rows.join(joining, F.col("key") == F.col("j_key")).select("key", "at", "sid", "n", "hot"), "joining-firsts")
+    drop_table(rows)
+    drop_table(joining)
+    return out
+
+
 def _rare_shingles(whole: DataFrame, crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, at, own, sid, n: the first shingles of each set of ``crowd`` (sid), those that tell it from others first.
+    """key, at, own, sid, n: the first shingles of each set of ``crowd`` (sid) that join it to other components, as a table.
+
+    Similar sets share one of the first, in any order that is the same for both. That of :func:`_firsts` is enough, but for its hot keys:
+    two sets that share one both go through :func:`_by_counts`, in whose order exact counts put it behind rarer ones.
+    """
+    sized = whole.join(crowd, "sid", "left_semi").join(roots, F.col("sid") == F.col("r_sid"), "left")
+    sized = as_table(sized.select("sid", F.size("hashes").cast("long").alias("n"), F.coalesce("root", "sid").alias("root"), "hashes"), "crowd")
+    firsts = _firsts(sized)
+    rows = firsts.where("not hot").select("key", "at", "sid", "n")
+    hot = as_table(sized.join(firsts.where("hot").select("sid").distinct(), "sid", "left_semi"), "hot")
+    counted = None if hot.isEmpty() else _by_counts(hot)
+    out = as_table((rows if counted is None else rows.unionByName(counted)).withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
+    for table in (sized, firsts, hot, *([] if counted is None else [counted])):
+        drop_table(table)
+    return out
+
+
+def _by_counts(sized: DataFrame) -> DataFrame:
+    """key, at, sid, n: the first shingles of each set of ``sized`` (sid, n, root, hashes), those that tell it from others first, as a table.
 
     The order is the same for all sets: shingles of one component alone, which join nothing, then others, rarest first by their exact
-    counts in the crowd. Similar sets share one of the first, and what a set shares with very many others stands last. Only shingles of
+    counts here. Similar sets share one of the first, and what a set shares with very many others stands last. Only shingles of
     several components are keys, the rest take a place each; where shingles of one set alone fill all places, which is so for most sets that
     share a passage and nothing else, the set needs no more: it has no similar one. A set whose first shingles are common
     holds little else, and is similar to the like of it. The ``COMMON`` most common keys are one list, in order, that is met with each
     set in its row, so a passage that a crowd shares is not a row of each set and shingle; only rarer keys are joined.
     """
-    sized = whole.join(crowd, "sid", "left_semi").join(roots, F.col("sid") == F.col("r_sid"), "left")
-    sized = as_table(sized.select("sid", F.size("hashes").cast("long").alias("n"), F.coalesce("root", "sid").alias("root"), "hashes"), "crowd")
     counts = sized.select("sid", "root", F.explode("hashes").alias("c_key")).groupBy("c_key").agg(F.count("*").alias("c"), F.min("sid").alias("one"), (F.min("root") < F.max("root")).alias("joins"))
     counts = as_table(counts, "counts")
     alone = counts.where("c = 1").groupBy(F.col("one").alias("a_sid")).agg(F.count("*").alias("alone"))
-    places = F.col("n") - F.ceil(PART * F.col("n") / WHOLE) + 1
-    needy = as_table(sized.join(alone, F.col("sid") == F.col("a_sid"), "left").where(F.coalesce("alone", F.lit(0)) < places).select("sid", "n", places.alias("places"), "hashes"), "needy")
+    enough = places(F.col("n"))
+    needy = as_table(sized.join(alone, F.col("sid") == F.col("a_sid"), "left").where(F.coalesce("alone", F.lit(0)) < enough).select("sid", "n", enough.alias("places"), "hashes"), "needy")
     most = counts.where("joins").orderBy(F.desc("c"), F.desc("c_key")).limit(COMMON).agg(F.array_sort(F.collect_list(F.struct("c", "c_key"))).alias("m"))
     most = as_table(most.select(F.col("m.c_key").alias("most")), "most")
     met = needy.join(F.broadcast(most), F.lit(True))  # one row
@@ -252,8 +333,8 @@ def _rare_shingles(whole: DataFrame, crowd: DataFrame, roots: DataFrame) -> Data
     firsts = both.select("sid", "n", "places", F.concat(F.coalesce("rarer.key", F.expr("array()")), "common").alias("shared")).withColumn("before", F.col("n") - F.size("shared"))
     each = F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.col("places") - F.col("before"), F.lit(0)).cast("int")))
     keyed = firsts.select("sid", "n", "before", each.alias("k", "key")).select("key", (F.col("before") + F.col("k")).alias("at"), "sid", "n")
-    out = as_table(keyed.withColumn("own", F.col("at") < own_prefix(F.col("n"))), "rare")
-    for table in (sized, counts, needy, most):
+    out = as_table(keyed, "counted")
+    for table in (counts, needy, most):
         drop_table(table)
     return out
 

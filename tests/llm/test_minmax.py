@@ -127,3 +127,26 @@ def test_common_shingles_are_looked_up_in_the_row(spark, monkeypatch, common):
     got = minmax.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
     assert [len(m) for m in seen] == [common]
+
+
+def test_sets_of_a_passage_are_not_exploded_whole(spark, monkeypatch):
+    """A set of a crowd makes a row for a fifth of its shingles."""
+    seen = {}
+    as_table = minmax.as_table
+    monkeypatch.setattr(minmax, "as_table", lambda df, name: [t := as_table(df, name), seen.update({name: t.count()})][0])
+    monkeypatch.setattr(minmax, "PER_SET", 8)
+    got = minmax.near_copies(spark.createDataFrame(passages(400), "doc_id long, text string")).collect()
+    assert all(r.kept for r in got)
+    assert 0 < seen["crowd"]
+    assert seen.get("counts", 0) + seen.get("firsts", 0) < sum(r.n_shingles for r in got) / 3
+
+
+@pytest.mark.parametrize(("common", "counted", "per_set"), [(0, 1, 0), (0, 1, 4), (40, 300, 0), (minmax.COMMON, minmax.COUNTED, 4)])
+def test_a_crowd_is_looked_through_in_any_order(spark, monkeypatch, common, counted, per_set):
+    """As all pairs, whichever shingles stand last, however few are counted at once, and whether or not keys are hot."""
+    monkeypatch.setattr(minmax, "COMMON", common)
+    monkeypatch.setattr(minmax, "COUNTED", counted)
+    monkeypatch.setattr(minmax, "PER_SET", per_set)
+    rows = crowd(4, 120)
+    got = minmax.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
