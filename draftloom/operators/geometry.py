@@ -6,8 +6,10 @@ one page, which are few.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .graph import chain
 
 #: Gaps between boundaries that one window looks at.
 CELL = 256
+#: Numbers that a batch of fits holds at once.
+FIT_CELLS = 1 << 21
 
 
 def islands(df: DataFrame, group: Sequence[str], order: Sequence[Column], starts: Column, name: str = "island") -> DataFrame:
@@ -163,6 +167,55 @@ def template_fits(lines: DataFrame, group: Sequence[str], edges: Sequence[float]
     return fits.groupBy(*group).agg(best).select(*group, F.round("s.shift", 4).alias("shift"), F.round("s.scale", 6).alias("scale"), F.col("s.hits").alias("hits")).where(F.col("hits") >= least)
 
 
+def list_fits(tables: DataFrame, lines: str, edges: Sequence[float], unit: tuple[int, int], ratio: float = 0.04, tolerance: float = 5.0) -> DataFrame:
+    """The best fits of :func:`template_fits`, as shift, scale and hits beside the other columns, where the lines of a group are a sorted
+    list in one row: no pair is a row. Groups without two lines that place the form have no row."""
+    rest = [c for c in tables.columns if c != lines]
+    kinds = dict(tables.dtypes)
+    wide, form = edges[unit[1]] - edges[unit[0]], np.array(edges)
+
+    def best(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        # x: a group a row, filled up by infinity; of: its lines
+        with np.errstate(invalid="ignore"):
+            apart = x[:, None, :] - x[:, :, None]
+        g, a, b = np.nonzero((apart >= wide * (1 - ratio)) & (apart <= wide * (1 + ratio)))
+        scale = (x[g, b] - x[g, a]) / wide
+        shift = x[g, a] - scale * edges[unit[0]]
+        hits, total = np.zeros(len(g), np.int64), np.zeros(len(g))
+        step = max(1, FIT_CELLS // (len(form) * x.shape[1]))
+        for n in range(0, len(g), step):
+            some = slice(n, n + step)
+            targets = shift[some, None] + scale[some, None] * form
+            error = np.abs(x[g[some], None, :] - targets[:, :, None]).min(axis=2)
+            hits[some], total[some] = (error <= tolerance).sum(axis=1), np.minimum(error, tolerance).sum(axis=1)
+        order = np.lexsort((scale, shift, -x[g, a], -np.round(total, 6), hits, g))
+        last = order[np.flatnonzero(np.append(np.diff(g[order]) > 0, True))] if len(order) else order
+        return of[g[last]], shift[last], scale[last], hits[last]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(lines))
+            sizes, values = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            found = []
+            # groups of about one number of lines together, as many as fit
+            order = np.argsort(sizes, kind="stable")
+            order = order[sizes[order] > 1]
+            while len(order):
+                most = sizes[order[-1]]
+                some = order[-max(1, FIT_CELLS // int(most) ** 2) :]
+                order = order[: len(order) - len(some)]
+                at = np.arange(most)
+                inside = at < sizes[some, None]
+                x = np.where(inside, values[np.where(inside, starts[some, None] + at, 0)], np.inf)
+                found.append(best(x, some))
+            of, shift, scale, hits = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64))
+            taken = [batch.column(c).take(pa.array(of, pa.int64())) for c in rest]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(shift), pa.array(scale), pa.array(hits)], [*rest, "shift", "scale", "hits"])
+
+    return tables.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in rest], "shift double, scale double, hits long"]))
+
+
 def dark_runs(pixels: DataFrame, column: Sequence[str], at: str, dark: Column, least: int) -> DataFrame:
     """Vertical strokes of a bitmap: runs of at least ``least`` dark pixels per column, first to last."""
     marked = pixels.where(dark)

@@ -6,13 +6,12 @@ that runs over a border is cut there. Rows are told by height, and numbered by t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..tables import written
 from . import geometry, reports
 
 # The columns of the known form in its own units, from the left border of the part column; the place of that column
@@ -55,18 +54,29 @@ def own_code(part: Column) -> Column:
 def word_cells(words: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, line, cell, text, x, y, w, h): words (key, line, n, text, x, y, w, h) of an OCR line that stand together.
 
-    A gap of WORD_GAP heights or a rule (key, x, low, high) between two words parts them.
+    A gap of WORD_GAP heights or a rule (key, x, low, high) between two words parts them. A line is a row, its words and its
+    drawing's rules are lists, so no word meets a rule as a row.
     """
-    along = Window.partitionBy(*key, "line").orderBy("n")
-    placed = words.withColumn("end", F.lag(F.col("x") + F.col("w")).over(along))
-    between = placed.where(F.col("end").isNotNull()).select(*key, "line", "n", (F.col("end") - 0.2 * F.col("h")).alias("lo"), (F.col("x") + 0.2 * F.col("h")).alias("hi"), (F.col("y") + F.col("h") / 2).alias("at"))
-    ruled = between.join(rules.withColumnRenamed("x", "rule_x"), list(key)).where(F.col("rule_x").between(F.col("lo"), F.col("hi")) & F.col("at").between(F.col("low"), F.col("high")))
-    ruled = ruled.select(*key, "line", "n").distinct().withColumn("ruled", F.lit(True))
-    joined = placed.join(ruled, [*key, "line", "n"], "left")
-    apart = F.col("end").isNull() | (F.col("x") - F.col("end") >= WORD_GAP * F.col("h")) | F.coalesce("ruled", F.lit(False))
-    cells = geometry.islands(joined, [*key, "line"], [F.col("n")], apart, "cell")
-    out = cells.groupBy(*key, "line", "cell").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("s"), F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("x1"), F.min_by("y", "n").alias("y"), F.min_by("h", "n").alias("h"))
-    return out.select(*key, "line", "cell", F.array_join(F.transform("s", lambda p: p.text), " ").alias("text"), "x", "y", (F.col("x1") - F.col("x")).alias("w"), "h")
+    said = words.groupBy(*key, "line").agg(F.sort_array(F.collect_list(F.struct("n", "text", "x", "y", "w", "h"))).alias("ws"))
+    ruled = rules.groupBy(*key).agg(F.collect_list(F.struct("x", "low", "high")).alias("rs"))
+
+    def parted(a: Column, b: Column) -> Column:
+        end, at = a["x"] + a["w"], b["y"] + b["h"] / 2
+        rule = F.exists("rs", lambda r: r["x"].between(end - 0.2 * b["h"], b["x"] + 0.2 * b["h"]) & at.between(r["low"], r["high"]))
+        return F.coalesce(end.isNull() | (b["x"] - end >= WORD_GAP * b["h"]) | F.coalesce(rule, F.lit(False)), F.lit(True))
+
+    both = F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws") - 1), parted)
+    places = F.concat(F.array(F.lit(0)), F.filter(F.transform(both, lambda c, n: F.when(c, n + 1)), lambda n: n.isNotNull()))
+    lines = said.join(ruled.hint("merge"), list(key), "left").select(*key, "line", "ws", places.alias("starts"))
+    runs = F.transform("starts", lambda n, k: F.slice("ws", n + 1, F.coalesce(F.get("starts", k + 1), F.size("ws")) - n))
+    cells = lines.select(*key, "line", F.posexplode(runs).alias("cell", "c"))
+    end = F.array_max(F.transform("c", lambda t: t["x"] + t["w"]))
+    return cells.select(*key, "line", "cell", F.array_join("c.text", " ").alias("text"), F.array_min("c.x").alias("x"), F.get("c.y", 0).alias("y"), (end - F.array_min("c.x")).alias("w"), F.get("c.h", 0).alias("h"))
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def form_places(rules: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -75,53 +85,74 @@ def form_places(rules: DataFrame, key: Sequence[str]) -> DataFrame:
     head is where the header ends: rules end at the table's foot, and others a step above it, at the header's top; without such a step
     the header is one and a half heights. top is the median upper end. Rules shorter than eight heights are none of the table.
     """
-    h = F.col("h")
+    h, lows = F.col("h"), F.col("lows")
     tall = rules.where(F.col("high") - F.col("low") >= 8 * h)
-    enough = tall.groupBy(*key).agg(F.count("*").alias("n_rules"), F.median("high").alias("top")).where(F.col("n_rules") >= LEAST_RULES)
-    edges = geometry.merge_intervals(tall.select(*key, F.col("x").alias("lo"), F.col("x").alias("hi")), key, "lo", "hi", F.lit(1.0)).select(*key, ((F.col("lo") + F.col("hi")) / 2).alias("x"))
-    fits = geometry.template_fits(edges, key, EDGES, UNIT, least=LEAST_EDGES)
-    ends = geometry.gap_islands(tall, key, "low", ["x"], 0.6 * h, name="step").groupBy(*key, "step").agg(F.min("low").alias("end"), F.count("*").alias("n"), F.first("h").alias("h"))
-    all_ends = Window.partitionBy(*key)
-    foot = F.coalesce(F.min(F.when(F.col("n") >= 3, F.col("end"))).over(all_ends), F.min("end").over(all_ends))
-    footed = ends.withColumn("foot", foot)
-    above = F.when((F.col("end") > F.col("foot")) & (F.col("end") <= F.col("foot") + 3 * h), F.struct("n", (-F.col("end")).alias("e")))
-    heads = footed.groupBy(*key).agg(F.max(above).alias("best"), F.min("foot").alias("foot"), F.first("h").alias("h")).select(*key, F.coalesce(-F.col("best.e"), F.col("foot") + 1.5 * h).alias("head"))
-    return fits.join(enough, list(key)).join(heads, list(key)).select(*key, "shift", "scale", "head", "top")
-
-
-def _characters(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """A row for each character of a cell, at its middle: wide ones, kana and kanji, take twice the room."""
-    chars = F.split("text", "")
-    room = F.transform(chars, lambda c: F.when(c.rlike(WIDE), 2).otherwise(1))
-    spread = cells.where(F.col("text") != "").withColumn("chars", chars).withColumn("room", room).withColumn("all", F.aggregate("room", F.lit(0), lambda a, b: a + b))
-    each = spread.select(*key, "line", "cell", "x", "y", "w", "h", "all", F.posexplode(F.arrays_zip("chars", "room")).alias("k", "c"))
-    before = F.sum("c.room").over(Window.partitionBy(*key, "line", "cell").orderBy("k")) - F.col("c.room") / 2
-    return each.select(*key, "line", "cell", "y", "h", "k", F.col("c.chars").alias("c"), (F.col("x") + F.col("w") * before / F.col("all")).alias("at"))
+    begins = lambda xs: F.filter(xs, lambda x, n: (n == 0) | (x > F.get(xs, n - 1) + 1.0))
+    ends = lambda xs: F.filter(xs, lambda x, n: (n == F.size(xs) - 1) | (F.get(xs, n + 1) > x + 1.0))
+    # each table's rules are lists in its row
+    edges = _once(F.sort_array(F.collect_list("x")), lambda xs: F.zip_with(begins(xs), ends(xs), lambda a, b: (a + b) / 2)).alias("edges")
+    tables = tall.groupBy(*key).agg(F.count("*").alias("n_rules"), F.median("high").alias("top"), F.first("h").alias("h"), F.sort_array(F.collect_list("low")).alias("lows"), edges)
+    fitted = tables.where(F.col("n_rules") >= LEAST_RULES)
+    starts = F.filter(F.transform(lows, lambda v, n: F.when((n == 0) | (F.abs(v - F.get(lows, n - 1)) > 0.6 * h), n)), lambda n: n.isNotNull())
+    stepped = fitted.withColumn("starts", starts)
+    step = F.transform("starts", lambda n, k: F.struct(F.get(lows, n).alias("end"), (F.coalesce(F.get("starts", k + 1), F.size(lows)) - n).alias("n")))
+    footed = stepped.withColumn("steps", step).withColumn("foot", F.coalesce(F.array_min(F.transform(F.filter("steps", lambda s: s["n"] >= 3), lambda s: s["end"])), F.get("lows", 0)))
+    above = F.filter("steps", lambda s: (s["end"] > F.col("foot")) & (s["end"] <= F.col("foot") + 3 * h))
+    best = F.array_max(F.transform(above, lambda s: F.struct(s["n"].alias("n"), (-s["end"]).alias("e"))))
+    headed = footed.select(*key, "edges", F.coalesce(-best["e"], F.col("foot") + 1.5 * h).alias("head"), "top")
+    fits = geometry.list_fits(headed, "edges", EDGES, UNIT).where(F.col("hits") >= LEAST_EDGES)
+    return fits.select(*key, F.round("shift", 4).alias("shift"), F.round("scale", 6).alias("scale"), "head", "top")
+
+
+def _span(at: Column) -> Column:
+    """The number of the form's column that a place in its units is in; null outside."""
+    found = F.when(at < SCAN_FORM[0][0], F.lit(None).cast("int"))
+    for n, (_, end, _) in enumerate(SCAN_FORM):
+        found = found.when(at < end, F.lit(n))
+    return found
 
 
 def column_texts(cells: DataFrame, places: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key, y, h, x, column, text): what cells (key, line, cell, text, x, y, w, h) say in the columns of the form.
 
-    Characters belong to the column that they stand in. A cell is cut where that changes, if what is cut off is a number beside the
-    part, or at least three characters; less than that is a cell that stands out of its column. A cell over the border of part and name is
-    cut where its kana or kanji begin, if any do.
+    Characters, wide ones twice as wide, belong to the column that their middle stands in. A cell is cut where that changes, if what
+    is cut off is a number beside the part, or at least three characters; less than that is a cell that stands out of its column. A cell
+    over the border of part and name is cut where its kana or kanji begin, if any do. A cell whose first and last characters are in one
+    column is not looked at by its characters.
     """
-    form = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c or "").alias("column")) for a, b, c in SCAN_FORM])
-    chars = _characters(cells, key).join(places, list(key)).withColumn("u", (F.col("at") - F.col("shift")) / F.col("scale"))
-    inside = chars.where((F.col("y") > F.col("head") + 0.3 * F.col("h")) & (F.col("y") < F.col("top")))
-    found = inside.withColumn("column", F.get(F.filter(form, lambda s: (F.col("u") >= s.a) & (F.col("u") < s.b)), 0)["column"]).where("column is not null")
-    both = Window.partitionBy(*key, "line", "cell")
-    wide = F.min(F.when(F.col("c").rlike(WIDE) & (F.col("k") >= 3), F.col("k"))).over(both)
-    runs_over = F.bool_or(F.col("column") == "part_no").over(both) & F.bool_or(F.col("column") == "name").over(both) & F.col("column").isin("part_no", "name") & F.col("wide").isNotNull()
-    found = found.withColumn("wide", wide).withColumn("column", F.when(runs_over, F.when(F.col("k") < F.col("wide"), "part_no").otherwise("name")).otherwise(F.col("column")))
-    piece = found.groupBy(*key, "line", "cell", "column").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("k", "c"))).alias("s"), F.min("at").alias("x"), F.first("y").alias("y"), F.first("h").alias("h"))
-    said = piece.withColumn("t", F.array_join(F.transform("s", lambda p: p.c), ""))
-    whole = Window.partitionBy(*key, "line", "cell")
-    stands = (F.col("n") >= 3) | ((F.col("column") == "item_no") & F.col("t").rlike("^[0-9IOl|]+$"))
-    main = F.max(F.struct("n", "column")).over(whole)["column"]
-    own = said.withColumn("main", main).withColumn("to", F.when(stands | (F.col("column") == F.col("main")), F.col("column")).otherwise(F.col("main")))
-    merged = own.groupBy(*key, "line", "cell", F.col("to").alias("column")).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.min("x").alias("x"), F.first("y").alias("y"), F.first("h").alias("h"))
-    return merged.where("column <> ''").select(*key, "y", "h", "x", "column", F.trim(F.array_join(F.transform("s", lambda p: p.c), "")).alias("text"))
+    names = F.array(*[F.lit(c or "") for _, _, c in SCAN_FORM])
+    wide = F.col("text").rlike(WIDE)
+    room = lambda c: F.when(c.rlike(WIDE), 2).otherwise(1)
+    placed = cells.where(F.col("text") != "").join(places.hint("merge"), list(key)).where((F.col("y") > F.col("head") + 0.3 * F.col("h")) & (F.col("y") < F.col("top")))
+    narrow = F.transform(F.sequence(F.lit(1), F.length("text")), lambda n: n - 0.5)
+    spread = placed.withColumn("chars", F.split("text", "")).withColumn("size", F.when(wide, F.aggregate("chars", F.lit(0), lambda a, c: a + room(c))).otherwise(F.length("text")))
+    mids = F.when(wide, F.transform("chars", lambda c, n: F.aggregate(F.slice("chars", F.lit(1), n + 1), F.lit(0), lambda a, d: a + room(d)) - room(c) / 2)).otherwise(narrow)
+    at = lambda m: F.col("x") + F.col("w") * m / F.col("size")
+    span = lambda m: _span((at(m) - F.col("shift")) / F.col("scale"))
+    edge = lambda c: room(c) / 2
+    ended = spread.withColumn("first", span(edge(F.get("chars", 0)))).withColumn("last", span(F.col("size") - edge(F.element_at("chars", -1))))
+    piece = lambda column, text, x: F.struct(column.alias("column"), F.trim(text).alias("text"), x.alias("x"))
+    whole = F.coalesce(F.col("first") == F.col("last"), F.lit(False))
+    # the others by their characters: k, c, at and column, of those inside the form
+    said = F.zip_with("chars", mids, lambda c, m: F.struct(c.alias("c"), at(m).alias("at"), F.get(names, span(m)).alias("column")))
+    over = ended.withColumn("cs", F.when(~whole, said))
+    over = over.withColumn("cs", F.filter(F.transform("cs", lambda s, k: F.struct(k.alias("k"), s["c"].alias("c"), s["at"].alias("at"), s["column"].alias("column"))), lambda s: s["column"].isNotNull()))
+    over = over.withColumn("wide", F.array_min(F.transform(F.filter("cs", lambda s: s["c"].rlike(WIDE) & (s["k"] >= 3)), lambda s: s["k"])))
+    has = lambda name: F.exists("cs", lambda s: s["column"] == name)
+    cut = lambda s: F.when(s["column"].isin("part_no", "name"), F.when(s["k"] < F.col("wide"), "part_no").otherwise("name")).otherwise(s["column"])
+    recolumned = lambda to: F.transform("cs", lambda s: F.struct(s["k"].alias("k"), s["c"].alias("c"), s["at"].alias("at"), to(s).alias("column")))
+    over = over.withColumn("cs", F.when(F.col("wide").isNotNull() & has("part_no") & has("name"), recolumned(cut)).otherwise(F.col("cs")))
+    told = lambda c: F.filter("cs", lambda s: s["column"] == c)
+    text = lambda cs: F.array_join(F.transform(cs, lambda s: s["c"]), "")
+    over = over.withColumn("pieces", F.transform(F.array_distinct("cs.column"), lambda c: F.struct(F.size(told(c)).alias("n"), c.alias("column"), text(told(c)).alias("t"))))
+    over = over.withColumn("main", F.array_max("pieces")["column"])
+    stands = lambda p: (p["n"] >= 3) | ((p["column"] == "item_no") & p["t"].rlike("^[0-9IOl|]+$")) | (p["column"] == F.col("main"))
+    over = over.withColumn("own", F.transform(F.filter("pieces", stands), lambda p: p["column"]))
+    over = over.withColumn("cs", recolumned(lambda s: F.when(F.array_contains("own", s["column"]), s["column"]).otherwise(F.col("main"))))
+    cuts = F.transform("own", lambda c: piece(c, text(told(c)), F.array_min(F.transform(told(c), lambda s: s["at"]))))
+    alone = F.array(piece(F.get(names, F.col("first")), F.col("text"), at(edge(F.get("chars", 0)))))
+    found = over.select(*key, "y", "h", F.explode(F.when(whole, alone).otherwise(cuts)).alias("p"))
+    return found.where("p.column <> ''").select(*key, "y", "h", "p.x", "p.column", "p.text")
 
 
 def form_rows(words: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -131,12 +162,14 @@ def form_rows(words: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFra
     Rows stand above the header; what is at about one height is a row if it has a part beside something else, a quantity, or a
     number and a name. Numbers follow the even spacing of rows, by the shift that most read ones agree on.
     """
-    heights = words.groupBy(*key).agg(F.median("h").alias("h"))
-    places = form_places(rules.join(heights, list(key)), key)
+    # sizes are few: a drawing's median is taken over them and how often each stands
+    heights = words.groupBy(*key, "h").agg(F.count("*").alias("n")).groupBy(*key).agg(F.percentile("h", 0.5, F.col("n")).alias("h"))
+    places = form_places(rules.join(heights.hint("merge"), list(key)), key)
     texts = column_texts(word_cells(words, rules, key), places, key)
     lines = geometry.gap_islands(texts, key, "y", ["x"], 0.8 * F.col("h"), name="line")
-    joined = lines.groupBy(*key, "line", "column").agg(F.sort_array(F.collect_list(F.struct("x", "text"))).alias("s"), F.max("y").alias("y")).withColumn("t", F.array_join(F.transform("s", lambda p: p.text), " "))
-    wide = joined.groupBy(*key, "line").agg(F.max("y").alias("y"), *[F.coalesce(F.max(F.when(F.col("column") == c, F.col("t"))), F.lit("")).alias(c) for c in (*FIELDS, *[f"qty{n}" for n in range(2, 6)])])
+    told = F.sort_array(F.collect_list(F.struct("x", "text", "column")))
+    said = lambda c: F.array_join(F.transform(F.filter(told, lambda p: p["column"] == c), lambda p: p["text"]), " ").alias(c)
+    wide = lines.groupBy(*key, "line").agg(F.max("y").alias("y"), *[said(c) for c in (*FIELDS, *[f"qty{n}" for n in range(2, 6)])])
     part = repaired_code(F.col("part_no"))
     quantity = F.coalesce(*[F.nullif(fn.first_quantity(F.col(c)), F.lit("")) for c in ("qty", "qty2", "qty3", "qty4", "qty5")], F.lit(""))
     read = wide.withColumns({"part_no": part, "qty": quantity, "read": fn.ocr_item_no(F.col("item_no"))})
@@ -146,13 +179,19 @@ def form_rows(words: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFra
     gap = F.col("y") - F.lag("y").over(over.orderBy("y"))
     spaced = rows.withColumn("gap", gap).withColumn("pitch", F.least(F.median("gap").over(over), 1.5 * F.min("gap").over(over)))
     position = F.coalesce(F.round((F.col("y") - F.min("y").over(over)) / F.col("pitch")), F.lit(0.0)).cast("int")
-    placed = written(spaced.withColumn("position", position), "scan-rows")  # read for the votes and for the rows
-    votes = geometry.vote_offset(placed, key, F.col("read").try_cast("int"), F.col("position"))
-    numbered = placed.join(votes.select(*key, "shift"), list(key), "left").withColumn("number", F.col("position") + F.coalesce("shift", F.lit(1)))
+    # the shift that most numbers agree on, as geometry.vote_offset has it, by windows: a table read twice would be written and shuffled
+    shift = F.col("read").try_cast("int") - position
+    agreed = F.when(F.col("vote").isNotNull(), F.count("*").over(Window.partitionBy(*key, "vote")))
+    voted = spaced.withColumn("position", position).withColumn("vote", shift.cast("long")).withColumn("votes", agreed)
+    best = F.max(F.when(F.col("vote").isNotNull(), F.struct("votes", (-F.abs(F.col("vote") - 1)).alias("near"), "vote"))).over(over)
+    elected = voted.withColumn("best", best)
+    numbered = elected.withColumn("number", F.col("position") + F.when(F.col("best.votes") >= 2, F.col("best.vote")).otherwise(F.lit(1)))
     out = numbered.withColumn("item_no", F.when(F.col("number") >= 1, F.col("number").cast("string")).otherwise(F.col("read")))
     ordered = F.row_number().over(over.orderBy(F.coalesce(F.col("item_no").try_cast("int"), F.lit(999)), "y"))
     filled = [F.col(c) != "" for c in ("part_no", "name", "qty", "material")]
-    return out.select(*key, ordered.alias("row"), *[fn.cell_text(F.col(c)).alias(c) for c in FIELDS], own_code(F.col("part_no")).alias("ref_drawing_no"), reports.confidence(filled, F.col("item_no") != "").alias("confidence"))
+    # Python functions go last: Spark forgets behind them how rows are dealt
+    placed = out.withColumn("row", ordered)
+    return placed.select(*key, "row", *[fn.cell_text(F.col(c)).alias(c) for c in FIELDS], own_code(F.col("part_no")).alias("ref_drawing_no"), reports.confidence(filled, F.col("item_no") != "").alias("confidence"))
 
 
 def repaired_rows(rows: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from ..tables import dealt
 from .registry import query, table
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, each=200_000):
     """Lines by order, a bounded number a task: few bytes, but reading a drawing takes a part of a millisecond."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    return dealt(lines, ["l_orderkey"], lines.count())
+    return dealt(lines, ["l_orderkey"], lines.count(), each)
 
 
 def _drawings(spark, sf_dir):
@@ -59,8 +59,10 @@ def bom_header_only(spark, sf_dir):
 def _scans(spark, sf_dir):
     """Orders as scans of the known form: words that OCR has read, a line a row, with ones read as strokes, codes read with dots, the
     number and the part as one word in every fourth row, and no number in every third; and the rules of the form."""
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    line = _lines(spark, sf_dir).withColumn("n", number)
+    # a line is six words: fewer lines a task, which sorts them in memory. With the quantity in the order all tables ask for the same
+    # columns, and read one exchange
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    line = _lines(spark, sf_dir, 50_000).withColumn("n", number)
     n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     code = F.concat(F.lit("HB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
     dotted = F.when(n % 5 == 1, F.concat_ws(".", F.substring(code, 1, 4), F.substring(code, 5, 2), F.substring(code, 7, 2))).otherwise(code)

@@ -177,3 +177,21 @@ def test_quantity_regions_sort_once(spark):
         got.setdefault(r.g, []).append((r.y, r.h))
     assert [y for y, _ in got[1]] == pytest.approx(ys[1]) and got[2] == [(y, 3.0) for y in ys[2]] and got[3] == [(5.0, 3.0)]
     assert [y for y, _ in got[4]] == ys[4]
+
+
+def test_fits_of_lists_are_those_of_rows(spark):
+    rnd = random.Random(5)
+    edges, unit = [-20.0, 0.0, 50.0, 75.0, 110.0], (1, 2)
+    lines = {g: sorted({round(30 + s * e + rnd.uniform(-3, 3), 2) for e in edges for s in (1.0, 1.02) if rnd.random() < 0.8} | {round(rnd.uniform(0, 200), 2)}) for g in range(40)}
+    rows = spark.createDataFrame([(g, x) for g, xs in lines.items() for x in xs], "g int, x double")
+    lists = spark.createDataFrame([(g, xs, "kept") for g, xs in lines.items()] + [(98, [], "kept"), (99, None, "kept")], "g int, xs array<double>, other string")
+    want = sorted(tuple(r) for r in geometry.template_fits(rows, ["g"], edges, unit, least=0).collect())
+    got = geometry.list_fits(lists, "xs", edges, unit).collect()
+    assert sorted((r.g, pytest.approx(r.shift, abs=1e-4), pytest.approx(r.scale, abs=1e-6), r.hits) for r in got) == want and {r.other for r in got} == {"kept"}
+
+
+def test_scans_are_not_shuffled_word_by_word(spark, sf_dir):
+    from __spark_entry__ import queries
+
+    plan = queries()["bom_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "scan-rows" not in plan and plan.count("ENSURE_REQUIREMENTS") <= 2
