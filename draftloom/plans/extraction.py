@@ -59,10 +59,10 @@ def bom_header_only(spark, sf_dir):
 def _scans(spark, sf_dir):
     """Orders as scans of the known form: words that OCR has read, a line a row, with ones read as strokes, codes read with dots, the
     number and the part as one word in every fourth row, and no number in every third; and the rules of the form."""
-    # a line is six words: fewer lines a task, which sorts them in memory. With the quantity in the order all tables ask for the same
-    # columns, and read one exchange
-    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    line = _lines(spark, sf_dir, 50_000).withColumn("n", number)
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    # a line is six words: fewer lines a task, which sorts them in memory
+    lines = _lines(spark, sf_dir, 50_000)
+    line = lines.withColumn("n", number)
     n, y = F.col("n"), 60 + 25 * F.col("n").cast("double")
     code = F.concat(F.lit("HB"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
     dotted = F.when(n % 5 == 1, F.concat_ws(".", F.substring(code, 1, 4), F.substring(code, 5, 2), F.substring(code, 7, 2))).otherwise(code)
@@ -74,7 +74,7 @@ def _scans(spark, sf_dir):
     others = [word(F.lit("PLATE"), 225, 25), word(F.col("l_suppkey").cast("string"), 255, 20), word(F.col("l_quantity").cast("int").cast("string"), 400, 8), word(F.lit("STEEL"), 464, 14)]
     words = line.select(F.col("l_orderkey").alias("drawing_id"), n.alias("line"), y.alias("y"), F.lit(10.0).alias("h"), F.posexplode(F.concat(read, parts, F.array(*others))).alias("n", "t")).select("drawing_id", "line", "n", "t.text", "t.x", "y", "t.w", "h")
     edges = F.explode(F.array(*[F.lit(100.0 + e) for e in scans.EDGES]))
-    rules = line.groupBy(F.col("l_orderkey").alias("drawing_id")).agg(F.max("n").alias("last")).select("drawing_id", "last", edges.alias("x")).select("drawing_id", "x", F.lit(0.0).alias("low"), (90 + 25 * F.col("last")).cast("double").alias("high"))
+    rules = lines.groupBy(F.col("l_orderkey").alias("drawing_id")).agg(F.count("*").alias("last")).select("drawing_id", "last", edges.alias("x")).select("drawing_id", "x", F.lit(0.0).alias("low"), (90 + 25 * F.col("last")).cast("double").alias("high"))
     return words, rules
 
 
